@@ -217,7 +217,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that no rule rejects, with the columns they came with."""
-    return judged(docs, labels).where(F.col(f"{RESERVED}rule").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the partition's number keeps the filter above the statistics; pushed below them, it would repeat their expressions
+    part = F.col(f"{RESERVED}part")
+    rows = judged(docs, labels).withColumn(f"{RESERVED}part", F.spark_partition_id())
+    return rows.where(F.col(f"{RESERVED}rule").isNull() & (part >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
