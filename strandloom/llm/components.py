@@ -11,20 +11,23 @@ from .storage import written
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): for every node of the edges (a, b), the smallest node it is connected with.
 
-    Each round every node takes the smallest label among its neighbours and then its label's label, which halves
-    the depth of the trees that labels form; it ends when nothing changes. All state is in shared tables.
+    Each round maps every node to its smallest neighbour's smallest neighbour and the edges to the images of their
+    ends. A map of that kind keeps components and their smallest nodes, and stars, of which the edges here consist,
+    shrink to a point in a round or two; it ends when no edge is left. All state is in shared tables.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "m").alias("next"))
-        # what a tree's root has learned reaches the tree: every label takes the smallest next of the nodes that carry it
-        roots = hooked.groupBy("label").agg(F.min("next").alias("root_next"))
-        moved = hooked.join(roots, "label").select("node", F.col("label").alias("old"), F.least("next", "root_next").alias("label"))
-        moved = written(moved, "labels")
-        changed = moved.where("old <> label").limit(1).count()
-        labels = moved.select("node", "label")
-        if not changed:
-            return labels
+    left = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    left, labels = written(left, "edges"), None
+    while labels is None or left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        up = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")), "up")
+        jumped = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("to")), "up").select("node", "to")
+        jumped = written(jumped, "jumped")
+        if labels is None:
+            labels = jumped.withColumnRenamed("to", "label")
+        else:
+            moved = labels.join(jumped.withColumnRenamed("node", "label"), "label", "left")
+            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        ends = left.join(jumped.withColumnRenamed("node", "a").withColumnRenamed("to", "x"), "a")
+        ends = ends.join(jumped.withColumnRenamed("node", "b").withColumnRenamed("to", "y"), "b")
+        left = written(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+    return labels
