@@ -314,8 +314,8 @@ def _region_links(law: Law):
 def _connected(docs: DataFrame, law: Law, salt: int, common: np.ndarray) -> DataFrame:
     """(node, region) of documents (doc_id, text, region) that a pivot connects with others of their region."""
     rows = docs.mapInArrow(_signature_rows(law, salt, common), "sig long, node long")
-    pivots = rows.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
-    edges = rows.join(pivots.drop("last"), "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pivots = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = rows.join(small_side(written(pivots, "pivots")), "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     return components(edges).select("node", F.col("label").alias("region"))
 
 
