@@ -3,7 +3,7 @@
 Every document is cut into pieces of a whole window and one remainder. The histogram of remainder lengths has fewer
 bins than the window has tokens, whatever the corpus, so the plan is made on the driver from it: combinations of up to
 three lengths that fill a window are enumerated, their repeat counts are fitted to the histogram by non-negative least
-squares, rounded down to what is there, and the residual lengths are packed greedily, longest first. The k-th piece of
+squares and rounded to what is there, and the residual lengths are packed greedily, longest first. The k-th piece of
 a length then finds its sequence by arithmetic. Ranks of pieces come from counts by (length, part), so that no length
 is ranked in one task.
 
@@ -30,7 +30,7 @@ from .storage import written
 WINDOW = 2048
 END_ID = 1
 PARTS = 1024
-ROUNDS = 120
+ROUNDS = 60
 _SPECIAL = "<|endoftext|>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict = {}
@@ -103,7 +103,9 @@ def fitted(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     target = counts.astype(float)
     target[0] = 0
     up = target[rows].sum(1)
-    x = np.full(len(rows), target.sum() / (3.0 * len(rows)))
+    # pairs start with all they can take, as long pieces fit little else; triples share the rest
+    pairs = rows[:, 2] == 0
+    x = np.where(pairs, np.minimum(target[rows[:, 0]], target[rows[:, 1]]), 0.02 * target.sum() / (3.0 * max(1, len(rows))))
     for _ in range(ROUNDS):
         got = sum(np.bincount(rows[:, k], weights=x, minlength=len(counts)) for k in range(3))
         got[0] = 0
@@ -111,33 +113,48 @@ def fitted(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return x
 
 
-def planned(counts: np.ndarray, window: int = WINDOW) -> tuple[Slots, int]:
-    """Places for all pieces, counts[n] of each length n, and the number of sequences."""
-    left = counts.astype(np.int64).copy()
-    used: list[tuple[tuple[int, ...], int]] = [((window,), int(left[window]))] if left[window] else []
-    left[window] = 0
-    rows = combinations(np.flatnonzero(left), window)
-    x = fitted(rows, left)
-    order = np.argsort(-x, kind="stable")
-    for row, want in zip(rows[order].tolist(), np.rint(x[order]).astype(np.int64).tolist()):
-        if want < 1:
-            break
+def rounded(rows: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts whose running sums follow those of x, as far as pieces are left; takes them from left."""
+    sums = np.floor(np.cumsum(x) + 0.5).astype(np.int64)
+    wanted, out = np.diff(sums, prepend=0), []
+    some = np.flatnonzero(wanted)
+    for row, want in zip(rows[some].tolist(), wanted[some].tolist()):
         parts = tuple(p for p in row if p)
         n = min(want, *(int(left[p]) // parts.count(p) for p in parts))
-        if n:
-            used.append((parts, n))
+        if n > 0:
+            out.append((parts, n))
             for p in parts:
                 left[p] -= n
-    while left.any():  # residuals: the longest first, then whatever still fits
+    return out
+
+
+def greedy(left: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations for all that is left: the longest piece, then whatever still fits, as often as it lasts."""
+    out, left = [], left.copy()
+    while left.any():
         room, parts, free = window, [], left.copy()
         while (fits := np.flatnonzero(free[: room + 1])).size:
             parts.append(int(fits[-1]))
             free[fits[-1]] -= 1
             room -= int(fits[-1])
         n = min(int(left[p]) // parts.count(p) for p in parts)
-        used.append((tuple(parts), n))
+        out.append((tuple(parts), n))
         for p in parts:
             left[p] -= n
+    return out
+
+
+def planned(counts: np.ndarray, window: int = WINDOW) -> tuple[Slots, int]:
+    """Places for all pieces, counts[n] of each length n, and the number of sequences."""
+    left = counts.astype(np.int64).copy()
+    full = [((window,), int(left[window]))] if left[window] else []
+    left[window] = 0
+    alone = greedy(left, window)
+    rows = combinations(np.flatnonzero(left), window)
+    fit = rounded(rows, fitted(rows, left), left)
+    fit += greedy(left, window)
+    # a histogram that exact fills suit badly (as many long pieces as windows) keeps none of the fit
+    used = full + min(fit, alone, key=lambda plan: sum(n for _, n in plan))
     taken, rank, sequence = [], np.zeros(window + 1, np.int64), 0
     for parts, n in used:
         offset = 0

@@ -132,11 +132,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 
 
 def _cuts(rows: list[dict], feature: str) -> list[float]:
-    """Midpoints of gaps between neighbouring values, spread evenly over the rows' distinct values."""
+    """Midpoints of gaps between neighbouring distinct values: some spread evenly over them, and the widest."""
     values = sorted({r[feature] for r in rows})
     gaps = list(zip(values, values[1:]))
     if len(gaps) > CUTS:
-        gaps = [gaps[i * (len(gaps) - 1) // (CUTS - 1)] for i in range(CUTS)]
+        half = CUTS // 2
+        even = [gaps[i * (len(gaps) - 1) // (half - 1)] for i in range(half)]
+        gaps = sorted({*even, *sorted(gaps, key=lambda g: (g[0] - g[1], g[0]))[:half]})
     return [(a + b) / 2 for a, b in gaps]
 
 
@@ -165,7 +167,9 @@ def _grown(rows: list[dict], cuts: dict[str, list[float]]) -> Rule:
                 for above, hit, n in ((False, p, at), (True, bad - p, len(ordered) - at)):
                     if hit and n < len(rows):
                         gain = hit * (math.log2(hit / n) - now)
-                        if gain > best[0] + 1e-12:
+                        # a tie goes to the higher cut of a lower bound, which rejects less
+                        same = above and best[1] and best[1].feature == feature and best[1].above and gain > best[0] - 1e-12
+                        if gain > best[0] + 1e-12 or same:
                             best = (gain, Condition(feature, above, cut))
         if best[1] is None:
             break

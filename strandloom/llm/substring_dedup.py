@@ -11,8 +11,8 @@ PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per h
 
 Texts equal word for word are one class; only its first document goes through the steps, as all others repeat it.
 
-Defined cases: null and empty texts have no words; shorter texts than a window are kept whole; repeated rows with the
-same doc_id do not repeat one another; a row with a null doc_id is kept whole and repeats nothing.
+Defined cases: null and empty texts have no words; shorter texts than a window are kept whole; rows that share a
+doc_id do not repeat one another, and each keeps its own words; a row with a null doc_id is kept whole and repeats nothing.
 """
 
 from __future__ import annotations
@@ -43,6 +43,15 @@ def _running_minimum(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def _digest(text: pa.StringScalar) -> str:
+    """SHA-256 of a text's words, joined by one space."""
+    return hashlib.sha256(b" ".join(bytes(text.as_buffer()).split()) if text.is_valid else b"").hexdigest()
+
+
+def _key(digest: str) -> int:
+    return int(digest[:15], 16)
+
+
 def _scanned(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,9 +60,7 @@ def _scanned(window: int, phrase: int):
                 words = words_of(texts.slice(a, b - a))
                 low = _running_minimum(window_hashes(words.hashes, phrase), window - phrase + 1) if len(words.hashes) >= window else None
                 n, digests, anchors = np.diff(words.offsets), [], []
-                for text in texts.slice(a, b - a):
-                    raw = text.as_buffer() if text.is_valid else None
-                    digests.append(hashlib.sha256(b" ".join(bytes(raw).split()) if raw is not None else b"").hexdigest())
+                digests += map(_digest, texts.slice(a, b - a))
                 for first, end in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()):
                     found = np.unique(low[first : end - window + 1]) if end - first >= window else np.zeros(0, np.uint64)
                     anchors.append(found.view(np.int64))
@@ -94,23 +101,32 @@ def _candidates(window: int, phrase: int):
             for a, b in slices(texts):
                 words = words_of(texts.slice(a, b - a))
                 phrases = window_hashes(words.hashes, phrase)
+                if len(words.hashes) < window:
+                    continue
                 low = _running_minimum(phrases, window - phrase + 1)
                 whole, more = window_hashes(words.hashes, window), window_hashes(words.hashes, window, _SALT)
                 word_ids = (words.hashes >> np.uint64(33)).astype(np.int64).tolist()
                 spans = list(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()))
                 automaton = PhraseAutomaton(phrase)
                 for k, (first, end) in enumerate(spans):
+                    if end - first < phrase:
+                        continue
                     wanted = recurring[a + k].values.to_numpy().view(np.uint64)
                     for p in np.flatnonzero(np.isin(phrases[first : end - phrase + 1], wanted)).tolist():
                         automaton.add(tuple(word_ids[first + p : first + p + phrase]))
                 automaton.compiled()
-                out: list[list[np.ndarray]] = [[], [], [], []]
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k, (first, end) in enumerate(spans):
+                    if end - first < window:
+                        continue
                     found = automaton.starts(tuple(word_ids[first:end]))
                     at = np.flatnonzero(np.isin(low[first : end - window + 1], phrases[first + np.array(found, np.int64)]))
-                    for column, value in zip(out, (whole[first + at].view(np.int64), more[first + at].view(np.int64), np.full(len(at), ids[a + k]), at)):
+                    key = np.full(len(at), _key(_digest(texts[a + k])))
+                    for column, value in zip(out, (whole[first + at].view(np.int64), more[first + at].view(np.int64), np.full(len(at), ids[a + k]), key, at)):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h1", "h2", "doc_id", "at"])
+                if not out[0]:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h1", "h2", "doc_id", "key", "at"])
 
     return run
 
@@ -118,8 +134,11 @@ def _candidates(window: int, phrase: int):
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digests, texts = [], [], []
-            for text, starts in zip(batch.column("text"), batch.column("starts")):
+            own, removed, digests, texts = [], [], [], []
+            for i, (text, starts, key) in enumerate(zip(batch.column("text"), batch.column("starts"), batch.column("key").to_pylist())):
+                if not text.is_valid or _key(_digest(text)) != key:
+                    continue
+                own.append(i)
                 words = bytes(text.as_buffer()).split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 at = starts.values.to_numpy()
@@ -130,8 +149,9 @@ def _kept(window: int):
                 removed.append(int(gone.sum()))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept.decode())
-            arrays = [batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_removed", "kept_sha256", "kept"])
+            batch = batch.take(pa.array(own, pa.int64()))
+            arrays = [batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "n_removed", "kept_sha256", "kept"])
 
     return run
 
@@ -141,22 +161,24 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, do
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = written(own.mapInArrow(_scanned(window, phrase), "doc_id long, n_words long, digest string, anchors array<long>"), "scanned")
     long = rows.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    classes = written(long.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    classes = written(long.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
     firsts = long.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     anchors = firsts.select("doc_id", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("recurring"))
     shards = own.join(wanted, "doc_id")
-    windows = written(shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 long, doc_id long, at long"), "windows")
+    windows = written(shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 long, doc_id long, key long, at long"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    starts = windows.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    cut = own.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, n_removed long, kept_sha256 string, kept string")
+    starts = windows.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts"))
+    cut = own.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         cut = cut.drop("kept")
+    cut = cut.dropDuplicates(["doc_id", "key"])
     copies = rows.join(classes, "digest", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
-    out = copies.withColumn("copy", copy).drop("anchors", "first", "n")
-    out = out.join(cut.withColumnRenamed("kept_sha256", "cut_sha256").withColumnRenamed("n_removed", "cut_words"), "doc_id", "left")
+    key = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    out = copies.withColumn("copy", copy).withColumn("key", key).drop("anchors", "first")
+    out = out.join(cut.withColumnRenamed("kept_sha256", "cut_sha256").withColumnRenamed("n_removed", "cut_words"), ["doc_id", "key"], "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     columns = [
         "doc_id",
