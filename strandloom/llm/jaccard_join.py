@@ -45,6 +45,7 @@ LEVELS = 3
 #: Ratio of the largest to the smallest size in a size class.
 CLASS_RATIO = 1.4
 CELL_BITS = 17
+MARK_BITS = 24
 LEAF = 48
 PIVOTS = 6
 
@@ -180,8 +181,8 @@ def common_cells(docs: DataFrame, law: Law) -> np.ndarray:
     return out
 
 
-def _signature_rows(law: Law, salt: int, common: np.ndarray):
-    """(sig, node) for each signature of each text; rows come out in bounded batches."""
+def _signature_rows(law: Law, salt: int, common: np.ndarray, marks: np.ndarray | None = None):
+    """(sig, node) for each signature of each text, or those with a mark; rows come out in bounded batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +192,11 @@ def _signature_rows(law: Law, salt: int, common: np.ndarray):
                 n = [len(s) for s in sigs]
                 if sum(n):
                     within = mixed(np.repeat(regions[a:b], n).view(np.uint64))
-                    cols = [mixed(np.concatenate(sigs) + within).view(np.int64), np.repeat(nodes[a:b], n)]
+                    sig, node = mixed(np.concatenate(sigs) + within), np.repeat(nodes[a:b], n)
+                    if marks is not None:
+                        marked = marks[(sig >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+                        sig, node = sig[marked], node[marked]
+                    cols = [sig.view(np.int64), node]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sig", "node"])
 
     return run
@@ -311,11 +316,33 @@ def _region_links(law: Law):
     return run
 
 
+def _marked_rows(law: Law, salt: int, common: np.ndarray, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _signature_rows(law, salt, common, np.unpackbits(shared.value).astype(bool))(batches)
+
+    return run
+
+
+def marked_signatures(pivots: DataFrame) -> np.ndarray:
+    """By the first MARK_BITS bits, whether some of the signatures begin with them. A bitmap of fixed size."""
+    word = F.shiftrightunsigned("sig", 64 - MARK_BITS + 6)
+    bit = F.shiftrightunsigned("sig", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
+    words = pivots.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # at most 2**(MARK_BITS - 6)
+        bits[r.w] = r.bits
+    return np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
+
+
 def _connected(docs: DataFrame, law: Law, salt: int, common: np.ndarray) -> DataFrame:
     """(node, region) of documents (doc_id, text, region) that a pivot connects with others of their region."""
     rows = docs.mapInArrow(_signature_rows(law, salt, common), "sig long, node long")
     pivots = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = rows.join(small_side(written(pivots, "pivots")), "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pivots = written(pivots, "pivots")
+    # most signatures occur once: those that share no prefix with a pivot's are left out before the join
+    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marked_signatures(pivots)))  # 2**MARK_BITS bits
+    again = docs.mapInArrow(_marked_rows(law, salt, common, marks), "sig long, node long")
+    edges = again.join(small_side(pivots), "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     return components(edges).select("node", F.col("label").alias("region"))
 
 
