@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import nucleotides as nt
 from strandloom.operators import reads as ops
-from strandloom.plans import registry
+from strandloom.plans import records, registry
 from strandloom.plans.reads import reads
 from strandloom.sources.sequences import read_fasta, read_fastq
 from strandloom.streaming.admission import live_counters
@@ -13,9 +13,12 @@ from strandloom.streaming.admission import live_counters
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+QUERIES = {k: v for k, v in (registry.QUERIES | records.QUERIES).items() if v[1]}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, name):
-    query, sql = registry.QUERIES[name]
+    query, sql = QUERIES[name]
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{DATA}/lineitem.parquet'")
     want, got = con.sql(sql).df(), query(spark, DATA).toPandas()
