@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A job's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of one 8-byte key up to which a side may be broadcast (about 48 MB once hashed); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -26,10 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
+    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost.
+
+    What reads the table needs none of the shuffle files behind it, so they are dropped once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/strandloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
