@@ -7,7 +7,9 @@
    container is empty, uses its own best container.
 
 Only the text of the container without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments is returned: block by block in page order, white space inside a block as one space.
+reader comments is returned: block by block in page order, white space inside a block as one space. A class or id that is a
+chrome word counts as chrome; one that has it as a part (site-header), and a form, only on elements with a small share
+of the running text; where nothing else holds running text, names do not count.
 
 Defined cases: null or empty html gives an empty text; text outside any element counts as the body's; a null or
 unusable url counts as one host without a name; unclosed elements end with their parent; repeated rows repeat.
@@ -41,41 +43,94 @@ _CHROME_WORDS = frozenset(
     "toolbar widget skip".split()
 )
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
+#: Classes that begin with these say what the page has or is about, not what the element is: no-sidebar, tag-cookies.
+_MODIFIERS = frozenset("has no not with without is category tag type format status".split())
+#: Kinds of chrome: MAYBE only where the element holds less than SMALL of the running text, NAMED by a class, SURE by tag, role or hidden.
+MAYBE, NAMED, SURE = 1, 2, 3
+SMALL = 0.3
 _GOOD_WORDS = frozenset("article content post entry story main body text".split())
 #: Elements that an opening tag ends: p by any block, list items and table cells by their like.
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _SCOPE = frozenset("table ul ol dl div article section main body html blockquote".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
+
+
+def _named_kind(tag: str, names: list[str]) -> int:
+    """Whether classes and id name chrome: as a whole, or (MAYBE) in a part or on an element that is also named as text."""
+    kind = 0
+    for name in names:
+        words = _WORD.findall(name)
+        if not words or words[0] in _MODIFIERS and len(words) > 1:
+            continue
+        if not _CHROME_WORDS.isdisjoint(words) and not ("header" in words and not _GOOD_WORDS.isdisjoint(words)):
+            kind = max(kind, NAMED if len(words) == 1 else MAYBE)
+    return min(kind, MAYBE) if tag in ("article", "main") or not _GOOD_WORDS.isdisjoint(names) else kind
 
 
 class Page:
-    """Elements (parent, label, whether chrome) and text blocks (element, text, link characters) of one page."""
+    """Elements (parent, label, whether chrome) and text blocks (element, text, link characters) of one page.
+
+    What is chrome is decided once the whole page was read, so text is kept with its element until then.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.label, self.chrome, self.good = [-1], ["body"], ["body"], [False], [False]
+        self.parent, self.tag, self.label, self.kind, self.good = [-1], ["body"], ["body"], [0], [False]
+        self.chrome: list[bool] = []
         self.blocks: list[tuple[int, str, int]] = []
-        self._stack, self._text, self._links, self._link_depth = [0], [], 0, 0
+        self._parts: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        self._stack, self._text, self._link_depth = [0], [], 0
         self._read(source)
+        self._judge()
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join("".join(self._text).split())
-            if text:
-                self.blocks.append((self._stack[-1], text, self._links))
-            self._text, self._links = [], 0
+            self._parts.append((self._stack[-1], self._text))
+            self._text = []
 
     def _add(self, raw: str) -> None:
-        at = self._stack[-1]
-        if not self.chrome[at]:
-            text = entities.unescape(raw) if "&" in raw else raw
-            self._text.append(text)
-            if self._link_depth:
-                self._links += len(text)
+        if raw:
+            self._text.append((self._stack[-1], entities.unescape(raw) if "&" in raw else raw, self._link_depth > 0))
+
+    def _judge(self) -> None:
+        """Sets chrome and blocks; where only elements named as chrome hold running text, names do not count."""
+        self._keep(self._chrome())
+        if (MAYBE in self.kind or NAMED in self.kind) and not any(len(text) > 2 * links for _, text, links in self.blocks):
+            named = self.blocks, self.chrome
+            self._keep(self._flags([k == SURE for k in self.kind]))
+            if not any(len(text) > 2 * links for _, text, links in self.blocks):
+                self.blocks, self.chrome = named
+
+    def _flags(self, own: list[bool]) -> list[bool]:
+        """Own flags, and those of the elements around."""
+        for at in range(1, len(own)):
+            own[at] = own[at] or (own[self.parent[at]] and self.tag[at] not in ("html", "body"))
+        return own
+
+    def _chrome(self) -> list[bool]:
+        sure = self._flags([k >= NAMED for k in self.kind])
+        if MAYBE in self.kind:
+            held = [0] * len(sure)
+            for _, pieces in self._parts:
+                for at, text, link in pieces:
+                    if not sure[at]:
+                        held[at] += -len(text) if link else len(text)
+            held = [max(0, n) for n in held]
+            for at in range(len(held) - 1, 0, -1):
+                held[self.parent[at]] += held[at]
+            sure = self._flags([s or (k == MAYBE and n < SMALL * held[0]) for s, k, n in zip(sure, self.kind, held)])
+        return sure
+
+    def _keep(self, chrome: list[bool]) -> None:
+        self.chrome, self.blocks = chrome, []
+        for at, pieces in self._parts:
+            kept = [(text, link) for piece, text, link in pieces if not chrome[piece]]
+            if kept and (text := " ".join("".join(t for t, _ in kept).split())):
+                self.blocks.append((at, text, sum(len(t) for t, link in kept if link)))
 
     def _close(self, depth: int) -> None:
         """Ends the elements above `depth` of the stack."""
@@ -86,6 +141,8 @@ class Page:
         del self._stack[depth:]
 
     def _open(self, tag: str, rest: str) -> None:
+        if self.tag[self._stack[-1]] == "head":  # its end may be left out
+            self._close(len(self._stack) - 1)
         if tag in _BLOCK:
             for depth in range(len(self._stack) - 1, 0, -1):
                 now = self.tag[self._stack[depth]]
@@ -95,7 +152,7 @@ class Page:
                 if now in _SCOPE:
                     break
             self._flush()
-        names, role = [], ""
+        names, role, hidden = [], "", False
         if rest:
             for key, value in _ATTRIBUTE.findall(rest):
                 key, value = key.lower(), value.strip("\"'").lower()
@@ -103,15 +160,22 @@ class Page:
                     names += value.split() if key == "class" else [value]
                 elif key == "role":
                     role = value
+                elif key == "hidden" or (key == "style" and _NO_DISPLAY.search(value)):
+                    hidden = True
         words = {w for n in names for w in _WORD.findall(n)}
-        up = self._stack[-1]
-        inside = tag in ("html", "body")
-        chrome = self.chrome[up] or (not inside and (tag in _CHROME_TAGS or bool(words & _CHROME_WORDS) or role in _CHROME_ROLES or bool(rest and _HIDDEN.search(rest))))
+        up, kind = self._stack[-1], 0
+        if tag not in ("html", "body"):
+            kind = _named_kind(tag, names) if names else 0
+            if tag == "form" or role == "form":  # some sites wrap the whole page in one
+                kind = max(kind, MAYBE)
+            elif tag in _CHROME_TAGS or role in _CHROME_ROLES:
+                kind = SURE
+            kind = SURE if hidden else kind
         label = tag + "".join(f".{n}" for n in sorted({re.sub(r"\d+", "", n) for n in names}) if n)
         self.parent.append(up)
         self.tag.append(tag)
         self.label.append(label)
-        self.chrome.append(chrome)
+        self.kind.append(kind)
         self.good.append(bool(words & _GOOD_WORDS))
         self._stack.append(len(self.tag) - 1)
         self._link_depth += tag == "a"

@@ -236,6 +236,17 @@ def test_html_extraction(spark):
     assert html_extraction.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "wrapper", ["div class='content has-sidebar'", "div class='no-sidebar'", "section class='with-header'", "article class='post category-social tag-cookies'", "div class='sidebar-left-layout'", "div class=widget", "form id=all"]
+)
+def test_html_names_of_wrappers_drop_no_article(wrapper):
+    html = f"<head><meta charset=utf-8><body><nav>menu</nav><{wrapper}><h1>Title</h1><p title='the hidden valley'>First long paragraph of a text.</p><p>Second paragraph <span class=ad>buy</span> with words.</p><p hidden>no</p><div class='cookie-banner'>We use them.</div></{wrapper.split()[0]}><footer>f</footer>"
+    text = html_extraction.main_text(html, None)
+    assert text.startswith("Title\n\nFirst long paragraph of a text.\n\nSecond paragraph") and text.count("with words.") == 1 and "no" not in text.split()
+    assert wrapper == "div class=widget" or ("We use" not in text and "buy" not in text)
+    assert html_extraction.main_text("<nav>menu of a page</nav>", None) == ""
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar(toxicity.Lexicon({"moron": 4.0}, {"lowe": 3.0}))
     plain, aimed, denied, told = (grammar.clause(c.split()) for c in ("a moron here", "you are moron", "you are not a moron", "he said moron"))
