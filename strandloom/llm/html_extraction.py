@@ -1,10 +1,11 @@
 """HTML extraction: consensus host paths.
 
-1. Each page's containers are scored by the running text they hold directly, and the page votes for the generalised
-   tag-class paths (digits dropped) of its best ones, in shares of their scores.
+1. Each page's containers are scored by the running text they hold directly. The page votes for the generalised
+   tag-class paths (digits dropped) of its containers, in shares of the path's score; all containers on a path count.
 2. Spark sums the votes by host and path; the path with most votes wins its host.
-3. Each page is extracted again from the containers on its host's winning path; a page without them, or whose
-   container is empty, uses its own best container.
+3. Each page is extracted again from the containers on its host's winning path, widened by `widened` to what belongs to
+   the same article: its title, lead and sibling sections. Where they hold less than half of the page's running text,
+   the page's own best path is added; a page without them uses that path alone.
 
 Only the text of the container without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments is returned: block by block in page order, white space inside a block as one space. A class or id that is a
@@ -48,6 +49,8 @@ _MODIFIERS = frozenset("has no not with without is category tag type format stat
 #: Kinds of chrome: MAYBE only where the element holds less than SMALL of the running text, NAMED by a class, SURE by tag, role or hidden.
 MAYBE, NAMED, SURE = 1, 2, 3
 SMALL = 0.3
+_TITLES = frozenset("h1 h2".split())
+_TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 _GOOD_WORDS = frozenset("article content post entry story main body text".split())
 #: Elements that an opening tag ends: p by any block, list items and table cells by their like.
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
@@ -239,20 +242,69 @@ class Page:
                 at = self.parent[at]
         return {k: v for k, v in out.items() if v > 0}
 
-    def text_of(self, roots: set[int]) -> str:
-        inside = {r: True for r in roots}
-
-        def within(at: int) -> bool:
+    def path_scores(self) -> list[tuple[str, float, set[int]]]:
+        """Paths with the summed score of all their containers and these, best first."""
+        at_path: dict[str, set[int]] = defaultdict(set)
+        scores = self.scores()
+        for at in scores:
+            at_path[self.path(at)].add(at)
+        rows = [(path, sum(scores[at] for at in sorted(on)), on) for path, on in at_path.items()]
+        return sorted(rows, key=lambda x: (-x[1], min(x[2])))
+
+    def inside(self, roots: set[int]) -> list[int]:
+        """Numbers of the blocks within any root."""
+        known = {-1: False} | {r: True for r in roots}
+        out = []
+        for k, (at, _, _) in enumerate(self.blocks):
             trail = []
-            while at >= 0 and at not in inside:
+            while at not in known:
                 trail.append(at)
                 at = self.parent[at]
-            found = at >= 0 and inside[at]
             for t in trail:
-                inside[t] = found
-            return found
+                known[t] = known[at]
+            if known[at]:
+                out.append(k)
+        return out
 
-        return "\n\n".join(text for at, text, _ in self.blocks if within(at))
+    def running(self, blocks: list[int]) -> int:
+        return sum(max(0, len(self.blocks[k][1]) - 2 * self.blocks[k][2]) for k in blocks)
+
+    def _home(self, at: int, kinds: frozenset[str]) -> int:
+        """The element itself or the nearest around it of these kinds."""
+        while at > 0 and self.tag[at] not in kinds:
+            at = self.parent[at]
+        return at
+
+    def widened(self, roots: set[int]) -> set[int]:
+        """Roots of one path, or containers around them that add to the same article.
+
+        A container adds if it holds headings or paragraphs itself, is an article, main or named as text, or if it adds
+        sections to sections; the first that adds something else ends the search. An article is widened only by a
+        heading that its container holds itself, and the body only where it holds headings and paragraphs alone.
+        """
+        inner = self.inside(roots)
+        up = roots
+        while True:
+            up = {self._home(self.parent[at], _CONTAINER) for at in up if self.parent[at] >= 0}
+            if not up:
+                return roots
+            every = self.inside(up)
+            own = set(inner)
+            added = [k for k in every if k not in own]
+            if self.running(added):
+                homes = {k: self._home(self.blocks[k][0], _BLOCK) for k in added if self.running([k])}
+                texts = [at for at in homes.values() if self.tag[at] in _TEXTS]
+                direct = [at for at in texts if self._home(at, _CONTAINER) in up]
+                if any(self.tag[at] == "article" for at in roots):
+                    good = any(self.tag[at] in _TITLES for at in direct)
+                else:
+                    good = bool(direct) or any(self.good[at] or self.tag[at] in ("article", "main") for at in up)
+                    good = good or (all(self.tag[at] == "section" for at in roots) and any(self.tag[self._home(at, _CONTAINER)] == "section" for at in texts))
+                if any(self.tag[at] == "body" for at in up):
+                    good = good and len(direct) == len(homes)
+                if not good:
+                    return roots
+                roots, inner = up, every
 
 
 def host_of(url: str | None) -> str:
@@ -260,23 +312,25 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def votes(source: str | None, most: int = 3) -> list[tuple[str, float]]:
-    page = Page(source or "")
-    best = sorted(page.scores().items(), key=lambda x: (-x[1], x[0]))[:most]
-    total = sum(v for _, v in best)
-    return [(page.path(at), v / total) for at, v in best]
+def votes(source: str | None) -> list[tuple[str, float]]:
+    rows = Page(source or "").path_scores()
+    total = sum(v for _, v, _ in rows)
+    return [(path, v / total) for path, v, _ in rows]
 
 
 def main_text(source: str | None, path: str | None) -> str:
-    """Text of the outermost containers on the path, or else of the page's best container."""
+    """Text of the containers on the path and what belongs to them, or else of the page's best path."""
     page = Page(source or "")
+    every, found = range(len(page.blocks)), []
     if path:
         last = path.rsplit(">", 1)[-1]
         on = {at for at, label in enumerate(page.label) if label == last and not page.chrome[at] and page.path(at) == path}
-        if on and (text := page.text_of(on)):
-            return text
-    scores = page.scores()
-    return page.text_of({min(scores, key=lambda at: (-scores[at], at))}) if scores else "\n\n".join(t for _, t, _ in page.blocks)
+        found = page.inside(page.widened(on)) if on and page.inside(on) else []
+    if not found or 2 * page.running(found) < page.running(every):
+        best = page.path_scores()
+        own = page.inside(page.widened(best[0][2])) if best else [] if found else every
+        found = sorted({*found, *own})
+    return "\n\n".join(page.blocks[k][1] for k in found)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

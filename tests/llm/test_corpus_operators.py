@@ -247,6 +247,23 @@ def test_html_names_of_wrappers_drop_no_article(wrapper):
     assert html_extraction.main_text("<nav>menu of a page</nav>", None) == ""
 
 
+def test_html_inner_paths_keep_titles_leads_and_minority_pages(spark):
+    long = "A paragraph of many words that goes on for a while. " * 4
+    pages = {
+        1: f"<body><article><h1>T</h1><div class='entry-content'><p>{long}</p><p>{long}</p></div></article><div class=rail><p>Other story.</p></div>",
+        2: f"<body><div class='content'><h1>T</h1><p>lead</p><section><p>{long}</p></section><section><p>{long}</p></section></div>",
+        3: f"<body><div class='teaser'><p>short text</p></div><div class='essay'><h1>T</h1><p>{long}</p><p>{long}</p></div>",
+        4: f"<body><div class='teaser'><p>{long}</p></div>",
+        5: f"<body><div class='teaser'><p>{long}{long}</p></div>",
+    }
+    hosts = {1: "a", 2: "b", 3: "c", 4: "c", 5: "c"}
+    rows = spark.createDataFrame([(k, f"http://{hosts[k]}.org/", v) for k, v in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in html_extraction.extracted(rows).collect()}
+    one = long.strip()
+    assert got[1] == ["T", one, one] and got[2] == ["T", "lead", one, one] and got[3][-3:] == ["T", one, one] and got[4] == [one]
+    assert len(html_extraction.votes("<article><p>some words</p></article>" * 5)) == 2
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar(toxicity.Lexicon({"moron": 4.0}, {"lowe": 3.0}))
     plain, aimed, denied, told = (grammar.clause(c.split()) for c in ("a moron here", "you are moron", "you are not a moron", "he said moron"))
