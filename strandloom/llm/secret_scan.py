@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context.
 
-Patterns find assignments, access keys and long hexadecimal runs. Every other token that could be a key (CANDIDATE:
-letters and digits, MIN_CANDIDATE characters or more) is scored by the network from its characters and those around it
-and added as a finding of kind "net" at or above a threshold.
+Patterns find assignments, access keys and long hexadecimal runs. Every token that could be a key is scored by the
+network from its characters and those around it and added as a finding of kind "net" at or above a threshold: runs of
+token characters, dots included (JWT), and their parts between slashes, dots and inner equals signs; of addresses only the
+parts. They need MIN_CANDIDATE characters, or MIN_NEAR after a key word or as the password of an address, and a letter with
+a digit or a change from lower to upper case (letters of one case: MIN_LETTERS in a row). A token longer than INSIDE is scored
+in windows that overlap by half; its highest score counts. Pattern findings are scored as well and kept at any score.
 
 The network (embedding, one convolution, maxima over the candidate and over its context, one output) is in numpy. It
 is trained here on labelled findings made by a seeded generator (FIT_FINDINGS): keys of many forms against mail
 addresses, links, numbers, dates, names, file names and words. A part held back calibrates its output by a logistic
-curve, and the threshold is the highest that keeps RECALL of the positive ones there.
+curve, and the threshold is the highest up to SURE that keeps RECALL of the positive ones there.
 
 Defined cases: a null text counts as empty; an empty text has no findings; touching or repeated findings are all kept;
-a candidate that overlaps a pattern's finding is not added again.
+a candidate within a pattern's finding is not added again; of candidates that overlap, the longest found is kept.
 """
 
 from __future__ import annotations
@@ -33,14 +36,22 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-MIN_CANDIDATE = 20
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9@])" % MIN_CANDIDATE)
+MIN_CANDIDATE, MIN_NEAR, MIN_LETTERS = 16, 8, 20
+_RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % MIN_NEAR)
+_ODD = re.compile(r"[0-9]|[a-z][A-Z]|[A-Za-z]{%d}" % MIN_LETTERS)
+_LETTER = re.compile(r"[A-Za-z]")
+_PART = re.compile(r"[^/.]+")
+_VALUE = re.compile(r"[^=]+=*")
+_NEAR = re.compile(r"(?:key|secret|token|passw|pwd|auth|bearer|credential|signature|sig|login)[a-z_]{0,12}[\"']?\s{0,3}(?:is|[:=])?\s{0,3}[\"']?\Z", re.I)
+_USER = re.compile(r"://[^\s/@:]*:\Z")
 
 BEFORE, INSIDE, AFTER = 24, 48, 12
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, DIM, FILTERS = 5, 8, 24
-FIT_FINDINGS = 2_400
+FIT_FINDINGS = 9_600
 RECALL = 0.98
+#: The threshold is no higher, however well the findings held back are told apart.
+SURE = 0.9
 EPOCHS = 10
 
 
@@ -62,14 +73,48 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Places of tokens with letters and digits that no finding overlaps."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-            if not any(s.start < m.end() and m.start() < s.end for s in taken):
-                out.append(m.span())
-    return out
+    """Places of tokens that could be keys and that no finding covers; parts come besides the token they are in."""
+    out: list[tuple[int, int]] = []
+
+    def add(start: int, end: int, least: int) -> None:
+        while start < end and text[start] in "./=":
+            start += 1
+        while end > start and text[end - 1] in "./":
+            end -= 1
+        token = text[start:end]
+        if len(token) >= least and _ODD.search(token) and _LETTER.search(token):
+            if not any(s.start <= start and end <= s.end for s in taken):
+                out.append((start, end))
+
+    for m in _RUN.finditer(text):
+        if not _ODD.search(m[0]):
+            continue
+        address = m[0].startswith("//") and text[m.start() - 1 : m.start()] == ":"
+        for value in _VALUE.finditer(m[0]):
+            start, end = m.start() + value.start(), m.start() + value.end()
+            before = text[max(0, start - 32) : start]
+            least = MIN_NEAR if _NEAR.search(before) or (text[end : end + 1] == "@" and _USER.search(before)) else MIN_CANDIDATE
+            if end - start < least:
+                continue
+            if not address:
+                add(start, end, least)
+            if "/" in value[0]:
+                for part in value[0].split("/"):
+                    if part != value[0]:
+                        add(start, start + len(part), least)
+                    start += len(part) + 1
+                start = m.start() + value.start()
+            if "." in value[0]:
+                for part in _PART.finditer(value[0]):
+                    add(start + part.start(), start + part.end(), least)
+    return sorted(set(out))
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Places of INSIDE characters or less that cover a candidate, each overlapping the next by half."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(a, a + INSIDE) for a in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
 
 
 @lru_cache(maxsize=1)
@@ -77,17 +122,15 @@ def _codes() -> dict[str, int]:
     return {c: i + 2 for i, c in enumerate(string.digits + string.ascii_letters + string.punctuation + " \n\t")}
 
 
-def encoded(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the context and the candidate; a longer candidate keeps both its ends."""
-    token = text[start:end]
-    if len(token) > INSIDE:
-        token = token[: INSIDE // 2] + token[-INSIDE // 2 :]
+def encoded(text: str, start: int, end: int, window: tuple[int, int] | None = None) -> np.ndarray:
+    """Codes of a window of the candidate (its first) and of what is around the candidate."""
+    first, last = window or windows(start, end)[0]
     known = _codes().get
     row = np.zeros(LENGTH, np.int64)
     left = text[max(0, start - BEFORE) : start]
     for i, c in enumerate(left, BEFORE - len(left)):
         row[i] = known(c, 1)
-    for i, c in enumerate(token, BEFORE):
+    for i, c in enumerate(text[first:last], BEFORE):
         row[i] = known(c, 1)
     for i, c in enumerate(text[end : end + AFTER], BEFORE + INSIDE):
         row[i] = known(c, 1)
@@ -135,7 +178,7 @@ def labelled_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
         size, secret = int(rng.integers(20, 65)), i % 2 == 0
         before = " ".join(word() for _ in range(4)) + " "
         if secret:
-            form = int(rng.integers(0, 5))
+            form, after = int(rng.integers(0, 9)), ""
             if form == 0:
                 token = pick(string.ascii_letters + digits, size)
             elif form == 1:
@@ -144,14 +187,31 @@ def labelled_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
                 token = str(rng.choice(["ghp_", "sk-", "xoxb-", "pk_live_", "AIza", "glpat-"])) + pick(string.ascii_letters + digits, max(20, size - 6))
             elif form == 3:
                 token = pick("0123456789ABCDEF", max(24, size))
-            else:
+            elif form == 4:
                 token = pick(string.ascii_letters + digits + "-_", size)
-            if rng.random() < 0.6:
+            elif form == 5:
+                url_safe = string.ascii_letters + digits + "-_"
+                token = "eyJ" + pick(url_safe, int(rng.integers(15, 40))) + ".eyJ" + pick(url_safe, int(rng.integers(20, 120))) + "." + pick(url_safe, int(rng.integers(27, 86)))
+            elif form == 6:
+                token = str(rng.choice(["SG", "v1", "pk", "hvs", word()])) + "." + pick(string.ascii_letters + digits + "-_", int(rng.integers(16, 30))) + "." + pick(string.ascii_letters + digits + "-_", int(rng.integers(16, 44)))
+            elif form == 7:
+                token = pick(string.ascii_letters + digits, int(rng.integers(16, 44)))
+                before += f"https://{word()}.{word()}.com/{word()}/"
+                if rng.random() < 0.5:
+                    before += f"T{pick(string.ascii_uppercase + digits, 8)}/B{pick(string.ascii_uppercase + digits, 8)}/"
+            elif rng.random() < 0.5:
+                token, after = pick(string.ascii_letters + digits, int(rng.integers(10, 24))), "@" + word() + str(rng.choice([".com/", ":5432/", "/"])) + word()
+                before += f"{rng.choice(['postgres', 'mysql', 'redis', 'https', 'amqp'])}://{word()}:"
+            else:
+                token = pick(string.ascii_letters + digits, int(rng.integers(10, 20)))
+                before += str(rng.choice(names)) + str(rng.choice([" = ", ": ", "=", ' = "', " "]))
+            if form < 7 and rng.random() < 0.6:
                 before += str(rng.choice(names)) + str(rng.choice([" = ", ": ", "=", ' = "', " "]))
         else:
-            form = int(rng.integers(0, 8))
+            form, after = int(rng.integers(0, 14)), ""
             if form == 0:
                 token = pick(digits, 10) + word() + word() + word()
+                after = str(rng.choice(["", f"@{word()}.com"]))
             elif form == 1:
                 token = "-".join([word() for _ in range(5)] + [pick(digits, int(rng.integers(1, 5)))])
             elif form == 2:
@@ -164,11 +224,27 @@ def labelled_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
                 token = f"20{rng.integers(10, 30)}-{rng.integers(1, 12):02d}-{rng.integers(1, 28):02d}T{rng.integers(0, 23):02d}-{rng.integers(0, 59):02d}-{rng.integers(0, 59):02d}Z"
             elif form == 6:
                 token = word() + "=" * int(rng.integers(12, 30)) + pick(digits, 2)
-            else:
+            elif form == 7:
                 token = (word() + pick(digits, 1)) * int(rng.integers(6, 9))
-            token = token if len(token) >= MIN_CANDIDATE else token + "-" + "-".join(word() for _ in range(5))
-        text = before + token + str(rng.choice([" ", '" ', ". ", "\n", ", "])) + " ".join(word() for _ in range(3))
-        rows.append(encoded(text, len(before), len(before) + len(token)))
+            elif form == 8:
+                token, after = str(rng.choice([".", "_", "-"])).join(word() for _ in range(int(rng.integers(2, 5)))) + pick(digits, int(rng.integers(0, 4))), f"@{word()}.{word()}.org"
+            elif form == 9:
+                token = ".".join(word() for _ in range(int(rng.integers(3, 7)))) + str(rng.choice([".com", ".V2", f".{word().capitalize()}{pick(digits, 2)}", "-1.10.3.tar"]))
+            elif form == 10:
+                token = str(rng.choice(["-", "_"])).join([word() for _ in range(int(rng.integers(3, 7)))] + [pick(digits, int(rng.integers(1, 6)))])
+                before += f"https://www.{word()}.org/{word()}/"
+            elif form == 11:
+                token = "".join(word() for _ in range(int(rng.integers(5, 30)))) if rng.random() < 0.5 else "".join(word().capitalize() for _ in range(int(rng.integers(4, 9))))
+            elif form == 12:
+                token = pick("ACGT", size)
+            else:
+                token = str(rng.choice([f"chapter{pick(digits, 2)}", f"{word()}{word()}20{pick(digits, 2)}", f"{word()}.{word()}{pick(digits, 1)}", f"{word()}-{word()}-{pick(digits, 1)}"]))
+                before += str(rng.choice(names)) + str(rng.choice([" = ", ": ", "=", " is ", " "]))
+            least = MIN_NEAR if form == 13 else MIN_CANDIDATE
+            token = token if len(token) >= least else token + "-" + "-".join(word() for _ in range(5))
+        text = before + token + after + str(rng.choice([" ", '" ', ". ", "\n", ", "])) + " ".join(word() for _ in range(3))
+        parts = windows(len(before), len(before) + len(token))
+        rows.append(encoded(text, len(before), len(before) + len(token), parts[int(rng.integers(0, len(parts)))]))
         marks.append(float(secret))
     return np.stack(rows), np.array(marks)
 
@@ -214,20 +290,58 @@ def trained() -> Network:
         w -= np.clip(np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2), x.T @ (q - truth) + 0.5 * (w - [1, 0])), -1, 1)
     net = net._replace(slope=float(w[0]), shift=float(w[1]))
     positive = np.sort(net.scores(held[truth == 1]))
-    return net._replace(threshold=float(positive[int((1 - RECALL) * len(positive))]))
+    return net._replace(threshold=min(SURE, float(positive[int((1 - RECALL) * len(positive))])))
+
+
+class Findings(NamedTuple):
+    """The patterns' findings and all findings, by start, the latter with their scores."""
+
+    base: list[Span]
+    every: list[Span]
+    scores: list[float]
+
+
+def token_scores(places: list[tuple[str, int, int]], net: Network) -> np.ndarray:
+    """For each (text, start, end) the highest score of its windows."""
+    out, rows, owner = np.zeros(len(places)), [], []
+
+    def flush() -> None:
+        if rows:
+            np.maximum.at(out, owner, net.scores(np.stack(rows)))
+            rows.clear()
+            owner.clear()
+
+    for k, (text, start, end) in enumerate(places):
+        for window in windows(start, end):
+            rows.append(encoded(text, start, end, window))
+            owner.append(k)
+            if len(rows) == 4096:
+                flush()
+    flush()
+    return out
+
+
+def scored(texts: list[str | None], net: Network) -> list[Findings]:
+    """Each text's findings."""
+    base = [base_spans(t or "") for t in texts]
+    more = [candidates(t or "", found) for t, found in zip(texts, base)]
+    scores = iter(token_scores([(t or "", a, b) for t, found, own in zip(texts, base, more) for a, b in [x[1:] for x in found] + own], net).tolist())
+    out = []
+    for found, own in zip(base, more):
+        rows = [(s, next(scores)) for s in found]
+        hits = [x for x in [(Span("net", a, b), next(scores)) for a, b in own] if x[1] >= net.threshold]
+        kept: list[tuple[Span, float]] = []
+        for s, score in sorted(hits, key=lambda x: (x[0].start - x[0].end, x[0].start)):
+            if not any(k.start < s.end and s.start < k.end for k, _ in kept):
+                kept.append((s, score))
+        rows = sorted(rows + kept, key=lambda x: (x[0].start, (*KINDS, "net").index(x[0].kind)))
+        out.append(Findings(found, [s for s, _ in rows], [score for _, score in rows]))
+    return out
 
 
 def findings(texts: list[str | None], net: Network) -> list[tuple[list[Span], list[Span]]]:
     """For each text the patterns' findings and all findings, by start."""
-    base = [base_spans(t or "") for t in texts]
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t or "", base[i])]
-    added: dict[int, list[Span]] = {}
-    if places:
-        scores = net.scores(np.stack([encoded(texts[i], a, b) for i, a, b in places]))
-        for (i, a, b), s in zip(places, scores):
-            if s >= net.threshold:
-                added.setdefault(i, []).append(Span("net", a, b))
-    return [(found, sorted(found + added[i], key=lambda s: (s.start, (*KINDS, "net").index(s.kind))) if i in added else found) for i, found in enumerate(base)]
+    return [(f.base, f.every) for f in scored(texts, net)]
 
 
 def joined(spans: list[Span]) -> str:
@@ -235,25 +349,25 @@ def joined(spans: list[Span]) -> str:
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans and n_net of every row."""
+    """doc_id, counts by kind, base_sha256, spans, n_net and the scores of the spans of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for a in range(0, batch.num_rows, 200):
-                for base, every in findings(batch.column("text").slice(a, 200).to_pylist(), net):
+                for base, every, scores in scored(batch.column("text").slice(a, 200).to_pylist(), net):
                     kinds = [s.kind for s in base]
                     digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                    for column, value in zip(out, (*map(kinds.count, KINDS), digest, joined(every), len(every) - len(base))):
+                    for column, value in zip(out, (*map(kinds.count, KINDS), digest, joined(every), len(every) - len(base), ",".join(f"{x:.3f}" for x in scores))):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             arrays = [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, types)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_net"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_net", "scores"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long")
+    return own.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, scores string")
 
 
 def redacted_text(text: str | None, spans: list[Span]) -> str | None:
