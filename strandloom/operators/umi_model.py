@@ -1,13 +1,16 @@
 """The likelihood model of UMIs: which tag an observed tag was read from, by EM over tags within two edits.
 
 The edges are a join: an observed tag and a real one meet at every string that is one edit away from both. What EM
-iterates over is then one row per edge, grouped by sample. A group is bounded by the tags that exist, some 4**8 of the
-usual length and their one-edit variants, however many reads there are, as reads are counted before.
+iterates over is then one row per edge. Samples of at most GROUP_EDGES edges are done in one task each; the edges of
+larger ones stay a table and each round is a join with the prior and two aggregations, so no task holds a sample. Sums
+over a table have no fixed order, so rounds end where no weight moves by more than CLOSE of itself.
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 ERROR = 0.005
 INSERTION, DELETION, SUBSTITUTION = ERROR * 0.4 * 0.25, ERROR * 0.4, ERROR * 0.2 / 3
 CONCENTRATION, ROUNDS = 0.5, 1000
+#: Edges of a sample up to which its EM is one task, and the relative change at which rounds over tables end.
+GROUP_EDGES, CLOSE = 1_000_000, 1e-13
 REJECTS, REJECTED, REJECTED_PROBABILITY = "REJECTS", "REJECTED", 1 - math.exp(-5.123456789)
 
 _BASES = "array('A', 'C', 'T', 'G')"
@@ -74,11 +79,52 @@ def _assigned(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sample_idx": edges["sample_idx"].iloc[0], "umi": tags, "parent": tags[real[at]], "probability": joint[at] / total})
 
 
-def families(counts: DataFrame, threshold: float = 0.995, family_size: int = 5) -> DataFrame:
+def _table(df: DataFrame, folder: str, name: str) -> DataFrame:
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _assigned_by_rounds(edges: DataFrame, folder: str) -> DataFrame:
+    """What _assigned returns, for the edges of any number of samples, as joins over tables in the folder."""
+    key = ["sample_idx", "real"]
+    prior = edges.select(*key).distinct().withColumn("weight", F.lit(1.0))  # only ratios within a sample matter
+
+    def joint(prior: DataFrame) -> DataFrame:
+        return edges.join(prior.select(*key, "weight"), key).withColumn("joint", F.col("weight") * F.col("p"))
+
+    for k in range(ROUNDS):
+        rows = joint(prior)
+        totals = rows.groupBy("sample_idx", "umi").agg(F.sum("joint").alias("total"))
+        shares = rows.join(totals, ["sample_idx", "umi"]).where("total > 0")
+        shares = shares.withColumn("share", F.col("joint") * F.col("family_size") / F.col("total"))
+        sums = shares.groupBy(*key).agg(F.sum("share").alias("share"))
+        after = prior.select(*key, F.col("weight").alias("before")).join(sums, key, "left")
+        prior = _table(after.withColumn("weight", F.coalesce("share", F.lit(0.0)) + CONCENTRATION), folder, f"prior-{k}")
+        if k and not prior.where(F.abs(F.col("weight") - F.col("before")) > CLOSE * F.col("weight")).limit(1).count():
+            break
+    best = F.min(F.struct((-F.col("joint")).alias("minus"), "real"))
+    rows = joint(prior).groupBy("sample_idx", "umi").agg(best.alias("best"), F.sum("joint").alias("total"))
+    return rows.select("sample_idx", "umi", F.col("best.real").alias("parent"), (-F.col("best.minus") / F.col("total")).alias("probability"))
+
+
+def _all_assigned(edges: DataFrame, group_edges: int) -> DataFrame:
+    """sample_idx, umi, parent, probability: small samples in a task each, large ones by rounds."""
+    schema = "sample_idx long, umi string, parent string, probability double"
+    spark = edges.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
+    folder = f"{shared.rstrip('/')}/umi-{uuid.uuid4().hex}"
+    edges = _table(edges.withColumn("sample_idx", F.col("sample_idx").cast("long")), folder, "edges")
+    sizes = edges.groupBy("sample_idx").count().collect()  # one row for each sample
+    large = [r.sample_idx for r in sizes if r["count"] > group_edges]
+    is_large = F.col("sample_idx").isin(large) if large else F.lit(False)
+    small = edges.where(~is_large).groupBy("sample_idx").applyInPandas(_assigned, schema)
+    return small.unionByName(_assigned_by_rounds(edges.where(is_large), folder)) if large else small
+
+
+def families(counts: DataFrame, threshold: float = 0.995, family_size: int = 5, group_edges: int = GROUP_EDGES) -> DataFrame:
     """sample_idx, umi, parent, family_size, probability, disposition of every tag of sample_idx, umi, family_size."""
     edges = two_edit_likelihoods(counts).join(counts.select("sample_idx", "umi", "family_size"), ["sample_idx", "umi"])
-    schema = "sample_idx long, umi string, parent string, probability double"
-    assigned = edges.groupBy("sample_idx").applyInPandas(_assigned, schema)
+    assigned = _all_assigned(edges, group_edges)
     why = F.when(F.col("umi") == REJECTS, "BPB-rejects").when(F.col("probability") < threshold, "LDA-rejects")
     why = why.when(F.length("umi") != 8, "UMI_len != 8").when(F.col("family_size") < family_size, "family-size-reject")
     rejected = F.col("umi") == REJECTS
