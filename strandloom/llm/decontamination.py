@@ -8,8 +8,9 @@ not matter, so passages put together anew are caught.
 The test set is the query set: it is taken to the executors in blocks of BLOCK_BYTES, and every block meets all
 documents.
 
-Defined cases: null and empty texts match nothing; items shorter than a seed are matched whole; repeated rows are
-judged each; an empty test set flags nothing; extra columns of the documents stay as they are.
+Defined cases: null and empty texts match nothing; items shorter than a seed are matched whole; repeated documents
+are judged each, repeated items once; an item_id with two texts counts as two items; a null item_id stays null in the
+result; an empty test set flags nothing; extra columns of the documents stay as they are.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 5
 MIN_MATCH = 4
+#: No longer than a tile, so that passages put together anew from the shortest tiles are looked at as well.
+SEED = MIN_MATCH
 #: Share of an item's words that tiles must cover.
 COVERAGE = 0.6
 BLOCK_BYTES = 16 << 20
@@ -36,7 +38,7 @@ _M = (1 << 61) - 1
 
 
 class Found(NamedTuple):
-    item_id: int
+    item_id: int | None
     coverage: float
     tiles: int
     words: int
@@ -96,22 +98,23 @@ def tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> list[tuple
 
 
 class Block:
-    """Some items: their words as numbers and their seeds."""
+    """Some items: their ids, their words as numbers and, by place in the block, their seeds."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.vocabulary: dict[str, int] = {}
-        self.items: dict[int, list[int]] = {}
+        self.items: list[tuple[int | None, list[int]]] = []
         self.seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
         self.short: set[int] = set()
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
             if not ids:
                 continue
-            self.items[item_id] = ids
+            place = len(self.items)
+            self.items.append((item_id, ids))
             n = min(SEED, len(ids))
             self.short |= {n} if n < SEED else set()
             for i in range(len(ids) - n + 1):
-                self.seeds[tuple(ids[i : i + n])].add(item_id)
+                self.seeds[tuple(ids[i : i + n])].add(place)
 
     def found(self, text: str | None, least_coverage: float) -> list[Found]:
         known = self.vocabulary.get
@@ -124,8 +127,8 @@ class Block:
                 for i in np.flatnonzero(sums[n:] - sums[:-n] == n).tolist():
                     hits |= self.seeds.get(tuple(doc[i : i + n]), set())
         out = []
-        for item_id in sorted(hits):
-            item = self.items[item_id]
+        for place in sorted(hits):
+            item_id, item = self.items[place]
             mine = set(item)
             got = tiles(item, [x if x in mine else -1 for x in doc])
             covered = sum(n for _, _, n in got)
@@ -137,7 +140,7 @@ class Block:
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[Block]:
     """The test set in blocks of bounded size."""
     some, size = [], 0
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text")
+    items = benchmark.where("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for r in items.toLocalIterator():
         some.append((r.item_id, r.text))
         size += len(r.text) * 4

@@ -207,6 +207,16 @@ def test_tiling_covers_reordered_passages(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_tiling_takes_every_item_and_short_runs(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    bench = spark.createDataFrame([(7, text("a")), (7, text("b")), (None, text("c"))], "item_id long, text string")
+    w = text("a").split()
+    mixed = " x ".join(" ".join(w[i : i + 4]) for i in (8, 0, 4))
+    docs = spark.createDataFrame([(1, text("a")), (2, text("b")), (3, text("c")), (4, mixed), (5, "other words of a text")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in decontamination.leaks(docs, bench).collect()) == [(1, 7, 1.0), (2, 7, 1.0), (3, None, 1.0), (4, 7, 1.0)]
+    assert [r.doc_id for r in docs.where(~decontamination.is_leaked(docs.text, bench)).collect()] == [5]
+
+
 def test_secret_patterns_and_network(spark, docs):
     text = 'é password: "abc12/", TOKEN=short1 token=x AKIA' + "A1" * 10 + " " + "0af" * 9
     spans = secret_scan.base_spans(text)
