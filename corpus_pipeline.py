@@ -23,10 +23,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component; documents without a doc_id or words stay."""
-    found = jaccard_join.joined(docs, NEAR)
+    """The first document of each component, once; documents without a doc_id or words stay."""
+    found = written(jaccard_join.joined(docs, NEAR), "components")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    twice = small_side(twice)
+    first = kept.join(twice, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(first)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,53 +1,53 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets, with links as connected components.
 
-Jaccard distance is a metric, but documents that have nothing in common all lie at distance 1 of one another and of
-any pivot, so Voronoi cells of a few global pivots would hold replicas of nearly everything. Pivots are therefore
-chosen where documents are close:
-
-1. Documents with equal sets form a class; its first document stands for it.
-2. A set's hash range is cut into m parts. Sets within the distance differ in few shingles, so some part is equal in
-   both (a pigeonhole bound on the symmetric difference), and even some telling part: one with shingles that are not
-   common in the corpus, unless a set has very few of those, which then offers all its parts. The documents that agree
-   in a part share a pivot, the smallest of them; what pivots connect is a region. No link crosses regions. Regions
-   that have grown too large are cut again by parts of another hash, which undoes connections by chance. What counts
-   as common (CELLS counters over the shingles of all documents) steers the cost and never the result.
-3. Inside a region the join is the metric one: a few pivots, exact distances to them, Voronoi cells with windows of
-   twice the radius (by the triangle inequality, whatever links to a cell's document lies in its window), the same in
-   each cell, until a cell is small or no longer shrinks; then pairs are compared, first by a bound from part digests.
-   A region larger than BLOCK_BYTES is dealt out in blocks, every pair of blocks to a task of its own.
-4. Tasks return a spanning forest of the links they find; components of all forests are the result.
+Jaccard distance is a metric, and linked sets lie within the radius r = 1 - percent/100. The join runs in rounds over
+tables; documents with equal sets form a class, for which its first document stands.
+
+1. Pivots. Shingles have one global order, rare ones first (CELLS counters over all documents; the order steers the cost,
+   never the result). Sets within a distance share one of their first shingles in it (`Law.prefix`). Documents that
+   share such a shingle for the distance r are neighbours; a document without neighbours links with nothing. Those
+   that come first among all their neighbours are the round's pivots, so no pivot links with another one.
+2. Voronoi regions. Every document learns its exact distance to every pivot within 2r. The nearest pivot within r is its
+   home; that is a link, so a region hangs together as it is.
+3. Windows. If x has the home p, all that links with x lies within d(x,p) + r of p by the triangle inequality. Documents at
+   the boundary, beyond r but within the region's radius + r, are replicated into the region and compared there with the
+   members in the ring that the inequality leaves, d(y,p) - r and more. Regions are dealt out in blocks of bounded size.
+4. Recursion. Links of documents with a home are all found. Those without one are joined among themselves in the next
+   round, with pivots of their own. What ROUNDS rounds leave (documents alike, but too far apart to be in a ball) is
+   split into connected groups of neighbours and compared in blocks there, by sizes and by a bound from part digests.
+5. Links, or a spanning forest of them, give components.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; repeated rows
 and equal texts belong to one class; rows that share a doc_id count as one document, so what either links with is one
-component; a row with a null doc_id has a null component; the result has one row per row.
+component; a row with a null doc_id has a null component; the result has one row per row. A percentage of 50 or less is
+refused, as balls of 2r would then hold sets without a common shingle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import small_side, written
+from .storage import Tables, small_side
 from .words import mixed, shingle_sets, slices, words_of
 
-#: Bytes of sets in a block of a region; a task holds two blocks.
-BLOCK_BYTES = 12 << 20
-#: Regions with more documents than this are cut again by another hash, at most LEVELS times in all.
-LARGE_REGION = 2_000
-LEVELS = 3
-#: Ratio of the largest to the smallest size in a size class.
-CLASS_RATIO = 1.4
+ROUNDS = 3
 CELL_BITS = 17
+#: Bits of the map of shingles in question; shingles beyond its discrimination are sorted out by the join that follows.
 MARK_BITS = 24
-LEAF = 48
-PIVOTS = 6
+#: Rows of a pivot or a region in one block.
+BLOCK_ROWS = 2_000
+#: Bytes of sets in a block of a group that was left over; a task holds two blocks.
+BLOCK_BYTES = 12 << 20
+_EPSILON = 1e-9
 
 
 @dataclass(frozen=True)
@@ -57,162 +57,310 @@ class Law:
     k: int = 5
     percent: int = 80
 
-    def linked(self, common: int, a: int, b: int) -> bool:
+    def __post_init__(self) -> None:
+        if not 50 < self.percent <= 100:
+            raise ValueError("percent must be above 50 and at most 100")
+
+    def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-    def difference(self, a: int, b: int) -> int:
-        """The largest symmetric difference of linked sets with these sizes."""
-        return (a + b) * (100 - self.percent) // (100 + self.percent)
+    def least(self, times: int) -> int:
+        """Percent of similarity that is left at so many radii."""
+        return 100 - times * (100 - self.percent)
+
+    def prefix(self, n: int, times: int) -> int:
+        """How many first shingles of a set with n: it shares one of them with the first ones of any set within the distance."""
+        return n + (-self.least(times) * n // 100) + 1
 
     @property
     def radius(self) -> float:
         return 1 - self.percent / 100
 
-    @property
-    def heavy(self) -> int:
-        """Shingles not common in the corpus that a part must have to count as telling."""
-        return 2 if self.percent >= 90 else 1
-
-
-def size_class(n: int) -> int:
-    return int(math.floor(math.log(n) / math.log(CLASS_RATIO) + 1e-9))
-
-
-def class_bounds(c: int) -> tuple[int, int]:
-    """Smallest and largest size in class c."""
-    first = math.ceil(CLASS_RATIO**c - 1e-9)
-    while size_class(first) < c:
-        first += 1
-    last = math.ceil(CLASS_RATIO ** (c + 1))
-    while last > first and size_class(last) > c:
-        last -= 1
-    return first, last
-
-
-def parts_of_class(law: Law, c: int, known: dict = {}) -> tuple[int, int]:  # noqa: B006
-    """(m, light): how many parts, and how many of them may be light in a set before it must emit all its parts."""
-    if (law, c) not in known:
-        first, last = class_bounds(c)
-        least = law.difference(last, last) + 1
-        m = least
-        for _ in range(20):
-            mean = 0.85 * (first + last) / 2 / m  # some of the shingles are common
-            p = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(law.heavy))
-            light = math.ceil(p * m + 2.5 * math.sqrt(p * m))
-            if least + light <= m or light > least:
-                break
-            m = least + light
-        known[law, c] = (m, m - least)
-    return known[law, c]
-
 
 def cells(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def signatures(law: Law, found: np.ndarray, salt: int, common: np.ndarray) -> np.ndarray:
-    """Part digests of a sorted set for each size class in which it may meet a linked set; common: by cell."""
-    n = len(found)
-    if not n:
-        return np.zeros(0, np.uint64)
-    out, own, rare = [], size_class(n), ~common[cells(found)]
-    if salt:
-        found = mixed(found + np.uint64(salt))
-        order = np.argsort(found)
-        found, rare = found[order], rare[order]
-    values, rare = mixed(found ^ np.uint64(0xA5A5A5A5)), np.concatenate(([0], np.cumsum(rare)))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(values)))
-    classes = [own]
-    # the partner may be larger by the factor 100/percent and so belong to the next class (or to several, when small)
-    top = n * 100 // law.percent
-    classes += range(own + 1, size_class(top) + 1) if top else []
-    for c in classes:
-        m, light = parts_of_class(law, c)
-        at = np.searchsorted(found, (np.arange(m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-        at = np.append(at, n)
-        digest = sums[at[1:]] - sums[at[:-1]]
-        key = mixed(digest + mixed(np.arange(m, dtype=np.uint64) + np.uint64((c + 1) << 32) + np.uint64(salt)))
-        heavy = rare[at[1:]] - rare[at[:-1]] >= law.heavy
-        out.append(key[heavy] if int((~heavy).sum()) <= light else key)
-    return np.concatenate(out)
-
-
-def _digests(law: Law):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order: by the level of its cell, then by a hash, then by value."""
+    key = (levels[cells(found)].astype(np.uint64) << np.uint64(56)) | (mixed(found ^ np.uint64(0xA5A5A5A5)) >> np.uint64(8))
+    return found[np.argsort(key, kind="stable")]
+
+
+def _sets(batch: pa.RecordBatch, law: Law) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of each text of a batch."""
+    texts = batch.column("text")
+    for a, b in slices(texts):
+        yield from enumerate(shingle_sets(words_of(texts.slice(a, b - a), lower=True), law.k), a)
+
+
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
 
+def _alias(doc_id: int, digest: bytes) -> int:
+    """The node of one of several texts with the same doc_id."""
+    return int.from_bytes(hashlib.blake2b(digest + str(doc_id).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _digests(law: Law) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            sizes, keys = [], []
-            for a, b in slices(texts):
-                for found in shingle_sets(words_of(texts.slice(a, b - a), lower=True), law.k):
-                    sizes.append(len(found))
-                    keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "digest"])
+            sizes, keys, aliases = [], [], []
+            for doc_id, (_, found) in zip(batch.column("doc_id").to_pylist(), _sets(batch, law)):
+                sizes.append(len(found))
+                keys.append(_digest(found) if len(found) else None)
+                aliases.append(_alias(doc_id, keys[-1]) if len(found) and doc_id is not None else None)
+            arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(aliases, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "digest", "alias"])
 
     return run
 
 
-def _cell_rows(law: Law):
+def _cell_rows(law: Law) -> Callable:
     """(cell, n): how many shingles of the texts fall into each cell, summed over the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts):
-                for found in shingle_sets(words_of(texts.slice(a, b - a), lower=True), law.k):
-                    at, n = np.unique(cells(found), return_counts=True)
-                    counts[at] += n
+            for _, found in _sets(batch, law):
+                at, n = np.unique(cells(found), return_counts=True)
+                counts[at] += n
         cell = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts[cell], pa.int64())], ["cell", "n"])
 
     return run
 
 
-def common_cells(docs: DataFrame, law: Law) -> np.ndarray:
-    """Which of the cells hold more shingles than chance explains."""
+def cell_levels(docs: DataFrame, law: Law, tables: Tables) -> np.ndarray:
+    """How frequent the shingles of each cell are, on a scale of logarithms."""
     counts = docs.select("text").mapInArrow(_cell_rows(law), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = written(counts, "cells")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
-    out = np.zeros(1 << CELL_BITS, bool)
-    for r in counts.where(F.col("n") > mean + 6 * math.sqrt(mean) + 50).select("cell").collect():  # at most 2**CELL_BITS
-        out[r.cell] = True
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in tables.written(counts, "cells").toLocalIterator():  # at most 2**CELL_BITS rows
+        out[r.cell] = min(255, int(6 * math.log2(r.n + 1)))
     return out
 
 
-def _signature_rows(law: Law, salt: int, common: np.ndarray, marks: np.ndarray | None = None):
-    """(sig, node) for each signature of each text, or those with a mark; rows come out in bounded batches."""
+def _prefix_rows(law: Law, shared) -> Callable:
+    """(node, n, near, tokens): the first shingles for the distance 2r, of which the first `near` are those for r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
+            nodes, sizes, near, tokens, ends = [], [], [], [], [0]
+            for row, found in _sets(batch, law):
+                n = len(found)
+                if not n:
+                    continue
+                nodes.append(_alias(ids[row], _digest(found)) if odd[row] else ids[row])
+                sizes.append(n)
+                near.append(law.prefix(n, 1))
+                tokens.append(ordered(found, shared.value)[: law.prefix(n, 2)].view(np.int64))
+                ends.append(ends[-1] + len(tokens[-1]))
+            if nodes:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(near, pa.int32()), lists], ["node", "n", "near", "tokens"])
+
+    return run
+
+
+def _set_rows(law: Law) -> Callable:
+    """(node, found): the set of each text as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, nodes, regions = batch.column("text"), batch.column("doc_id").to_numpy(), batch.column("region").to_numpy()
-            for a, b in slices(texts):
-                sigs = [signatures(law, found, salt, common) for found in shingle_sets(words_of(texts.slice(a, b - a), lower=True), law.k)]
-                n = [len(s) for s in sigs]
-                if sum(n):
-                    within = mixed(np.repeat(regions[a:b], n).view(np.uint64))
-                    sig, node = mixed(np.concatenate(sigs) + within), np.repeat(nodes[a:b], n)
-                    if marks is not None:
-                        marked = marks[(sig >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
-                        sig, node = sig[marked], node[marked]
-                    cols = [sig.view(np.int64), node]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["sig", "node"])
+            ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
+            rows = [(_alias(ids[k], _digest(s)) if odd[k] else ids[k], s.tobytes()) for k, s in _sets(batch, law) if len(s)]
+            for a in range(0, len(rows), 500):
+                nodes, sets = zip(*rows[a : a + 500])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
 
     return run
 
 
-def _set_rows(law: Law):
+def marked_tokens(tokens: DataFrame) -> np.ndarray:
+    """By the first MARK_BITS bits, whether some of the tokens begin with them. A bitmap of fixed size, packed."""
+    word = F.shiftrightunsigned("token", 64 - MARK_BITS + 6)
+    bit = F.shiftrightunsigned("token", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
+    words = tokens.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # at most 2**(MARK_BITS - 6)
+        bits[r.w] = r.bits
+    return np.packbits(np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little"))
+
+
+def _marked(near: bool, shared) -> Callable:
+    """(token, node, at, n): those first shingles that the bitmap marks, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            lists = batch.column("tokens")
+            size, tokens = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            wanted = marks[(tokens.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+            if near:
+                wanted &= at < np.repeat(batch.column("near").to_numpy(), size)
+            arrays = [tokens[wanted], np.repeat(batch.column("node").to_numpy(), size)[wanted], at[wanted], np.repeat(batch.column("n").to_numpy(), size)[wanted]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["token", "node", "at", "n"])
+
+    return run
+
+
+_MARKED = "token long, node long, at long, n long"
+
+
+def neighbours(prefixes: DataFrame, tables: Tables) -> DataFrame:
+    """(node, first) of the documents that have neighbours: the first one of these and itself."""
+    tokens = prefixes.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("near"))).alias("token"))
+    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    groups = tables.written(groups, "groups")
+    # most shingles occur once: those that share no prefix with a group's are left out before the join
+    marks = prefixes.sparkSession.sparkContext.broadcast(marked_tokens(groups))  # 2**MARK_BITS bits
+    again = prefixes.mapInArrow(_marked(True, marks), _MARKED).select("token", "node")
+    found = again.join(small_side(groups), "token").groupBy("node").agg(F.min("first").alias("first"))
+    found = tables.written(found, "neighbours")
+    tables.drop(groups)
+    return found
+
+
+def candidates(law: Law, prefixes: DataFrame, pivots: DataFrame, tables: Tables) -> DataFrame:
+    """(node, p): documents with the pivots that may lie within 2r of them."""
+    own = prefixes.join(small_side(pivots), "node").select(F.col("node").alias("p"), F.col("n").alias("pn"), F.posexplode("tokens").alias("pat", "token"))
+    own = tables.written(own, "pivot_tokens")
+    marks = prefixes.sparkSession.sparkContext.broadcast(marked_tokens(own))  # 2**MARK_BITS bits
+    rows = prefixes.mapInArrow(_marked(False, marks), _MARKED)
+    least = law.least(2)
+    rest = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))  # so many can be common from here on
+    fits = (rest * (100 + least) >= least * (F.col("n") + F.col("pn"))) & (least * F.greatest("n", "pn") <= 100 * F.least("n", "pn"))
+    pairs = rows.join(small_side(own), "token").where((F.col("node") != F.col("p")) & fits).select("node", "p").distinct()
+    pairs = tables.written(pairs, "pairs")
+    tables.drop(own)
+    return pairs
+
+
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = len(b) - 1
+    return int((b[at] == a).sum())
+
+
+def _compared(law: Law) -> Callable:
+    """(node, p, d, linked) within 2r, of rows sorted by (p, block) with the pivot's own row first in each block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.zeros(0, np.uint64)
         for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts):
-                sets = [s.tobytes() for s in shingle_sets(words_of(texts.slice(a, b - a), lower=True), law.k)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("region").slice(a, b - a), pa.array(sets, pa.large_binary())], ["node", "region", "found"])
+            out: list[list] = [[], [], [], []]
+            for p, node, found in zip(batch.column("p").to_pylist(), batch.column("node").to_pylist(), batch.column("found")):
+                found = np.frombuffer(found.as_buffer(), np.uint64)
+                if node is None:
+                    pivot = found
+                    continue
+                common = common_count(pivot, found)
+                d = 1 - common / (len(pivot) + len(found) - common)
+                if d <= 2 * law.radius + _EPSILON:
+                    for column, value in zip(out, (node, p, d, law.linked(common, len(pivot), len(found)))):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["node", "p", "d", "linked"])
+
+    return run
+
+
+def _block(node: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(n)).cast("int")
+
+
+def distances(law: Law, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, p, d, linked) of the pairs within 2r."""
+    sizes = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    rows = pairs.join(sizes, "p").withColumn("block", _block("node", "blocks")).join(sets, "node").select("p", "block", "node", "found")
+    own = sizes.join(sets.withColumnRenamed("node", "p"), "p")
+    own = own.select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("node"), "found")
+    both = own.unionByName(rows).repartition("p", "block").sortWithinPartitions("p", "block", F.col("node").asc_nulls_first())
+    return both.mapInArrow(_compared(law), "node long, p long, d double, linked boolean")
+
+
+def part_marks(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """One byte for each of m parts of the hash range; sets that differ in a byte differ in that part."""
+    out, edges = np.zeros((len(sets), m), np.uint8), (np.arange(m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
+    for row, found in enumerate(sets):
+        at = np.append(np.searchsorted(found, edges), len(found))
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(found))))
+        out[row] = ((sums[at[1:]] - sums[at[:-1]]) >> np.uint64(56)).astype(np.uint8)
+    return out
+
+
+class Compared:
+    """Sets with what bounds their common shingles, for the pairs that no cheaper test has ruled out."""
+
+    def __init__(self, law: Law, sets: list[np.ndarray]):
+        self.law, self.sets, self.sizes = law, sets, np.array([len(s) for s in sets])
+        self.marks = part_marks(sets, int(max(8, min(4096, np.median(self.sizes) // 2))) if sets else 8)
+
+    def linked(self, i: int, others: np.ndarray) -> Iterator[int]:
+        """Those of the others that link with i: a symmetric difference shows in at most so many parts."""
+        share = (100 - self.law.percent) / (100 + self.law.percent)
+        near = np.minimum(self.sizes[others], self.sizes[i]) * 100 >= np.maximum(self.sizes[others], self.sizes[i]) * self.law.percent
+        others = others[near]
+        differing = (self.marks[others] != self.marks[i]).sum(axis=1)
+        for j in others[differing <= (self.sizes[others] + self.sizes[i]) * share + _EPSILON].tolist():
+            if self.law.linked(common_count(self.sets[i], self.sets[j]), int(self.sizes[i]), int(self.sizes[j])):
+                yield j
+
+
+def window_links(law: Law, d: np.ndarray, guest: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each guest of a region one member that links with it, if any; d: distances to the region's pivot."""
+    compared, members, out = Compared(law, sets), np.flatnonzero(~guest), []
+    for i in np.flatnonzero(guest).tolist():
+        ring = members[np.abs(d[members] - d[i]) <= law.radius + _EPSILON]
+        out += [(j, i) for j in [next(compared.linked(i, ring), None)] if j is not None]
+    return out
+
+
+def _window_rows(law: Law) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        nodes, sets = table.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+        edges = window_links(law, table.column("d").to_numpy(), table.column("guest").to_numpy(zero_copy_only=False), sets)
+        return pa.table({"a": pa.array([int(nodes[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in edges], pa.int64())})
 
     return run
 
 
+def homes(near: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(node, p, d): the nearest pivot within r of each document that has one, pivots being their own."""
+    best = near.where("linked").groupBy("node").agg(F.min(F.struct("d", "p")).alias("best")).select("node", "best.p", "best.d")
+    return best.unionByName(pivots.select("node", F.col("node").alias("p"), F.lit(0.0).alias("d")))
+
+
+def windows(law: Law, near: DataFrame, home: DataFrame) -> DataFrame:
+    """(node, p, d): documents replicated into regions that are not their home.
+
+    A document with a home goes only into regions of smaller pivots: its links with larger ones are found the other way.
+    """
+    reach = home.where("node <> p").groupBy("p").agg(F.max("d").alias("reach"))
+    rows = near.where("not linked").join(reach, "p").where(F.col("d") <= F.col("reach") + law.radius + _EPSILON)
+    rows = rows.join(home.select("node", F.col("p").alias("home")), "node", "left")
+    return rows.where("home is null or home > p").select("node", "p", "d")
+
+
+def region_links(law: Law, home: DataFrame, guests: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of documents in windows with members of the regions."""
+    blocks = lambda n: F.ceil(F.count("*") / F.lit(n)).cast("int")
+    wanted = guests.groupBy("p").agg(F.min("d").alias("nearest"), blocks(BLOCK_ROWS).alias("bj"))
+    members = home.where("node <> p").join(wanted, "p").where(F.col("d") >= F.col("nearest") - law.radius - _EPSILON)
+    sizes = members.groupBy("p").agg(blocks(BLOCK_ROWS).alias("bi"), F.first("bj").alias("bj"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.select("node", "p", "d").join(sizes, "p").select("node", "p", "d", _block("node", "bi").alias("i"), every("bj").alias("j"), F.lit(False).alias("guest"))
+    right = guests.join(sizes, "p").select("node", "p", "d", every("bi").alias("i"), _block("node", "bj").alias("j"), F.lit(True).alias("guest"))
+    rows = left.unionByName(right).join(sets, "node").repartition("p", "i", "j")
+    return rows.groupBy("p", "i", "j").applyInArrow(_window_rows(law), "a long, b long")
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -231,168 +379,117 @@ class _Forest:
         return True
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
-
-
-class RegionJoin:
-    """Links among the sets of one region, or across two blocks of it, as forest edges."""
-
-    def __init__(self, law: Law, sets: list[np.ndarray], side: np.ndarray | None = None):
-        self.law, self.sets, self.side = law, sets, side
-        self.sizes = np.array([len(s) for s in sets])
-        self.forest, self.edges = _Forest(len(sets)), []
-
-    def link(self, i: int, j: int, common: int) -> None:
-        if self.law.linked(common, int(self.sizes[i]), int(self.sizes[j])) and self.forest.join(i, j):
-            self.edges.append((i, j))
-
-    def distances(self, pivot: int, members: np.ndarray) -> np.ndarray:
-        common = np.array([_common(self.sets[pivot], self.sets[i]) for i in members])
-        for i, c in zip(members.tolist(), common.tolist()):
-            if i != pivot:
-                self.link(pivot, i, c)
-        return 1 - common / (self.sizes[members] + self.sizes[pivot] - common)
-
-    def run(self, members: np.ndarray | None = None) -> list[tuple[int, int]]:
-        members = np.arange(len(self.sets)) if members is None else members
-        if len(members) <= LEAF:
-            self.pairs(members)
-            return self.edges
-        pivots = members[np.linspace(0, len(members) - 1, PIVOTS).astype(int)]
-        d = np.stack([self.distances(int(p), members) for p in pivots])
-        window = d <= d.min(axis=0) + 2 * self.law.radius + 1e-12
-        cells = [members[window[j]] for j in range(len(pivots)) if (d.argmin(axis=0) == j).any()]
-        if max(len(c) for c in cells) > 0.6 * len(members):
-            self.pairs(members)
-        else:
-            for cell in cells:
-                self.run(cell)
-        return self.edges
-
-    def pairs(self, members: np.ndarray) -> None:
-        """Every pair that could link: sizes and differing parts leave few to be compared."""
-        members = members[np.argsort(self.sizes[members], kind="stable")]
-        sizes = self.sizes[members]
-        m = int(max(8, min(4096, np.median(sizes) // 2))) if len(members) else 8
-        marks = np.zeros((len(members), m), np.uint8)
-        edges = (np.arange(m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
-        for row, i in enumerate(members.tolist()):
-            found = self.sets[i]
-            at = np.append(np.searchsorted(found, edges), len(found))
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(mixed(found))))
-            marks[row] = ((sums[at[1:]] - sums[at[:-1]]) >> np.uint64(56)).astype(np.uint8)
-        share = (100 - self.law.percent) / (100 + self.law.percent)
-        ends = np.searchsorted(sizes * self.law.percent, sizes * 100, side="right")  # partners at most so much larger
-        for row, i in enumerate(members.tolist()):
-            if ends[row] <= row + 1:
-                continue
-            near = slice(row + 1, ends[row])
-            differing = (marks[near] != marks[row]).sum(axis=1)
-            for k in np.flatnonzero(differing <= (sizes[near] + sizes[row]) * share + 1e-9).tolist():
-                j = int(members[row + 1 + k])
-                if self.side is not None and self.side[i] == self.side[j]:
-                    continue
-                if self.forest.root(i) != self.forest.root(j):
-                    self.link(i, j, _common(self.sets[i], self.sets[j]))
+def forest_links(law: Law, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, or of those across two sides."""
+    compared, forest, out = Compared(law, sets), _Forest(len(sets)), []
+    order = np.argsort(compared.sizes, kind="stable")
+    sizes = compared.sizes[order]
+    ends = np.searchsorted(sizes * law.percent, sizes * 100, side="right")  # partners at most so much larger
+    for row, i in enumerate(order.tolist()):
+        others = order[row + 1 : ends[row]]
+        if side is not None:
+            others = others[side[others] != side[i]]
+        for j in compared.linked(i, others):
+            if forest.join(i, j):
+                out.append((i, j))
+    return out
 
 
-def _region_links(law: Law):
+def _forest_rows(law: Law) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        blocks = table.column("block").to_numpy()
+        table = table.sort_by("node")
+        nodes, blocks = table.column("node").to_numpy(), table.column("block").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
-        side = blocks[order] if len(np.unique(blocks)) > 1 else None
-        edges = RegionJoin(law, [sets[i] for i in order], side).run()
-        nodes = nodes[order]
-        a, b = ([int(nodes[e[i]]) for e in edges] for i in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        edges = forest_links(law, sets, blocks if len(np.unique(blocks)) > 1 else None)
+        return pa.table({"a": pa.array([int(nodes[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(nodes[j]) for _, j in edges], pa.int64())})
 
     return run
 
 
-def _marked_rows(law: Law, salt: int, common: np.ndarray, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _signature_rows(law, salt, common, np.unpackbits(shared.value).astype(bool))(batches)
-
-    return run
-
-
-def marked_signatures(pivots: DataFrame) -> np.ndarray:
-    """By the first MARK_BITS bits, whether some of the signatures begin with them. A bitmap of fixed size."""
-    word = F.shiftrightunsigned("sig", 64 - MARK_BITS + 6)
-    bit = F.shiftrightunsigned("sig", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
-    words = pivots.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # at most 2**(MARK_BITS - 6)
-        bits[r.w] = r.bits
-    return np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little").astype(bool)
-
-
-def _connected(docs: DataFrame, law: Law, salt: int, common: np.ndarray) -> DataFrame:
-    """(node, region) of documents (doc_id, text, region) that a pivot connects with others of their region."""
-    rows = docs.mapInArrow(_signature_rows(law, salt, common), "sig long, node long")
-    pivots = rows.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pivots = written(pivots, "pivots")
-    # most signatures occur once: those that share no prefix with a pivot's are left out before the join
-    marks = docs.sparkSession.sparkContext.broadcast(np.packbits(marked_signatures(pivots)))  # 2**MARK_BITS bits
-    again = docs.mapInArrow(_marked_rows(law, salt, common, marks), "sig long, node long")
-    edges = again.join(small_side(pivots), "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    return components(edges).select("node", F.col("label").alias("region"))
-
-
-def regions(docs: DataFrame, law: Law) -> DataFrame:
-    """(node, region) of all documents (doc_id, text) that may link with another one; no link crosses regions."""
-    common = common_cells(docs, law)
-    done, found = None, _connected(docs.withColumn("region", F.lit(0).cast("long")), law, 0, common)
-    for level in range(1, LEVELS):
-        sizes = found.groupBy("region").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > LARGE_REGION).select("region")
-        n = large.count()
-        if not n:
-            break
-        large = small_side(large, n)
-        small = found.join(large, "region", "left_anti")
-        again = found.join(large, "region", "left_semi").withColumnRenamed("node", "doc_id")
-        done = small if done is None else done.unionByName(small)
-        found = _connected(docs.join(small_side(again), "doc_id"), law, level, common)
-    return written(found if done is None else done.unionByName(found), "regions")
-
-
-def links(docs: DataFrame, law: Law) -> DataFrame:
-    """(a, b): a spanning forest of the links among documents (doc_id, text), whose texts have different sets."""
-    where = regions(docs, law)
-    sets = docs.join(small_side(where.withColumnRenamed("node", "doc_id")), "doc_id").select("doc_id", "text", "region")
-    sets = sets.mapInArrow(_set_rows(law), "node long, region long, found binary")
-    # a region's bytes decide into how many blocks it is dealt
-    sets = written(sets, "sets")
+def leftover_links(law: Law, docs: DataFrame, prefixes: DataFrame, tables: Tables) -> DataFrame | None:
+    """(a, b): a spanning forest of the links among documents that the rounds have left without a home."""
+    tokens = prefixes.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("near"))).alias("token"))
+    groups = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("token", "a")
+    edges = tokens.join(groups, "token").select("a", F.col("node").alias("b")).where("a <> b")
+    regions = tables.written(components(edges, tables).select("node", F.col("label").alias("region")), "regions")
+    if not regions.limit(1).count():
+        return None
+    sets = tables.written(sets_of(law, docs, regions.select("node")).join(regions, "node"), "leftover_sets")
     blocks = sets.groupBy("region").agg(F.ceil(F.sum(F.length("found")) / F.lit(BLOCK_BYTES)).cast("int").alias("n"))
-    rows = sets.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("n") - 1)
-    rows = rows.select("region", "node", "found", "block", F.explode(others).alias("other"))
-    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    rows = rows.select("region", i, j, "node", "found", "block")
-    return rows.groupBy("region", "i", "j").applyInArrow(_region_links(law), "a long, b long")
+    rows = sets.join(blocks, "region").withColumn("block", _block("node", "n"))
+    rows = rows.select("region", "node", "found", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "found", "block")
+    return rows.repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(_forest_rows(law), "a long, b long")
+
+
+def sets_of(law: Law, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, found) of some nodes; those of documents with several texts are sorted out after they were read."""
+    some = small_side(nodes.withColumnRenamed("node", "doc_id"))
+    rows = docs.where("not odd").join(some, "doc_id").select("doc_id", "text", "odd").unionByName(docs.where("odd").select("doc_id", "text", "odd"))
+    return rows.mapInArrow(_set_rows(law), "node long, found binary")
+
+
+def links(docs: DataFrame, law: Law, tables: Tables) -> DataFrame:
+    """(a, b): links among documents (doc_id, text, odd), enough to connect all that links connect."""
+    levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, law, tables))  # 2**CELL_BITS bytes
+    prefixes = docs.mapInArrow(_prefix_rows(law, levels), "node long, n long, near int, tokens array<long>")
+    prefixes, out = tables.written(prefixes, "prefixes"), []
+    for _ in range(ROUNDS):
+        found = neighbours(prefixes, tables)
+        if not found.limit(1).count():
+            return _union(docs, out)
+        pivots = tables.written(found.where("node = first").select("node"), "pivots")
+        live = prefixes.join(small_side(found.select("node")), "node", "left_semi")
+        pairs = candidates(law, live, pivots, tables)
+        nodes = pairs.select("node").union(pairs.select("p")).distinct()
+        sets = tables.written(sets_of(law, docs, nodes), "sets")
+        near = tables.written(distances(law, pairs, sets), "near")
+        home = tables.written(homes(near, pivots), "homes")
+        out.append(tables.written(near.where("linked").select(F.col("p").alias("a"), F.col("node").alias("b")), "links"))
+        guests = tables.written(windows(law, near, home), "windows")
+        out.append(tables.written(region_links(law, home, guests, sets), "links"))
+        rest = found.select("node").join(home.select("node"), "node", "left_anti")
+        rest = tables.written(rest, "rest")
+        left = rest.count()
+        if not left:
+            return _union(docs, out)
+        rest = tables.written(prefixes.join(small_side(rest, left), "node", "left_semi"), "prefixes")
+        tables.drop(prefixes, found, pivots, pairs, sets, near, home, guests)
+        prefixes = rest
+    last = leftover_links(law, docs, prefixes, tables)
+    return _union(docs, out if last is None else [*out, last])
+
+
+def _union(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    out = docs.sparkSession.createDataFrame([], "a long, b long") if not parts else parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def joined(docs: DataFrame, law: Law, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) of every row."""
+    tables = Tables(docs.sparkSession)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = written(own.mapInArrow(_digests(law), "doc_id long, n_shingles long, digest binary"), "digests")
+    rows = tables.written(own.mapInArrow(_digests(law), "doc_id long, n_shingles long, digest binary, alias long"), "digests")
     full = rows.where("digest is not null and doc_id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
-    members = full.select("doc_id", "digest").distinct()
-    copies = members.join(classes, "digest").where("doc_id <> first").select("doc_id")
-    copies = copies.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
-    empty = rows.where("digest is null or doc_id is null").select("doc_id")
-    firsts = own.join(small_side(copies.union(empty).distinct()), "doc_id", "left_anti")
-    labels = components(links(firsts.where("doc_id is not null"), law))
-    named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left")
-    named = named.select("digest", F.coalesce("label", "first").alias("component"))
+    # documents with several texts: each text is a node of its own, and the nodes are linked
+    odd = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y"), F.min("alias").alias("a")).where("x <> y").select("doc_id", "a")
+    odd = tables.written(odd, "odd")
+    marked = full.join(small_side(odd), "doc_id", "left").withColumn("node", F.when(F.col("a").isNull(), F.col("doc_id")).otherwise(F.col("alias")))
+    classes = marked.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("digest", F.col("first.doc_id").alias("first"), "first.node")
+    classes = tables.written(classes, "classes")
+    copies = marked.where("a is null").join(classes.select("digest", "first"), "digest").where("doc_id <> first").select("doc_id")
+    empty = rows.where("digest is null and doc_id is not null").select("doc_id")
+    empty = empty.join(full.select("doc_id"), "doc_id", "left_anti")
+    out_of = tables.written(copies.union(empty).distinct(), "copies")
+    firsts = own.where("doc_id is not null").join(small_side(out_of), "doc_id", "left_anti")
+    firsts = firsts.join(small_side(odd), "doc_id", "left").select("doc_id", "text", F.col("a").isNotNull().alias("odd"))
+    several = marked.where("a is not null").select("a", F.col("alias").alias("b")).where("a <> b")
+    labels = components(links(firsts, law, tables).unionByName(several), tables)
+    named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))
+    named = named.select("digest", "label").join(named.groupBy("label").agg(F.min("first").alias("component")), "label").drop("label")
+    named = tables.written(named, "components")
+    tables.keep(rows, named)
     out = rows.join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

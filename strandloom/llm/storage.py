@@ -14,33 +14,66 @@ CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of one 8-byte key up to which a side may be broadcast (about 48 MB once hashed); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of one key in a join beyond which the key's partner is broadcast instead of sending all its rows to one task.
+HOT_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set, as in local tests."""
+    """The folder named in spark.checkpoint.dir; one of our own only in local mode, as in tests."""
     at = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+class Tables:
+    """Parquet tables of one job in the shared folder; those that nothing reads any more can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        self.root = f"{shared_dir(spark).rstrip('/')}/strandloom-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table: computed once, and safe when executors are lost.
+
+        What reads the table needs none of the shuffle files behind it, so they are dropped once it is written.
+        """
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        before = self.spark.conf.get(CLEANUP_KEY, "false")
+        self.spark.conf.set(CLEANUP_KEY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP_KEY, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes the files of these tables."""
+        for path in [p for p, df in self.paths.items() if any(df is t for t in tables)]:
+            self._remove(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes the files of all other tables."""
+        for path in [p for p, df in self.paths.items() if not any(df is t for t in tables)]:
+            self._remove(path)
+
+    def _remove(self, path: str) -> None:
+        if self.paths[path] is not None:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths[path] = None
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost.
-
-    What reads the table needs none of the shuffle files behind it, so they are dropped once it is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strandloom-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP_KEY, "false")
-    spark.conf.set(CLEANUP_KEY, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP_KEY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table of its own in the shared folder."""
+    return Tables(df.sparkSession).written(df, name)
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

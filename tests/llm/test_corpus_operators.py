@@ -94,18 +94,77 @@ def test_jaccard_join(docs, rows, nothing, k, percent):
     assert jaccard_join.joined(nothing[0], law).count() == 0
 
 
-def test_region_join_equals_all_pairs():
-    rng, law = np.random.default_rng(1), jaccard_join.Law(3, 90)
-    base = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(5)]
-    sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.04], rng.integers(0, 1 << 63, 4, dtype=np.uint64)])) for b in base for _ in range(40)]
-    forest = jaccard_join._Forest(len(sets))
+def _near_sets(seed=1, bases=5, copies=40, size=200, loss=0.04, more=4):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(bases)]
+    return [np.unique(np.concatenate([b[rng.random(len(b)) > loss], rng.integers(0, 1 << 63, more, dtype=np.uint64)])) for b in base for _ in range(copies)]
+
+
+def test_leftover_and_window_links_equal_all_pairs():
+    law, sets = jaccard_join.Law(3, 90), _near_sets()
+    linked = lambda i, j: law.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))
+    want, got = jaccard_join._Forest(len(sets)), jaccard_join._Forest(len(sets))
     for i in range(len(sets)):
         for j in range(i):
-            if law.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
-                forest.join(i, j)
-    join = jaccard_join.RegionJoin(law, sets)
-    join.run()
-    assert [forest.root(i) for i in range(len(sets))] == [join.forest.root(i) for i in range(len(sets))]
+            if linked(i, j):
+                want.join(i, j)
+    for i, j in jaccard_join.forest_links(law, sets):
+        assert linked(i, j)
+        got.join(i, j)
+    assert [want.root(i) for i in range(len(sets))] == [got.root(i) for i in range(len(sets))]
+    some = sets[:40]
+    d = np.array([1 - (c := len(np.intersect1d(some[0], s))) / (len(some[0]) + len(s) - c) for s in some])
+    guest = d > law.radius
+    found = jaccard_join.window_links(law, d, guest, some)
+    assert guest.any() and {j for _, j in found} == {j for j in np.flatnonzero(guest).tolist() if any(linked(i, j) for i in np.flatnonzero(~guest).tolist())}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefixes_of_sets_within_a_distance_meet(percent):
+    law, levels, sets = jaccard_join.Law(3, percent), np.random.default_rng(4).integers(0, 9, 1 << jaccard_join.CELL_BITS).astype(np.uint8), _near_sets(3, 4, 12, 60, 0.1)
+    first = [jaccard_join.ordered(s, levels) for s in sets]
+    for times in (1, 2):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                common = len(np.intersect1d(a, b))
+                if 100 * common >= law.least(times) * (len(a) + len(b) - common):
+                    assert set(first[i][: law.prefix(len(a), times)]) & set(first[j][: law.prefix(len(b), times)])
+    with pytest.raises(ValueError):
+        jaccard_join.Law(3, 50)
+
+
+def test_jaccard_regions_replicate_boundary_documents(spark, monkeypatch):
+    """Chains of documents that differ a little more at each step: links cross from one pivot's region to the next."""
+    rng, rows = np.random.default_rng(8), []
+    for chain in range(6):
+        words = [f"c{chain}w{i}" for i in range(120)]
+        for step in range(14):
+            rows.append((chain * 100 + step, " ".join(words)))
+            words[int(rng.integers(0, 120))] = f"c{chain}s{step}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    real = jaccard_join.windows
+    monkeypatch.setattr(jaccard_join, "windows", lambda *a: seen.append(real(*a)) or seen[-1])
+    n = []
+    links = jaccard_join.region_links
+    monkeypatch.setattr(jaccard_join, "region_links", lambda law, home, guests, sets: n.append((home.where("node <> p").count(), guests.count())) or links(law, home, guests, sets))
+    got = {r.doc_id: r.component_id for r in jaccard_join.joined(docs, jaccard_join.Law(3, 90)).collect()}
+    w = {k: set(zip(t.split(), t.split()[1:], t.split()[2:])) for k, t in rows}
+    label = {k: k for k in w}
+    for _ in w:
+        for a in w:
+            for b in w:
+                if 100 * len(w[a] & w[b]) >= 90 * len(w[a] | w[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label and n[0][0] > 0 and n[0][1] > 0
+
+
+def test_jaccard_rows_that_share_a_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (7, a), (7, b), (9, c), (9, c), (9, None), (None, a), (5, b + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.joined(docs, jaccard_join.Law(3, 90)).collect())
+    assert got == Counter({(1, 38, 1): 1, (2, 38, 1): 1, (7, 38, 1): 2, (9, 38, 9): 2, (9, 0, 9): 1, (None, 38, None): 1, (5, 39, 1): 1})
 
 
 def test_components(spark):
