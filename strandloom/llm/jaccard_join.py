@@ -3,8 +3,9 @@
 Jaccard distance is a metric, and linked sets lie within the radius r = 1 - percent/100. The join runs in rounds over
 tables; documents with equal sets form a class, for which its first document stands.
 
-1. Pivots. Shingles have one global order, rare ones first (CELLS counters over all documents; the order steers the cost,
-   never the result). Sets within a distance share one of their first shingles in it (`Law.prefix`). Documents that
+1. Pivots. Shingles have one global order: those that one document has, those of which that is not known, those of several,
+   frequent ones. It is known for a share of the shingles (`Law.counted`), counted over all documents; the order steers the
+   cost, never the result. Sets within a distance share one of their first shingles in it (`Law.prefix`). Documents that
    share such a shingle for the distance r are neighbours; a document without neighbours links with nothing. Those
    that come first among all their neighbours are the round's pivots, so no pivot links with another one.
 2. Voronoi regions. Every document learns its exact distance to every pivot within 2r. The nearest pivot within r is its
@@ -40,7 +41,11 @@ from .storage import Tables, small_side
 from .words import mixed, shingle_sets, slices, words_of
 
 ROUNDS = 3
-CELL_BITS = 17
+#: Bits of the maps of shingles that occur again, and how many of these they may hold; more are joined to their documents.
+COUNT_BITS = 26
+MAPPED = 1 << 25
+#: Documents with a shingle from which on it counts as frequent.
+FREQUENT = 8
 #: Bits of the map of shingles in question; shingles beyond its discrimination are sorted out by the join that follows.
 MARK_BITS = 24
 #: Rows of a pivot or a region in one block.
@@ -72,18 +77,32 @@ class Law:
         """How many first shingles of a set with n: it shares one of them with the first ones of any set within the distance."""
         return n + (-self.least(times) * n // 100) + 1
 
+    @property
+    def counted(self) -> float:
+        """Share of the shingles that is counted: enough for the first ones of a set of which two fifths occur nowhere else."""
+        return min(1.0, 2.5 * (100 - self.percent) / 100)
+
     @property
     def radius(self) -> float:
         return 1 - self.percent / 100
 
 
-def cells(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def counted(law: Law, found: np.ndarray) -> np.ndarray:
+    """Which shingles are among those that are counted."""
+    return mixed(found ^ np.uint64(0x51A3)) <= np.uint64(int(law.counted * float(2**64 - 2**12)))
+
 
+def _in_map(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
+    at = found >> np.uint64(64 - COUNT_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
-def ordered(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order: by the level of its cell, then by a hash, then by value."""
-    key = (levels[cells(found)].astype(np.uint64) << np.uint64(56)) | (mixed(found ^ np.uint64(0xA5A5A5A5)) >> np.uint64(8))
+
+def ordered(law: Law, found: np.ndarray, several: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order, given which of its shingles are known to occur in several and in many documents."""
+    level = np.where(counted(law, found), 0, 1)
+    level[several] = 2
+    level[frequent] = 3
+    key = (level.astype(np.uint64) << np.uint64(62)) | (mixed(found ^ np.uint64(0xA5A5A5A5)) >> np.uint64(2))
     return found[np.argsort(key, kind="stable")]
 
 
@@ -117,49 +136,87 @@ def _digests(law: Law) -> Callable:
     return run
 
 
-def _cell_rows(law: Law) -> Callable:
-    """(cell, n): how many shingles of the texts fall into each cell, summed over the task."""
+def _counted_rows(law: Law) -> Callable:
+    """(token, node) of the shingles that are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for _, found in _sets(batch, law):
-                at, n = np.unique(cells(found), return_counts=True)
-                counts[at] += n
-        cell = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(counts[cell], pa.int64())], ["cell", "n"])
+            ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
+            tokens, nodes, total = [], [], 0
+            for row, found in _sets(batch, law):
+                some = found[counted(law, found)]
+                if len(some):
+                    tokens.append(some.view(np.int64))
+                    nodes.append(np.full(len(some), _alias(ids[row], _digest(found)) if odd[row] else ids[row], np.int64))
+                    total += len(some)
+                if total > 1 << 17 or (tokens and row == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                    tokens, nodes, total = [], [], 0
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
 
     return run
 
 
-def cell_levels(docs: DataFrame, law: Law, tables: Tables) -> np.ndarray:
-    """How frequent the shingles of each cell are, on a scale of logarithms."""
-    counts = docs.select("text").mapInArrow(_cell_rows(law), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in tables.written(counts, "cells").toLocalIterator():  # at most 2**CELL_BITS rows
-        out[r.cell] = min(255, int(6 * math.log2(r.n + 1)))
+def _word_bits(prefix_bits: int) -> tuple[Column, Column]:
+    """Number of the 64-bit word for the first bits of a token, and that word with the token's bit."""
+    word = F.shiftrightunsigned("token", 64 - prefix_bits + 6)
+    bit = F.shiftrightunsigned("token", 64 - prefix_bits).bitwiseAND(F.lit(63)).cast("int")
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def token_maps(tokens: DataFrame, prefix_bits: int, *conditions: Column) -> list[np.ndarray]:
+    """For each condition a bitmap of the tokens that meet it, by their first bits, packed. 2**prefix_bits / 64 rows at most."""
+    word, bits = _word_bits(prefix_bits)
+    sums = [F.coalesce(F.bit_or(F.when(c, bits)), F.lit(0)).alias(f"m{k}") for k, c in enumerate(conditions)]
+    rows = tokens.groupBy(word.alias("w")).agg(*sums).toArrow()
+    out = []
+    for k in range(len(conditions)):
+        words = np.zeros(1 << (prefix_bits - 6), np.int64)
+        words[rows.column("w").to_numpy()] = rows.column(f"m{k}").to_numpy()
+        out.append(np.packbits(np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little")))
     return out
 
 
+def with_counts(docs: DataFrame, law: Law, tables: Tables):
+    """docs with the arrays `several` and `frequent`, or null arrays and the broadcast maps that say the same."""
+    rows = docs.mapInArrow(_counted_rows(law), "token long, node long")
+    again = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    again = tables.written(again, "again")
+    if again.count() <= MAPPED:
+        maps = token_maps(again, COUNT_BITS, F.lit(True), F.col("n") >= FREQUENT)
+        none = F.lit(None).cast("array<bigint>")
+        return docs.withColumns({"several": none, "frequent": none}), docs.sparkSession.sparkContext.broadcast(maps)  # 2**COUNT_BITS bits each
+    kinds = [F.collect_list(F.when(F.col("n") < FREQUENT, F.col("token"))).alias("several"), F.collect_list(F.when(F.col("n") >= FREQUENT, F.col("token"))).alias("frequent")]
+    own = rows.join(again, "token").groupBy("node").agg(*kinds)
+    return docs.join(own.withColumnRenamed("node", "doc_id"), "doc_id", "left"), docs.sparkSession.sparkContext.broadcast(None)
+
+
 def _prefix_rows(law: Law, shared) -> Callable:
     """(node, n, near, tokens): the first shingles for the distance 2r, of which the first `near` are those for r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = shared.value
         for batch in batches:
             ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
+            lists = [batch.column("several"), batch.column("frequent")]
             nodes, sizes, near, tokens, ends = [], [], [], [], [0]
             for row, found in _sets(batch, law):
                 n = len(found)
                 if not n:
                     continue
+                if maps:
+                    several, frequent = (_in_map(bits, found) & counted(law, found) for bits in maps)
+                else:
+                    several, frequent = (np.isin(found.view(np.int64), x[row].values.to_numpy()) if x[row].is_valid else np.zeros(n, bool) for x in lists)
                 nodes.append(_alias(ids[row], _digest(found)) if odd[row] else ids[row])
                 sizes.append(n)
                 near.append(law.prefix(n, 1))
-                tokens.append(ordered(found, shared.value)[: law.prefix(n, 2)].view(np.int64))
+                tokens.append(ordered(law, found, several, frequent)[: law.prefix(n, 2)].view(np.int64))
                 ends.append(ends[-1] + len(tokens[-1]))
             if nodes:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(near, pa.int32()), lists], ["node", "n", "near", "tokens"])
+                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(near, pa.int32()), arrays], ["node", "n", "near", "tokens"])
 
     return run
 
@@ -178,17 +235,6 @@ def _set_rows(law: Law) -> Callable:
     return run
 
 
-def marked_tokens(tokens: DataFrame) -> np.ndarray:
-    """By the first MARK_BITS bits, whether some of the tokens begin with them. A bitmap of fixed size, packed."""
-    word = F.shiftrightunsigned("token", 64 - MARK_BITS + 6)
-    bit = F.shiftrightunsigned("token", 64 - MARK_BITS).bitwiseAND(F.lit(63)).cast("int")
-    words = tokens.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    bits = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # at most 2**(MARK_BITS - 6)
-        bits[r.w] = r.bits
-    return np.packbits(np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little"))
-
-
 def _marked(near: bool, shared) -> Callable:
     """(token, node, at, n): those first shingles that the bitmap marks, with their places."""
 
@@ -216,7 +262,7 @@ def neighbours(prefixes: DataFrame, tables: Tables) -> DataFrame:
     groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     groups = tables.written(groups, "groups")
     # most shingles occur once: those that share no prefix with a group's are left out before the join
-    marks = prefixes.sparkSession.sparkContext.broadcast(marked_tokens(groups))  # 2**MARK_BITS bits
+    marks = prefixes.sparkSession.sparkContext.broadcast(token_maps(groups, MARK_BITS, F.lit(True))[0])  # 2**MARK_BITS bits
     again = prefixes.mapInArrow(_marked(True, marks), _MARKED).select("token", "node")
     found = again.join(small_side(groups), "token").groupBy("node").agg(F.min("first").alias("first"))
     found = tables.written(found, "neighbours")
@@ -228,7 +274,7 @@ def candidates(law: Law, prefixes: DataFrame, pivots: DataFrame, tables: Tables)
     """(node, p): documents with the pivots that may lie within 2r of them."""
     own = prefixes.join(small_side(pivots), "node").select(F.col("node").alias("p"), F.col("n").alias("pn"), F.posexplode("tokens").alias("pat", "token"))
     own = tables.written(own, "pivot_tokens")
-    marks = prefixes.sparkSession.sparkContext.broadcast(marked_tokens(own))  # 2**MARK_BITS bits
+    marks = prefixes.sparkSession.sparkContext.broadcast(token_maps(own, MARK_BITS, F.lit(True))[0])  # 2**MARK_BITS bits
     rows = prefixes.mapInArrow(_marked(False, marks), _MARKED)
     least = law.least(2)
     rest = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))  # so many can be common from here on
@@ -431,8 +477,8 @@ def sets_of(law: Law, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, law: Law, tables: Tables) -> DataFrame:
     """(a, b): links among documents (doc_id, text, odd), enough to connect all that links connect."""
-    levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, law, tables))  # 2**CELL_BITS bytes
-    prefixes = docs.mapInArrow(_prefix_rows(law, levels), "node long, n long, near int, tokens array<long>")
+    counts, maps = with_counts(docs, law, tables)
+    prefixes = counts.mapInArrow(_prefix_rows(law, maps), "node long, n long, near int, tokens array<long>")
     prefixes, out = tables.written(prefixes, "prefixes"), []
     for _ in range(ROUNDS):
         found = neighbours(prefixes, tables)
