@@ -7,7 +7,7 @@ tables; documents with equal sets form a class, for which its first document sta
    frequent ones. It is known for a share of the shingles (`Law.counted`), counted over all documents; the order steers the
    cost, never the result. Sets within a distance share one of their first shingles in it (`Law.prefix`). Documents that
    share such a shingle for the distance r are neighbours; a document without neighbours links with nothing. Those
-   that come first among all their neighbours are the round's pivots, so no pivot links with another one.
+   that come first among their neighbours are the round's pivots.
 2. Voronoi regions. Every document learns its exact distance to every pivot within 2r. The nearest pivot within r is its
    home; that is a link, so a region hangs together as it is.
 3. Windows. If x has the home p, all that links with x lies within d(x,p) + r of p by the triangle inequality. Documents at
@@ -15,7 +15,8 @@ tables; documents with equal sets form a class, for which its first document sta
    members in the ring that the inequality leaves, d(y,p) - r and more. Regions are dealt out in blocks of bounded size.
 4. Recursion. Links of documents with a home are all found. Those without one are joined among themselves in the next
    round, with pivots of their own. What ROUNDS rounds leave (documents alike, but too far apart to be in a ball) is
-   split into connected groups of neighbours and compared in blocks there, by sizes and by a bound from part digests.
+   compared with its neighbours: those that share a shingle with few others pair by pair, those that share one with many
+   (SMALL_GROUP) in connected groups, dealt out in blocks, by sizes and by a bound from part digests.
 5. Links, or a spanning forest of them, give components.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; repeated rows
@@ -50,6 +51,8 @@ FREQUENT = 8
 MARK_BITS = 24
 #: Rows of a pivot or a region in one block.
 BLOCK_ROWS = 2_000
+#: Documents left over that share a shingle are compared pair by pair up to this number, more in blocks.
+SMALL_GROUP = 32
 #: Bytes of sets in a block of a group that was left over; a task holds two blocks.
 BLOCK_BYTES = 12 << 20
 _EPSILON = 1e-9
@@ -79,8 +82,8 @@ class Law:
 
     @property
     def counted(self) -> float:
-        """Share of the shingles that is counted: enough for the first ones of a set of which two fifths occur nowhere else."""
-        return min(1.0, 2.5 * (100 - self.percent) / 100)
+        """Share of the shingles that is counted: enough for the first ones of a set of which a fifth occurs nowhere else."""
+        return min(1.0, 5 * (100 - self.percent) / 100)
 
     @property
     def radius(self) -> float:
@@ -257,29 +260,36 @@ _MARKED = "token long, node long, at long, n long"
 
 
 def neighbours(prefixes: DataFrame, tables: Tables) -> DataFrame:
-    """(node, first) of the documents that have neighbours: the first one of these and itself."""
+    """(node, first) of the documents that have neighbours: the first one of these and itself.
+
+    Neighbours by shingles that many documents share count only for documents that have no others.
+    """
     tokens = prefixes.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("near"))).alias("token"))
-    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
-    groups = tables.written(groups, "groups")
+    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), (F.count("*") > SMALL_GROUP).alias("large"))
+    groups = tables.written(groups.where("first < last").drop("last"), "groups")
     # most shingles occur once: those that share no prefix with a group's are left out before the join
     marks = prefixes.sparkSession.sparkContext.broadcast(token_maps(groups, MARK_BITS, F.lit(True))[0])  # 2**MARK_BITS bits
     again = prefixes.mapInArrow(_marked(True, marks), _MARKED).select("token", "node")
-    found = again.join(small_side(groups), "token").groupBy("node").agg(F.min("first").alias("first"))
-    found = tables.written(found, "neighbours")
+    found = again.join(small_side(groups), "token").groupBy("node").agg(F.min(F.struct("large", "first")).alias("best"))
+    found = tables.written(found.select("node", "best.first"), "neighbours")
     tables.drop(groups)
     return found
 
 
+def may_reach(law: Law, times: int) -> Column:
+    """Whether sets of n and pn shingles that share the ones at places at and pat may lie within so many radii."""
+    least = law.least(times)
+    rest = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))  # so many can be common from here on
+    return (rest * (100 + least) >= least * (F.col("n") + F.col("pn"))) & (least * F.greatest("n", "pn") <= 100 * F.least("n", "pn"))
+
+
 def candidates(law: Law, prefixes: DataFrame, pivots: DataFrame, tables: Tables) -> DataFrame:
     """(node, p): documents with the pivots that may lie within 2r of them."""
     own = prefixes.join(small_side(pivots), "node").select(F.col("node").alias("p"), F.col("n").alias("pn"), F.posexplode("tokens").alias("pat", "token"))
     own = tables.written(own, "pivot_tokens")
     marks = prefixes.sparkSession.sparkContext.broadcast(token_maps(own, MARK_BITS, F.lit(True))[0])  # 2**MARK_BITS bits
     rows = prefixes.mapInArrow(_marked(False, marks), _MARKED)
-    least = law.least(2)
-    rest = F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat"))  # so many can be common from here on
-    fits = (rest * (100 + least) >= least * (F.col("n") + F.col("pn"))) & (least * F.greatest("n", "pn") <= 100 * F.least("n", "pn"))
-    pairs = rows.join(small_side(own), "token").where((F.col("node") != F.col("p")) & fits).select("node", "p").distinct()
+    pairs = rows.join(small_side(own), "token").where((F.col("node") != F.col("p")) & may_reach(law, 2)).select("node", "p").distinct()
     pairs = tables.written(pairs, "pairs")
     tables.drop(own)
     return pairs
@@ -379,7 +389,7 @@ def _window_rows(law: Law) -> Callable:
 
 def homes(near: DataFrame, pivots: DataFrame) -> DataFrame:
     """(node, p, d): the nearest pivot within r of each document that has one, pivots being their own."""
-    best = near.where("linked").groupBy("node").agg(F.min(F.struct("d", "p")).alias("best")).select("node", "best.p", "best.d")
+    best = near.where("linked").join(small_side(pivots), "node", "left_anti").groupBy("node").agg(F.min(F.struct("d", "p")).alias("best")).select("node", "best.p", "best.d")
     return best.unionByName(pivots.select("node", F.col("node").alias("p"), F.lit(0.0).alias("d")))
 
 
@@ -452,20 +462,36 @@ def _forest_rows(law: Law) -> Callable:
     return run
 
 
-def leftover_links(law: Law, docs: DataFrame, prefixes: DataFrame, tables: Tables) -> DataFrame | None:
-    """(a, b): a spanning forest of the links among documents that the rounds have left without a home."""
-    tokens = prefixes.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("near"))).alias("token"))
-    groups = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("token", "a")
-    edges = tokens.join(groups, "token").select("a", F.col("node").alias("b")).where("a <> b")
+def leftover_links(law: Law, docs: DataFrame, prefixes: DataFrame, tables: Tables) -> list[DataFrame]:
+    """(a, b): links among documents that the rounds have left without a home, enough to connect all that links connect."""
+    tokens = prefixes.select("node", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("near"))).alias("at", "token"))
+    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first < last")
+    tokens = tables.written(tokens.join(groups.select("token", "first", "size"), "token"), "leftover")
+    # linked documents share a shingle of a small group and are a pair of it, or of a large one and belong to its region
+    own = tokens.where(F.col("size") <= SMALL_GROUP).select("token", "node", "n", "at")
+    other = own.select("token", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"))
+    pairs = tables.written(own.join(other, "token").where((F.col("node") > F.col("p")) & may_reach(law, 1)).select("node", "p").distinct(), "pairs")
+    out = []
+    if pairs.limit(1).count():
+        nodes = pairs.select("node").union(pairs.select("p")).distinct()
+        sets = tables.written(sets_of(law, docs, nodes), "sets")
+        found = distances(law, pairs, sets).where("linked").select(F.col("p").alias("a"), F.col("node").alias("b"))
+        out.append(tables.written(found, "links"))
+        tables.drop(sets)
+    tables.drop(pairs)
+    edges = tokens.where(F.col("size") > SMALL_GROUP).select(F.col("first").alias("a"), F.col("node").alias("b")).where("a <> b")
     regions = tables.written(components(edges, tables).select("node", F.col("label").alias("region")), "regions")
-    if not regions.limit(1).count():
-        return None
-    sets = tables.written(sets_of(law, docs, regions.select("node")).join(regions, "node"), "leftover_sets")
-    blocks = sets.groupBy("region").agg(F.ceil(F.sum(F.length("found")) / F.lit(BLOCK_BYTES)).cast("int").alias("n"))
-    rows = sets.join(blocks, "region").withColumn("block", _block("node", "n"))
-    rows = rows.select("region", "node", "found", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "found", "block")
-    return rows.repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(_forest_rows(law), "a long, b long")
+    if regions.limit(1).count():
+        sets = tables.written(sets_of(law, docs, regions.select("node")).join(regions, "node"), "leftover_sets")
+        blocks = sets.groupBy("region").agg(F.ceil(F.sum(F.length("found")) / F.lit(BLOCK_BYTES)).cast("int").alias("n"))
+        rows = sets.join(blocks, "region").withColumn("block", _block("node", "n"))
+        rows = rows.select("region", "node", "found", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+        rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "found", "block")
+        found = rows.repartition("region", "i", "j").groupBy("region", "i", "j").applyInArrow(_forest_rows(law), "a long, b long")
+        out.append(tables.written(found, "links"))
+        tables.drop(sets)
+    tables.drop(tokens)
+    return out
 
 
 def sets_of(law: Law, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -502,8 +528,7 @@ def links(docs: DataFrame, law: Law, tables: Tables) -> DataFrame:
         rest = tables.written(prefixes.join(small_side(rest, left), "node", "left_semi"), "prefixes")
         tables.drop(prefixes, found, pivots, pairs, sets, near, home, guests)
         prefixes = rest
-    last = leftover_links(law, docs, prefixes, tables)
-    return _union(docs, out if last is None else [*out, last])
+    return _union(docs, out + leftover_links(law, docs, prefixes, tables))
 
 
 def _union(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
