@@ -80,3 +80,16 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     """df with a broadcast hint if it has at most `limit` rows; otherwise unchanged, so that the join shuffles."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= limit else df
+
+
+def joined_on(rows: DataFrame, side: DataFrame, on: list[str], tables: Tables) -> DataFrame:
+    """rows joined with a written side that has one row a key and counts the key's rows in n.
+
+    Keys with more than HOT_ROWS rows would each fill one task. They are few, as so many rows are behind each, and are
+    broadcast after they were counted; all others are shuffled.
+    """
+    hot = tables.written(side.where(F.col("n") > HOT_ROWS), "hot")
+    if not 0 < hot.count() <= BROADCAST_ROWS:
+        return rows.join(side.drop("n"), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.where(F.col("n") <= HOT_ROWS).drop("n"), on)
+    return rows.join(F.broadcast(hot.drop("n")), on).unionByName(rest)

@@ -3,11 +3,14 @@
 A passage that recurs is at least WINDOW words long. Two texts that share such a window share its anchor, the phrase of
 PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per hundred words, find what may recur:
 
-1. Every text gives its anchors. Anchors of several texts are recurring phrases.
-2. Each shard of texts compiles the recurring phrases of its texts into an Aho-Corasick automaton over word ids and
-   streams the texts through it, which locates every occurrence; windows around those anchors are the candidates.
-3. Candidate windows are confirmed by the hash of all their words: a window goes where it also starts in a document
-   with a smaller doc_id.
+1. Every text gives its anchors. Those that occur in several texts are the recurring phrases.
+2. Recurring phrases are dealt out to shards of SHARD_PHRASES by the document in which they first occur, so that those of one
+   passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
+   documents of a shard are dealt out in blocks. A block's task takes the phrases from the texts where they first occur,
+   compiles them into an Aho-Corasick automaton over word ids, and streams its documents through it, which locates every
+   occurrence. Windows anchored there are the candidates.
+3. Candidates are confirmed by two independent 64-bit hashes of all their words: a window goes where it also starts in a
+   document with a smaller doc_id.
 
 Texts equal word for word are one class; only its first document goes through the steps, as all others repeat it.
 
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import Tables, joined_on
 from .words import slices, window_hashes, words_of
 
 WINDOW = 50
 PHRASE = 8
-_SALT = 0xC0FFEE
+SHARD_PHRASES = 10_000
+#: Documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
+BLOCK_DOCUMENTS = 500
 
 
 def _running_minimum(x: np.ndarray, n: int) -> np.ndarray:
@@ -73,60 +78,71 @@ def _scanned(window: int, phrase: int):
 
 
 class PhraseAutomaton:
-    """Phrases of a shard of texts, located in texts given as word ids."""
+    """Phrases given as word ids and hashes, located in texts given as word ids."""
 
     def __init__(self, phrase: int):
         import ahocorasick
 
-        self.phrase, self.known = phrase, set()
+        self.phrase, self.hashes, self.known, self.ready = phrase, [], set(), False
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
 
-    def add(self, ids: tuple[int, ...]) -> None:
+    def add(self, ids: tuple[int, ...], value: int) -> None:
         if ids not in self.known:
             self.known.add(ids)
-            self.automaton.add_word(ids, len(self.known))
+            self.automaton.add_word(ids, len(self.hashes))
+            self.hashes.append(value)
 
-    def compiled(self) -> PhraseAutomaton:
-        self.automaton.make_automaton()
-        return self
+    def located(self, ids: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start, and their hashes."""
+        if not self.ready:
+            self.automaton.make_automaton()
+            self.table, self.ready = np.array(self.hashes, np.uint64), True
+        found = np.array(list(self.automaton.iter(ids)) if self.hashes else [], np.int64).reshape(-1, 2)
+        return found[:, 0] - self.phrase + 1, self.table[found[:, 1]]
 
-    def starts(self, ids: tuple[int, ...]) -> list[int]:
-        return [end - self.phrase + 1 for end, _ in self.automaton.iter(ids)] if self.known else []
 
+def _word_ids(hashes: np.ndarray) -> tuple[int, ...]:
+    return tuple((hashes >> np.uint64(33)).astype(np.int64).tolist())
+
+
+def _located(window: int, phrase: int):
+    """(h1, h2, doc_id, key, at) of windows anchored at phrases that the automaton locates.
+
+    Rows are sorted by (shard, block); in each block those with phrases to compile come before the documents to stream.
+    """
 
-def _candidates(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton = None, PhraseAutomaton(phrase)
         for batch in batches:
-            texts, ids, recurring = batch.column("text"), batch.column("doc_id").to_numpy(), batch.column("recurring")
+            texts, ids, phrases = batch.column("text"), batch.column("doc_id").to_numpy(), batch.column("phrases")
+            places = list(zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()))
             for a, b in slices(texts):
-                words = words_of(texts.slice(a, b - a))
-                phrases = window_hashes(words.hashes, phrase)
+                words, more = words_of(texts.slice(a, b - a)), words_of(texts.slice(a, b - a), which=1)
                 if len(words.hashes) < window:
                     continue
-                low = _running_minimum(phrases, window - phrase + 1)
-                whole, more = window_hashes(words.hashes, window), window_hashes(words.hashes, window, _SALT)
-                word_ids = (words.hashes >> np.uint64(33)).astype(np.int64).tolist()
-                spans = list(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()))
-                automaton = PhraseAutomaton(phrase)
-                for k, (first, end) in enumerate(spans):
-                    if end - first < phrase:
-                        continue
-                    wanted = recurring[a + k].values.to_numpy().view(np.uint64)
-                    for p in np.flatnonzero(np.isin(phrases[first : end - phrase + 1], wanted)).tolist():
-                        automaton.add(tuple(word_ids[first + p : first + p + phrase]))
-                automaton.compiled()
+                grams = window_hashes(words.hashes, phrase)
+                low = _running_minimum(grams, window - phrase + 1)
+                h1, h2 = window_hashes(words.hashes, window), window_hashes(more.hashes, window, which=1)
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k, (first, end) in enumerate(spans):
+                for k, (first, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()), a):
+                    if places[k] != now:
+                        now, automaton = places[k], PhraseAutomaton(phrase)
                     if end - first < window:
                         continue
-                    found = automaton.starts(tuple(word_ids[first:end]))
-                    at = np.flatnonzero(np.isin(low[first : end - window + 1], phrases[first + np.array(found, np.int64)]))
-                    key = np.full(len(at), _key(_digest(texts[a + k])))
-                    for column, value in zip(out, (whole[first + at].view(np.int64), more[first + at].view(np.int64), np.full(len(at), ids[a + k]), key, at)):
-                        column.append(value)
-                if not out[0]:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h1", "h2", "doc_id", "key", "at"])
+                    if phrases[k].is_valid:
+                        wanted = phrases[k].values.to_numpy().view(np.uint64)
+                        for p in np.flatnonzero(np.isin(grams[first : end - phrase + 1], wanted)).tolist():
+                            automaton.add(_word_ids(words.hashes[first + p : first + p + phrase]), int(grams[first + p]))
+                        continue
+                    starts, hashes = automaton.located(_word_ids(words.hashes[first:end]))
+                    hashes = hashes[grams[first + starts] == hashes]
+                    at = np.flatnonzero(np.isin(low[first : end - window + 1], hashes)) if len(hashes) else np.zeros(0, np.int64)
+                    if len(at):
+                        key = np.full(len(at), _key(_digest(texts[k])))
+                        for column, value in zip(out, (h1[first + at].view(np.int64), h2[first + at].view(np.int64), np.full(len(at), ids[k]), key, at)):
+                            column.append(value)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h1", "h2", "doc_id", "key", "at"])
 
     return run
 
@@ -156,24 +172,42 @@ def _kept(window: int):
     return run
 
 
+def occurrences(own: DataFrame, anchors: DataFrame, shared: DataFrame, window: int, phrase: int, tables: Tables) -> DataFrame:
+    """Candidate windows of all documents (doc_id, text): those anchored at a recurring phrase (anchor, first, n)."""
+    shards = max(1, -(-shared.count() // SHARD_PHRASES))
+    phrases = shared.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
+    compiled = phrases.groupBy("shard", F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("phrases"))
+    routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables).select("doc_id", "shard").distinct()
+    routes = tables.written(routes, "routes")
+    sizes = routes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
+    sources = compiled.join(sizes, "shard").select("doc_id", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "phrases")
+    stream = routes.join(sizes, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    wanted = sources.unionByName(stream.withColumn("phrases", F.lit(None).cast("array<bigint>")))
+    texts = own.join(wanted, "doc_id").repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("phrases").isNull())
+    return texts.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long")
+
+
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with_text: also kept, what is left where something goes."""
+    tables = Tables(docs.sparkSession)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = written(own.mapInArrow(_scanned(window, phrase), "doc_id long, n_words long, digest string, anchors array<long>"), "scanned")
+    rows = tables.written(own.mapInArrow(_scanned(window, phrase), "doc_id long, n_words long, digest string, anchors array<long>"), "scanned")
     long = rows.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-    classes = written(long.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
+    classes = tables.written(long.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
     firsts = long.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    anchors = firsts.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("recurring"))
-    shards = own.join(wanted, "doc_id")
-    windows = written(shards.mapInArrow(_candidates(window, phrase), "h1 long, h2 long, doc_id long, key long, at long"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    starts = windows.join(first, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts"))
+    anchors = tables.written(firsts.select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    shared = tables.written(shared.where("first <> last").drop("last"), "phrases")
+    windows = tables.written(occurrences(own, anchors, shared, window, phrase, tables), "windows")
+    tables.drop(anchors, shared)
+    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = tables.written(first.where("first <> last").drop("last"), "confirmed")
+    starts = joined_on(windows, first, ["h1", "h2"], tables).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts"))
     cut = own.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         cut = cut.drop("kept")
-    cut = cut.dropDuplicates(["doc_id", "key"])
+    cut = tables.written(cut.dropDuplicates(["doc_id", "key"]), "cut")
+    tables.keep(rows, classes, cut)
     copies = rows.join(classes, "digest", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
     key = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")

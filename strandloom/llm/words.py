@@ -15,8 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _SEED = 0x5EED
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd bases of two independent polynomials.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SLICE_BYTES = 1 << 20
 
 
@@ -39,24 +39,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    base = _BASES[which]
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse, n of each at least."""
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of a base and of its inverse, n of each at least."""
     size = SLICE_BYTES * 2
     while size < n:
         size *= 2
-    return _powers(size)
+    return _powers(size, which)
 
 
-@lru_cache(maxsize=2)
-def _byte_values(lower: bool) -> np.ndarray:
-    values = np.random.default_rng(_SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(maxsize=4)
+def _byte_values(lower: bool, which: int) -> np.ndarray:
+    values = np.random.default_rng(_SEED + which).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     if lower:
         values[65:91] = values[97:123]
     return values
@@ -91,8 +92,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; lower: A-Z count as a-z."""
+def words_of(texts: pa.Array, lower: bool = False, which: int = 0) -> Words:
+    """Words of each text; lower: A-Z count as a-z; which: one of two independent hashes of words."""
     data, at = bytes_of(texts)
     n = len(data)
     if not n:
@@ -105,20 +106,20 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate((inside[1:], [False])) & ~edge[1:]
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(n)
+    up, down = powers(n, which)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_byte_values(lower)[data] * up[:n], out=sums[1:])
+    np.cumsum(_byte_values(lower, which)[data] * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return Words(hashes, np.searchsorted(starts, at), starts, ends, data)
 
 
-def window_hashes(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, k: int, salt: int = 0, which: int = 0) -> np.ndarray:
     """Hash of each k consecutive words, wherever they lie; shorter input gives none."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(hashes) + 1)
+    up, down = powers(len(hashes) + 1, which)
     sums = np.empty(len(hashes) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
