@@ -7,7 +7,7 @@ PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per h
 2. Recurring phrases are dealt out to shards of SHARD_PHRASES by the document in which they first occur, so that those of one
    passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
    documents of a shard are dealt out in blocks. A block's task takes the phrases from the texts where they first occur,
-   compiles them into an Aho-Corasick automaton over word ids, and streams its documents through it, which locates every
+   compiles them into an Aho-Corasick automaton over words, and streams its documents through it, which locates every
    occurrence. Windows anchored there are the candidates.
 3. Candidates are confirmed by two independent 64-bit hashes of all their words: a window goes where it also starts in a
    document with a smaller doc_id.
@@ -33,6 +33,7 @@ from .words import slices, window_hashes, words_of
 
 WINDOW = 50
 PHRASE = 8
+SYMBOLS = 4
 SHARD_PHRASES = 10_000
 #: Documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
 BLOCK_DOCUMENTS = 500
@@ -77,32 +78,35 @@ def _scanned(window: int, phrase: int):
     return run
 
 
+def _symbols(hashes: np.ndarray) -> str:
+    """Each word as SYMBOLS characters, 4 bits of its hash in each; every place in a word has characters of its own, so
+    that matches start and end with words. Few characters keep the automaton's steps short."""
+    shifts = np.arange(64 - 4, 64 - 4 * (SYMBOLS + 1), -4, dtype=np.uint64)
+    codes = (hashes[:, None] >> shifts) & np.uint64(15)
+    return (codes.astype(np.uint8) + np.arange(SYMBOLS, dtype=np.uint8) * 16 + 48).tobytes().decode("latin-1")
+
+
 class PhraseAutomaton:
-    """Phrases given as word ids and hashes, located in texts given as word ids."""
+    """Phrases given as symbols and hashes, located in texts given as symbols."""
 
     def __init__(self, phrase: int):
         import ahocorasick
 
-        self.phrase, self.hashes, self.known, self.ready = phrase, [], set(), False
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.phrase, self.hashes, self.ready = phrase, [], False
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
-    def add(self, ids: tuple[int, ...], value: int) -> None:
-        if ids not in self.known:
-            self.known.add(ids)
-            self.automaton.add_word(ids, len(self.hashes))
+    def add(self, symbols: str, value: int) -> None:
+        if symbols not in self.automaton:
+            self.automaton.add_word(symbols, len(self.hashes))
             self.hashes.append(value)
 
-    def located(self, ids: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Where phrases start, and their hashes."""
+    def located(self, symbols: str) -> tuple[np.ndarray, np.ndarray]:
+        """At which words phrases start, and their hashes."""
         if not self.ready:
             self.automaton.make_automaton()
             self.table, self.ready = np.array(self.hashes, np.uint64), True
-        found = np.array(list(self.automaton.iter(ids)) if self.hashes else [], np.int64).reshape(-1, 2)
-        return found[:, 0] - self.phrase + 1, self.table[found[:, 1]]
-
-
-def _word_ids(hashes: np.ndarray) -> tuple[int, ...]:
-    return tuple((hashes >> np.uint64(33)).astype(np.int64).tolist())
+        found = np.array(list(self.automaton.iter(symbols)) if self.hashes else [], np.int64).reshape(-1, 2)
+        return (found[:, 0] + 1) // SYMBOLS - self.phrase, self.table[found[:, 1]]
 
 
 def _located(window: int, phrase: int):
@@ -132,9 +136,9 @@ def _located(window: int, phrase: int):
                     if phrases[k].is_valid:
                         wanted = phrases[k].values.to_numpy().view(np.uint64)
                         for p in np.flatnonzero(np.isin(grams[first : end - phrase + 1], wanted)).tolist():
-                            automaton.add(_word_ids(words.hashes[first + p : first + p + phrase]), int(grams[first + p]))
+                            automaton.add(_symbols(words.hashes[first + p : first + p + phrase]), int(grams[first + p]))
                         continue
-                    starts, hashes = automaton.located(_word_ids(words.hashes[first:end]))
+                    starts, hashes = automaton.located(_symbols(words.hashes[first:end]))
                     hashes = hashes[grams[first + starts] == hashes]
                     at = np.flatnonzero(np.isin(low[first : end - window + 1], hashes)) if len(hashes) else np.zeros(0, np.int64)
                     if len(at):
