@@ -1,13 +1,15 @@
 """Sharding: minimax contiguous partition of atomic groups, in Spark expressions only.
 
 Rows with equal texts form one atomic group; groups are ordered by a 60-bit prefix of the text's SHA-256. A binary
-search finds the smallest capacity at which a greedy walk fits all groups into the shards, and the cuts of that walk
-are the answer. The walk needs prefix sums of group sizes, which are too many to gather. So it runs on sums over key
-ranges: BITS bits of the key first, then, only for ranges in which some cut may still fall, the next BITS bits, until
-every such range is a single group. What reaches the driver is bounded by the number of shards, not by the rows.
+search finds the smallest capacity at which a greedy walk fits all groups into the shards. The walk needs prefix sums of
+group sizes, which are too many to gather. So it runs on sums over key ranges: BITS bits of the key first, then, only for
+ranges in which some cut may still fall, the next BITS bits, until every such range is a single group. Two walks bracket
+each cut: one that fills ranges whole, and one that pours those of several groups like a liquid. Ranges that are large
+because of a large group are split first, so brackets are a few ranges wide, and what reaches the driver depends on the
+number of shards and not on the rows.
 
-A group larger than an even share would leave later shards empty under a greedy walk; such groups (fewer than shards)
-get a shard each and the others are balanced over the rest.
+Of the cuts that the smallest capacity allows, those nearest to even shares of what is left are taken, as a greedy walk
+would leave the last shards empty where one group is larger than an even share.
 
 Defined cases: a null text is an empty one (same group, size 1); repeated rows count each; an empty table gives an
 empty result; fewer groups than shards leave shards empty.
@@ -15,6 +17,7 @@ empty result; fewer groups than shards leave shards empty.
 
 from __future__ import annotations
 
+import bisect
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -39,10 +42,9 @@ class Range(NamedTuple):
 
 
 class Plan(NamedTuple):
-    """Shard i takes keys below ends[i] that no earlier one takes; keys in alone have the shard given there."""
+    """Shard i takes keys below ends[i] that no earlier one takes."""
 
     ends: list[int]
-    alone: dict[int, int]
     capacity: int
 
 
@@ -69,71 +71,94 @@ def _ranges(groups: DataFrame, within: list[Range] | None) -> list[Range]:
     return [Range(r.b << coarse, bits, r.s, r.n) for r in sums.collect()]
 
 
-def _walk(ranges: list[Range], shards: int, capacity: int) -> tuple[bool, list[int]]:
-    """Greedy filling with whole ranges: whether all fits, and the first keys of the ranges at which shards were cut."""
-    cuts, used = [], 0
+def _walk(ranges: list[Range], shards: int, capacity: int, pour: bool = False) -> tuple[bool, list[int]]:
+    """Greedy filling: whether all fits, and the places in the row of sizes at which shards were cut.
+
+    pour: ranges of several groups can be cut anywhere.
+    """
+    cuts, at, used = [], 0, 0
     for r in ranges:
-        if used + r.size > capacity:
-            if r.size > capacity or len(cuts) + 1 >= shards:
+        size = r.size
+        while used + size > capacity:
+            if len(cuts) + 1 >= shards:
                 return False, cuts
-            cuts.append(r.first)
+            if pour and r.groups > 1:
+                at += capacity - used
+                size -= capacity - used
+            elif r.size > capacity:
+                return False, cuts
+            cuts.append(at)
             used = 0
-        used += r.size
+        used += size
+        at += size
     return True, cuts
 
 
-def _smallest(ranges: list[Range], shards: int) -> int:
-    low, high = max((r.size for r in ranges), default=0), sum(r.size for r in ranges)
-    low = max(low, -(-high // shards))
+def _smallest(ranges: list[Range], shards: int, pour: bool = False) -> int:
+    high = sum(r.size for r in ranges)
+    low = max(-(-high // shards), max((r.size for r in ranges if r.groups == 1 or not pour), default=0))
     while low < high:
         middle = (low + high) // 2
-        low, high = (low, middle) if _walk(ranges, shards, middle)[0] else (middle + 1, high)
+        low, high = (low, middle) if _walk(ranges, shards, middle, pour)[0] else (middle + 1, high)
     return low
 
 
 def _open(ranges: list[Range], shards: int) -> list[Range]:
-    """Ranges of several groups that a cut may fall into, at any capacity that is still in question.
-
-    Filling ranges whole gives a capacity that suffices; pouring sizes like a liquid gives one that is needed. At either
-    end the i-th cut is bracketed, and it moves with the capacity in one direction only.
-    """
-    total, enough = sum(r.size for r in ranges), _smallest(ranges, shards)
-    needed = max(-(-total // shards), max((-(-r.size // r.groups) for r in ranges), default=0))
-    marks, at = [], 0
+    """Ranges of several groups that must be split before the cuts are known."""
+    total = sum(r.size for r in ranges)
+    fat = [r for r in ranges if r.groups > 1 and r.size * 8 * shards > total]
+    if fat:
+        return fat
+    needed, enough = _smallest(ranges, shards, pour=True), _smallest(ranges, shards)
+    if needed == enough:
+        return []
+    # a cut moves right with the capacity, and pouring puts it further right than filling whole ranges does
+    first, last = _walk(ranges, shards, needed)[1], _walk(ranges, shards, enough, pour=True)[1]
+    spans = list(zip(first, last + [total] * (len(first) - len(last))))
+    out, at = [], 0
     for r in ranges:
-        marks.append((at, at + r.size))
+        if r.groups > 1 and any(at <= high and at + r.size >= low for low, high in spans):
+            out.append(r)
         at += r.size
-    slack = max((r.size for r in ranges if r.groups > 1), default=0)
-    spans = [(i * (needed - slack), i * enough) for i in range(1, shards)]
-    return [r for r, (a, b) in zip(ranges, marks) if r.groups > 1 and any(a <= high and b >= low for low, high in spans)]
+    return out
+
+
+def _even(ranges: list[Range], shards: int, capacity: int) -> list[int]:
+    """Numbers of the ranges at which shards begin: of all cuts within the capacity those nearest to even shares."""
+    sums = [0]
+    for r in ranges:
+        sums.append(sums[-1] + r.size)
+    cuts, start = [], 0
+    for left in range(shards, 1, -1):
+        most = bisect.bisect_right(sums, sums[start] + capacity) - 1
+        even = sums[start] + (sums[-1] - sums[start]) / left
+        low = min(most, max(start, bisect.bisect_left(sums, even)))
+        if low > start and even - sums[low - 1] < sums[low] - even:
+            low -= 1
+        high = most
+        while low < high:  # the rest fits from `most` on, and from any cut right of one from which it fits
+            middle = (low + high) // 2
+            low, high = (low, middle) if _walk(ranges[middle:], left - 1, capacity)[0] else (middle + 1, high)
+        start = low
+        cuts.append(start)
+    return cuts
 
 
 def planned(groups: DataFrame, shards: int) -> Plan:
     """Cuts for groups (key, size), each key once."""
-    totals = groups.agg(F.sum("size"), F.count("*")).first()
-    rest, alone, left = totals[0] or 0, {}, shards
-    for r in groups.orderBy(F.desc("size"), "key").limit(shards).collect():
-        if left > 1 and r["size"] * left > rest:
-            left -= 1
-            alone[r["key"]] = left
-            rest -= r["size"]
-    if alone:
-        groups = groups.where(~F.col("key").isin(list(alone)))
     ranges = sorted(_ranges(groups, None))
-    while todo := _open(ranges, left):
+    while todo := _open(ranges, shards):
         level = min(r.bits for r in todo)
         todo = [r for r in todo if r.bits == level]
         gone = set(todo)
         ranges = sorted([r for r in ranges if r not in gone] + _ranges(groups, todo))
-    capacity = _smallest(ranges, left)
-    ends = _walk(ranges, left, capacity)[1]
-    return Plan(ends + [1 << KEY_BITS] * (left - len(ends)), alone, capacity)
+    capacity = _smallest(ranges, shards)
+    ends = [ranges[i].first if i < len(ranges) else 1 << KEY_BITS for i in _even(ranges, shards, capacity)]
+    return Plan([*ends, 1 << KEY_BITS], capacity)
 
 
 def shard_of(key: Column, plan: Plan) -> Column:
     out = F.when(F.lit(False), F.lit(0))
-    for k, shard in plan.alone.items():
-        out = out.when(key == k, F.lit(shard))
     for i, end in enumerate(plan.ends):
         out = out.when(key < end, F.lit(i))
     return out.cast("int")
