@@ -30,7 +30,9 @@ from .storage import written
 WINDOW = 2048
 END_ID = 1
 PARTS = 1024
-ROUNDS = 60
+#: The fit ends when a round lowers its squared error by less than this share, or after so many rounds.
+CONVERGED = 1e-2
+ROUNDS = 400
 _SPECIAL = "<|endoftext|>"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _ENCODERS: dict = {}
@@ -106,9 +108,14 @@ def fitted(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     # pairs start with all they can take, as long pieces fit little else; triples share the rest
     pairs = rows[:, 2] == 0
     x = np.where(pairs, np.minimum(target[rows[:, 0]], target[rows[:, 1]]), 0.02 * target.sum() / (3.0 * max(1, len(rows))))
+    last = np.inf
     for _ in range(ROUNDS):
         got = sum(np.bincount(rows[:, k], weights=x, minlength=len(counts)) for k in range(3))
         got[0] = 0
+        error = float(((got - target) ** 2).sum())
+        if error >= last * (1 - CONVERGED):
+            break
+        last = error
         x *= up / np.maximum(got[rows].sum(1), 1e-9)
     return x
 
@@ -149,12 +156,10 @@ def planned(counts: np.ndarray, window: int = WINDOW) -> tuple[Slots, int]:
     left = counts.astype(np.int64).copy()
     full = [((window,), int(left[window]))] if left[window] else []
     left[window] = 0
-    alone = greedy(left, window)
     rows = combinations(np.flatnonzero(left), window)
     fit = rounded(rows, fitted(rows, left), left)
     fit += greedy(left, window)
-    # a histogram that exact fills suit badly (as many long pieces as windows) keeps none of the fit
-    used = full + min(fit, alone, key=lambda plan: sum(n for _, n in plan))
+    used = full + fit
     taken, rank, sequence = [], np.zeros(window + 1, np.int64), 0
     for parts, n in used:
         offset = 0

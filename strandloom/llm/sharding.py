@@ -132,8 +132,8 @@ def _even(ranges: list[Range], shards: int, capacity: int) -> list[int]:
     for left in range(shards, 1, -1):
         most = bisect.bisect_right(sums, sums[start] + capacity) - 1
         even = sums[start] + (sums[-1] - sums[start]) / left
-        low = min(most, max(start, bisect.bisect_left(sums, even)))
-        if low > start and even - sums[low - 1] < sums[low] - even:
+        low = min(most, max(start + 1, bisect.bisect_left(sums, even)))
+        if low > start + 1 and even - sums[low - 1] < sums[low] - even:
             low -= 1
         high = most
         while low < high:  # the rest fits from `most` on, and from any cut right of one from which it fits
