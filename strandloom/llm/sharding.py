@@ -123,6 +123,16 @@ def _open(ranges: list[Range], shards: int) -> list[Range]:
     return out
 
 
+def _share(sizes: list[int], shards: int) -> float:
+    """An even share, not counting what is larger than one and fills a shard by itself."""
+    rest = sum(sizes)
+    for size in sorted(sizes, reverse=True):
+        if shards == 1 or size * shards <= rest:
+            break
+        rest, shards = rest - size, shards - 1
+    return rest / shards
+
+
 def _even(ranges: list[Range], shards: int, capacity: int) -> list[int]:
     """Numbers of the ranges at which shards begin: of all cuts within the capacity those nearest to even shares."""
     sums = [0]
@@ -131,7 +141,7 @@ def _even(ranges: list[Range], shards: int, capacity: int) -> list[int]:
     cuts, start = [], 0
     for left in range(shards, 1, -1):
         most = bisect.bisect_right(sums, sums[start] + capacity) - 1
-        even = sums[start] + (sums[-1] - sums[start]) / left
+        even = sums[start] + _share([r.size for r in ranges[start:]], left)
         low = min(most, max(start + 1, bisect.bisect_left(sums, even)))
         if low > start + 1 and even - sums[low - 1] < sums[low] - even:
             low -= 1
