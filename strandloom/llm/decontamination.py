@@ -8,7 +8,8 @@ not matter, so passages put together anew are caught.
 The test set is the query set: it is taken to the executors in blocks of BLOCK_BYTES, and every block meets all
 documents.
 
-Defined cases: null and empty texts match nothing; items shorter than a seed are matched whole; repeated documents
+Defined cases: null and empty texts match nothing; items shorter than a seed are matched whole, so an item of one word is
+found in every document with that word; repeated documents
 are judged each, repeated items once; an item_id with two texts counts as two items; a null item_id stays null in the
 result; an empty test set flags nothing; extra columns of the documents stay as they are.
 """
@@ -26,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import mixed, window_hashes
+
 MIN_MATCH = 4
 #: No longer than a tile, so that passages put together anew from the shortest tiles are looked at as well.
 SEED = MIN_MATCH
 #: Share of an item's words that tiles must cover.
 COVERAGE = 0.6
-BLOCK_BYTES = 16 << 20
+#: Size of a block of items as it is sent to executors, and what one of its words takes there (a seed, its set and its entry).
+BLOCK_BYTES = 64 << 20
+WORD_BYTES = 512
 _WORDS = re.compile(r"[^\W_]+")
-_B = 1_000_003
-_M = (1 << 61) - 1
 
 
 class Found(NamedTuple):
@@ -48,19 +51,13 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
-def _rolling(ids: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
-    """(start, Karp-Rabin hash) of each n consecutive unmarked ids."""
-    top, value, run = pow(_B, n - 1, _M), 0, 0
-    for i, x in enumerate(ids):
-        if not free[i]:
-            value = run = 0
-            continue
-        if run >= n:
-            value = (value - ids[i - n] * top) % _M
-        value = (value * _B + x) % _M
-        run += 1
-        if run >= n:
-            yield i - n + 1, value
+def _grams(ids: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, Karp-Rabin hashes) of each n consecutive unmarked ids."""
+    if len(ids) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    marked = np.concatenate(([0], np.cumsum(~free)))
+    starts = np.flatnonzero(marked[n:] == marked[:-n])
+    return starts, window_hashes(mixed(ids.astype(np.uint64) + np.uint64(1)), n)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
 def _runs(doc: list[int], least: int) -> tuple[list[int], list[int]]:
@@ -76,24 +73,42 @@ def _runs(doc: list[int], least: int) -> tuple[list[int], list[int]]:
 
 
 def tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """(start in item, start in document, length) of greedy tiles, the longest first."""
+    """(start in item, start in document, length) of greedy tiles, the longest first.
+
+    Each round runs Karp-Rabin at the greatest length at which anything is left to match. A match contains shorter ones, so
+    that length is found by bisection, and lengths without matches cost nothing.
+    """
     least = max(1, min(least, len(item)))
     doc, at = _runs(doc, least)
-    free_item, free_doc, out = [True] * len(item), [x >= 0 for x in doc], []
-    for n in range(len(item), least - 1, -1):
-        places = defaultdict(list)
-        for i, h in _rolling(item, free_item, n):
+    item_ids, doc_ids = np.array(item, np.int64), np.array(doc, np.int64)
+    free_item, free_doc, out, n = np.ones(len(item), bool), doc_ids >= 0, [], len(item)
+
+    def common(length: int) -> bool:
+        return bool(np.isin(_grams(item_ids, free_item, length)[1], _grams(doc_ids, free_doc, length)[1]).any())
+
+    while n >= least and common(least):
+        low, high = least, n
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        n, places = low, defaultdict(list)
+        starts, hashes = _grams(item_ids, free_item, n)
+        for i, h in zip(starts.tolist(), hashes.tolist()):
             places[h].append(i)
-        if not places:
-            continue
-        for j, h in _rolling(doc, list(free_doc), n):
-            for i in places.get(h, ()):
+        starts, found = _grams(doc_ids, free_doc, n)
+        hit = np.isin(found, hashes)
+        for j, h in zip(starts[hit].tolist(), found[hit].tolist()):
+            if not free_doc[j : j + n].all():
+                continue
+            for i in places[h]:
                 # marks set in this round and collisions of hashes are checked here
-                if all(free_item[i + k] and free_doc[j + k] and item[i + k] == doc[j + k] for k in range(n)):
-                    for k in range(n):
-                        free_item[i + k] = free_doc[j + k] = False
+                if free_item[i : i + n].all() and (item_ids[i : i + n] == doc_ids[j : j + n]).all():
+                    free_item[i : i + n] = free_doc[j : j + n] = False
                     out.append((i, at[j], n))
                     break
+            if not free_item.any():
+                break
+        n -= 1
     return out
 
 
@@ -143,7 +158,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[Block]:
     items = benchmark.where("text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for r in items.toLocalIterator():
         some.append((r.item_id, r.text))
-        size += len(r.text) * 4
+        size += len(words(r.text)) * WORD_BYTES
         if size >= most:
             yield Block(some)
             some, size = [], 0
@@ -165,10 +180,10 @@ def _rows(shared, coverage: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, item_words): each document with each item that it contains."""
     own, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for block in blocks(benchmark):
+    for block in blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
         rows = own.mapInArrow(_rows(shared, coverage), "doc_id long, item_id long, coverage double, n_tiles long, item_words long")
         out = rows if out is None else out.unionByName(rows)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -232,7 +233,7 @@ def test_minimax_with_a_large_group_stays_contiguous_and_collects_little(spark,
     large, total = sizes.max(), sizes.sum()
     assert plan.capacity >= loads.max() and sum(map(len, rows)) < 20_000
     if share > 1 / 8:
-        assert plan.capacity == large and np.sort(loads)[:-1].max() < 1.35 * (total - large) / 7 and loads.min() > 0.7 * (total - large) / 7
+        assert plan.capacity == large and np.sort(loads)[:-1].max() < 1.35 * (total - large) / 7 and loads.min() > 0.5 * (total - large) / 7
     else:
         assert loads.max() == plan.capacity < 1.12 * total / 8
 
@@ -284,6 +285,37 @@ def test_tiling_covers_reordered_passages(spark):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def _greedy_tiles(item, doc, least):
+    """Greedy tiling by comparing all places at every length."""
+    fi, fd, out = [True] * len(item), [True] * len(doc), []
+    for n in range(len(item), least - 1, -1):
+        for j in range(len(doc) - n + 1):
+            for i in range(len(item) - n + 1):
+                if all(fi[i + k] and fd[j + k] and item[i + k] == doc[j + k] for k in range(n)):
+                    for k in range(n):
+                        fi[i + k] = fd[j + k] = False
+                    out.append((i, j, n))
+                    break
+    return out
+
+
+def test_tiling_equals_brute_force_and_is_quick(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        item, doc = rng.integers(0, 4, int(rng.integers(1, 24))).tolist(), rng.integers(-1, 4, int(rng.integers(0, 40))).tolist()
+        least = min(4, len(item))
+        assert decontamination.tiles(item, doc) == _greedy_tiles(item, doc, least)
+    item, doc = list(range(800)), np.where((d := rng.integers(0, 3000, 20_000)) < 800, d, -1).tolist()
+    doc[100:105] = item[7:12]
+    began = time.perf_counter()
+    assert decontamination.tiles(item, doc)[0] == (7, 100, 5) and time.perf_counter() - began < 0.5
+    assert len(decontamination.tiles([1] * 800, [1] * 20_000)) == 1
+    bench = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(5)], "item_id long, text string")
+    docs = bench.selectExpr("item_id as doc_id", "text", "'x' as item_id", "1 as coverage")
+    assert len(list(decontamination.blocks(bench, 8_000))) > 2
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench, block_bytes=8_000).collect()) == [(k, k) for k in range(5)]
+
+
 def test_tiling_takes_every_item_and_short_runs(spark):
     text = lambda k: " ".join(f"{k}{i}" for i in range(12))
     bench = spark.createDataFrame([(7, text("a")), (7, text("b")), (None, text("c"))], "item_id long, text string")
