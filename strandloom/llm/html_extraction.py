@@ -27,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_side
+from .storage import written
+
+#: Bytes of hosts and paths up to which they are broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg".split())
@@ -56,13 +59,75 @@ _GOOD_WORDS = frozenset("article content post entry story main body text".split(
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 _SCOPE = frozenset("table ul ol dl div article section main body html blockquote".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_UNQUOTED = re.compile(r"[^\s>]*")
+#: Elements in elements, beyond which tags open nothing more and their text is that of the element around.
+DEPTH = 512
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _WORD = re.compile(r"[a-z]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none")
 
 
+class Tags:
+    """Tags of a page from left to right, in time linear in its length.
+
+    As in the HTML standard, quotes count only where a value begins; a quote that is never closed does not count, and where
+    the page ends inside a tag, tags from there on end with the next sign.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.plain = source, {c: source.rfind(c) for c in "\"'>"}, False
+
+    def rest(self, at: int) -> tuple[list[tuple[str, str]], bool, int] | None:
+        """Attributes, whether the tag closes itself, and its end, from behind its name; None where the page ends first."""
+        source, out = self.source, []
+        while True:
+            at = _GAP.match(source, at).end()
+            if at > self.last[">"]:
+                return None
+            if source[at] == ">":
+                return out, source[at - 1] == "/", at + 1
+            name = _ATTRIBUTE.match(source, at)
+            at, value = name.end(), ""
+            equals = _EQUALS.match(source, at)
+            if equals:
+                at = equals.end()
+                quote = source[at : at + 1]
+                if quote in ("'", '"') and at < self.last[quote]:
+                    end = source.find(quote, at + 1)
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    found = _UNQUOTED.match(source, at)
+                    value, at = found[0], found.end()
+            out.append((name[0].lower(), value))
+
+    def tag(self, mark: int) -> tuple[str, str, list[tuple[str, str]], bool, int] | None:
+        """(kind, text or name, attributes, closes itself, end) at a sign, kind being text, skip, open or end; None: no tag."""
+        source = self.source
+        if source.startswith("<!--", mark):
+            end = source.find("-->", mark + 2)
+            return "skip", "", [], False, end + 3 if end >= 0 else len(source)
+        if source.startswith("<![CDATA[", mark):
+            end = source.find("]]>", mark)
+            return "text", source[mark + 9 : end if end >= 0 else len(source)], [], False, end + 3 if end >= 0 else len(source)
+        if mark >= self.last[">"]:
+            return None
+        if source[mark + 1] in "!?":
+            return "skip", "", [], False, source.find(">", mark) + 1
+        closing = source[mark + 1] == "/"
+        name = _NAME.match(source, mark + 1 + closing)
+        if name is None:
+            return None
+        rest = None if self.plain else self.rest(name.end())
+        if rest is None:
+            self.plain = True
+            rest = [], False, source.find(">", name.end()) + 1
+        return "end" if closing else "open", name[0].lower(), *rest
+
+
 def _named_kind(tag: str, names: list[str]) -> int:
     """Whether classes and id name chrome: as a whole, or (MAYBE) in a part or on an element that is also named as text."""
     kind = 0
@@ -143,7 +208,7 @@ class Page:
             self._flush()
         del self._stack[depth:]
 
-    def _open(self, tag: str, rest: str) -> None:
+    def _open(self, tag: str, attributes: list[tuple[str, str]]) -> None:
         if self.tag[self._stack[-1]] == "head":  # its end may be left out
             self._close(len(self._stack) - 1)
         if tag in _BLOCK:
@@ -156,15 +221,14 @@ class Page:
                     break
             self._flush()
         names, role, hidden = [], "", False
-        if rest:
-            for key, value in _ATTRIBUTE.findall(rest):
-                key, value = key.lower(), value.strip("\"'").lower()
-                if key in ("class", "id"):
-                    names += value.split() if key == "class" else [value]
-                elif key == "role":
-                    role = value
-                elif key == "hidden" or (key == "style" and _NO_DISPLAY.search(value)):
-                    hidden = True
+        for key, value in attributes:
+            value = value.lower()
+            if key in ("class", "id"):
+                names += value.split() if key == "class" else [value]
+            elif key == "role":
+                role = value
+            elif key == "hidden" or (key == "style" and _NO_DISPLAY.search(value)):
+                hidden = True
         words = {w for n in names for w in _WORD.findall(n)}
         up, kind = self._stack[-1], 0
         if tag not in ("html", "body"):
@@ -184,22 +248,19 @@ class Page:
         self._link_depth += tag == "a"
 
     def _read(self, source: str) -> None:
-        at = 0
+        at, tags = 0, Tags(source)
         while (mark := source.find("<", at)) >= 0:
-            m = _TAG.match(source, mark)
-            if m is None:  # a lone sign is text
+            found = tags.tag(mark)
+            if found is None:  # a lone sign is text
                 self._add(source[at : mark + 1])
                 at = mark + 1
                 continue
             if mark > at:
                 self._add(source[at:mark])
-            at = m.end()
-            if m["cdata"] is not None:
-                self._add(m["cdata"])
-            if not m["name"]:
-                continue
-            tag = m["name"].lower()
-            if m["end"]:
+            kind, tag, attributes, itself, at = found
+            if kind == "text":
+                self._add(tag)
+            elif kind == "end":
                 for depth in range(len(self._stack) - 1, 0, -1):
                     if self.tag[self._stack[depth]] == tag:
                         if tag not in ("html", "body"):  # what follows them is still the page's
@@ -207,6 +268,8 @@ class Page:
                         break
                     if self.tag[self._stack[depth]] in _SCOPE and tag not in _SCOPE:
                         break
+            elif kind == "skip":
+                continue
             elif tag in _VOID:
                 if tag == "hr":
                     self._flush()
@@ -216,9 +279,12 @@ class Page:
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
                 close = source.find(">", end.start()) if end else -1
                 at = close + 1 if close >= 0 else len(source)
+            elif len(self._stack) >= DEPTH:
+                if tag in _BLOCK:
+                    self._flush()
             else:
-                self._open(tag, m["rest"])
-                if m["rest"].endswith("/") and tag not in _BLOCK:
+                self._open(tag, attributes)
+                if itself and tag not in _BLOCK:
                     self._close(len(self._stack) - 1)
         self._add(source[at:])
         self._flush()
@@ -359,9 +425,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and host_path of every page."""
-    from .storage import written
-
     winners = written(host_paths(pages), "host_paths")
     own = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", _HOST.pattern, 1)), F.lit("")).alias("host"))
-    own = own.join(small_side(winners, limit=200_000), "host", "left").select("page_id", "url", "html", "path")
+    # paths have no fixed length: hosts are broadcast by the bytes of theirs
+    size = winners.agg(F.count("*").alias("n"), F.sum(F.length("host") + F.length("path")).alias("bytes")).first()
+    winners = F.broadcast(winners) if 100 * size.n + 2 * (size["bytes"] or 0) <= BROADCAST_BYTES else winners
+    own = own.join(winners, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "path")
     return own.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, host_path string")

@@ -406,6 +406,39 @@ def test_html_inner_paths_keep_titles_leads_and_minority_pages(spark):
     assert len(html_extraction.votes("<article><p>some words</p></article>" * 5)) == 2
 
 
+LONG = "A paragraph of many words that goes on for a while. " * 4
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p title=don't>Alpha beta gamma.</p><p>Delta</p>", "Alpha beta gamma.\n\nDelta"),
+        ('<p title="a hidden gem">Alpha</p><p>Beta</p>', "Alpha\n\nBeta"),
+        (f"<div id=content><div class=lead><p>Lead words.</p></div><div class=text><p>{LONG}</p></div></div>", f"Lead words.\n\n{LONG.strip()}"),
+        (f"<article><h1>T</h1><div class=story-part><p>{LONG}</p></div><div class=story-end><p>The end.</p></div></article>", f"T\n\n{LONG.strip()}\n\nThe end."),
+        ('<p a="b > c">one < two</p>', "one < two"),
+        ("<p>a<![CDATA[b]]>c</p><!-- > -->", "abc"),
+        ("<p>x</p><p class='open>y</p>", "x\n\ny"),
+    ],
+)
+def test_html_tags_follow_the_standard(html, want):
+    assert html_extraction.main_text(html, None) == want
+
+
+@pytest.mark.parametrize("part", ["<p it's ", "<p a=\"", "<![CDATA[", "<b>", "<!--", "< ", "<p a='x\">", "<div class=a>x"])
+def test_html_broken_pages_take_linear_time(part):
+    began = time.perf_counter()
+    html_extraction.main_text(part * (400_000 // len(part)), None)
+    assert time.perf_counter() - began < 8
+
+
+def test_html_columns_that_clash_and_ties(spark):
+    rows = [(1, "http://a.org/1", f"<div class=x><p>{LONG}</p></div>", "t", 3, "h", "p"), (2, "http://a.org/2", f"<div class=y><p>{LONG}</p></div>", None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, text string, n_chars int, host string, path string")
+    got = html_extraction.extracted(pages)
+    assert got.columns[:4] == ["page_id", "url", "text", "n_chars"] and [r.text for r in got.orderBy("page_id").collect()] == [LONG.strip()] * 2
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar(toxicity.Lexicon({"moron": 4.0}, {"lowe": 3.0}))
     plain, aimed, denied, told = (grammar.clause(c.split()) for c in ("a moron here", "you are moron", "you are not a moron", "he said moron"))
