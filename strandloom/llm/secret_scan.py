@@ -8,9 +8,11 @@ a digit or a change from lower to upper case (letters of one case: MIN_LETTERS i
 in windows that overlap by half; its highest score counts. Pattern findings are scored as well and kept at any score.
 
 The network (embedding, one convolution, maxima over the candidate and over its context, one output) is in numpy. It
-is trained here on labelled findings made by a seeded generator (FIT_FINDINGS): keys of many forms against mail
-addresses, links, numbers, dates, names, file names and words. A part held back calibrates its output by a logistic
-curve, and the threshold is the highest up to SURE that keeps RECALL of the positive ones there.
+is trained here on labelled findings: those of the patterns in the corpus itself (at most CORPUS_FINDINGS, which hash
+lowest), and FIT_FINDINGS made by a seeded generator: keys of many forms against mail addresses, links, numbers, dates,
+names, file names and words. Three fifths fit the network, one fifth calibrates its output by a logistic curve, and on
+the last one each kind gets its threshold: the highest up to SURE that keeps RECALL of the kind's positive ones there.
+Pattern findings below the threshold of their kind stay, but are not counted as sure.
 
 Defined cases: a null text counts as empty; an empty text has no findings; touching or repeated findings are all kept;
 a candidate within a pattern's finding is not added again; of candidates that overlap, the longest found is kept.
@@ -49,6 +51,9 @@ BEFORE, INSIDE, AFTER = 24, 48, 12
 LENGTH = BEFORE + INSIDE + AFTER
 WIDTH, DIM, FILTERS = 5, 8, 24
 FIT_FINDINGS = 9_600
+CORPUS_FINDINGS = 1_500
+#: A kind with fewer findings than this to judge by takes the threshold of all.
+LEAST_FINDINGS = 20
 RECALL = 0.98
 #: The threshold is no higher, however well the findings held back are told apart.
 SURE = 0.9
@@ -145,7 +150,10 @@ class Network(NamedTuple):
     out_bias: float
     slope: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: dict[str, float] = {}  # noqa: RUF012
+
+    def threshold(self, kind: str) -> float:
+        return self.thresholds.get(kind, 0.5)
 
     def forward(self, rows: np.ndarray) -> tuple:
         e = self.embed[rows]
@@ -249,11 +257,46 @@ def labelled_findings(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(rows), np.array(marks)
 
 
-@lru_cache(maxsize=1)
-def trained() -> Network:
-    """The network fitted by Adam, calibrated and given its threshold on findings held back."""
+class Example(NamedTuple):
+    """A finding with what is around it."""
+
+    kind: str
+    before: str
+    token: str
+    after: str
+
+
+def corpus_findings(docs: DataFrame, text: str = "text", most: int = CORPUS_FINDINGS) -> tuple[Example, ...]:
+    """Findings of the patterns, at most `most`, those that hash lowest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("text"):
+                found = value.as_py()
+                rows = [(s.kind, found[max(0, s.start - BEFORE) : s.start], found[s.start : s.end], found[s.end : s.end + AFTER]) for s in base_spans(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], list(Example._fields))
+
+    rows = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
+    rows = rows.mapInArrow(run, ", ".join(f"{c} string" for c in Example._fields))
+    best = rows.orderBy(F.xxhash64(*Example._fields), *Example._fields).limit(most)
+    return tuple(Example(*r) for r in best.collect())  # at most `most` rows
+
+
+@lru_cache(maxsize=4)
+def trained(examples: tuple[Example, ...] = ()) -> Network:
+    """The network fitted by Adam, calibrated, and given its thresholds on a part of its own."""
     rows, marks = labelled_findings(FIT_FINDINGS)
-    cut = len(rows) * 3 // 4
+    kinds = ["net"] * len(rows)
+    if examples:
+        more = []
+        for e in examples:
+            text, start, end = e.before + e.token + e.after, len(e.before), len(e.before) + len(e.token)
+            more.append(encoded(text, start, end))
+        rows, marks, kinds = np.concatenate([rows, np.stack(more)]), np.append(marks, np.ones(len(more))), kinds + [e.kind for e in examples]
+    mixed = np.random.default_rng(13).permutation(len(rows))
+    rows, marks, kinds = rows[mixed], marks[mixed], np.array(kinds)[mixed]
+    cut, last = len(rows) * 3 // 5, len(rows) * 4 // 5
     rng = np.random.default_rng(11)
     p = [rng.normal(0, 0.3, (len(_codes()) + 2, DIM)), rng.normal(0, 0.15, (WIDTH * DIM, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 3 * FILTERS), np.zeros(1)]
     m, v, t = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
@@ -282,15 +325,20 @@ def trained() -> Network:
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
                 p[i] = p[i] - 0.01 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     net = Network(*p[:4], float(p[4][0]))
-    held, truth = rows[cut:], marks[cut:]
+    held, truth = rows[cut:last], marks[cut:last]
     logit, w = net.forward(held)[-1], np.array([1.0, 0.0])
     x = np.stack([logit, np.ones_like(logit)], 1)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= np.clip(np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2), x.T @ (q - truth) + 0.5 * (w - [1, 0])), -1, 1)
     net = net._replace(slope=float(w[0]), shift=float(w[1]))
-    positive = np.sort(net.scores(held[truth == 1]))
-    return net._replace(threshold=min(SURE, float(positive[int((1 - RECALL) * len(positive))])))
+    scores, right = net.scores(rows[last:]), marks[last:] == 1
+    keep = lambda found: min(SURE, float(np.sort(found)[int((1 - RECALL) * len(found))]))
+    thresholds = {}
+    for kind in (*KINDS, "net"):
+        own = scores[right & (kinds[last:] == kind)]
+        thresholds[kind] = keep(own if len(own) >= LEAST_FINDINGS else scores[right])
+    return net._replace(thresholds=thresholds)
 
 
 class Findings(NamedTuple):
@@ -329,7 +377,7 @@ def scored(texts: list[str | None], net: Network) -> list[Findings]:
     out = []
     for found, own in zip(base, more):
         rows = [(s, next(scores)) for s in found]
-        hits = [x for x in [(Span("net", a, b), next(scores)) for a, b in own] if x[1] >= net.threshold]
+        hits = [x for x in [(Span("net", a, b), next(scores)) for a, b in own] if x[1] >= net.threshold("net")]
         kept: list[tuple[Span, float]] = []
         for s, score in sorted(hits, key=lambda x: (x[0].start - x[0].end, x[0].start)):
             if not any(k.start < s.end and s.start < k.end for k, _ in kept):
@@ -349,25 +397,26 @@ def joined(spans: list[Span]) -> str:
 
 
 def scanned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans, n_net and the scores of the spans of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained())
+    """doc_id, counts by kind, base_sha256, spans, n_net, the scores of the spans and n_sure of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(trained(corpus_findings(docs, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], [], []]
             for a in range(0, batch.num_rows, 200):
                 for base, every, scores in scored(batch.column("text").slice(a, 200).to_pylist(), net):
                     kinds = [s.kind for s in base]
                     digest = hashlib.sha256(joined(base).encode()).hexdigest()
-                    for column, value in zip(out, (*map(kinds.count, KINDS), digest, joined(every), len(every) - len(base), ",".join(f"{x:.3f}" for x in scores))):
+                    sure = sum(x >= net.threshold(s.kind) for s, x in zip(every, scores))
+                    for column, value in zip(out, (*map(kinds.count, KINDS), digest, joined(every), len(every) - len(base), ",".join(f"{x:.3f}" for x in scores), sure)):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
             arrays = [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(out, types)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_net", "scores"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_net", "scores", "n_sure"])
 
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, scores string")
+    return own.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_net long, scores string, n_sure long")
 
 
 def redacted_text(text: str | None, spans: list[Span]) -> str | None:
@@ -384,7 +433,7 @@ def redacted_text(text: str | None, spans: list[Span]) -> str | None:
 
 def redacted(docs: DataFrame, text: str = "text") -> Column:
     """The text column of docs with findings replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained())
+    shared = docs.sparkSession.sparkContext.broadcast(trained(corpus_findings(docs, text)))
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
