@@ -82,8 +82,8 @@ class Law:
 
     @property
     def counted(self) -> float:
-        """Share of the shingles that is counted: enough for the first ones of a set of which a fifth occurs nowhere else."""
-        return min(1.0, 5 * (100 - self.percent) / 100)
+        """Share of the shingles that is counted: enough for the first ones of a set of which a third occurs nowhere else."""
+        return min(1.0, 3 * (100 - self.percent) / 100)
 
     @property
     def radius(self) -> float:
@@ -95,8 +95,9 @@ def counted(law: Law, found: np.ndarray) -> np.ndarray:
     return mixed(found ^ np.uint64(0x51A3)) <= np.uint64(int(law.counted * float(2**64 - 2**12)))
 
 
-def _in_map(bits: np.ndarray, found: np.ndarray) -> np.ndarray:
-    at = found >> np.uint64(64 - COUNT_BITS)
+def _in_map(bits: np.ndarray, found: np.ndarray, prefix_bits: int) -> np.ndarray:
+    """Whether a packed bitmap by first bits holds each shingle."""
+    at = found >> np.uint64(64 - prefix_bits)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
@@ -209,7 +210,7 @@ def _prefix_rows(law: Law, shared) -> Callable:
                 if not n:
                     continue
                 if maps:
-                    several, frequent = (_in_map(bits, found) & counted(law, found) for bits in maps)
+                    several, frequent = (_in_map(bits, found, COUNT_BITS) & counted(law, found) for bits in maps)
                 else:
                     several, frequent = (np.isin(found.view(np.int64), x[row].values.to_numpy()) if x[row].is_valid else np.zeros(n, bool) for x in lists)
                 nodes.append(_alias(ids[row], _digest(found)) if odd[row] else ids[row])
@@ -242,12 +243,12 @@ def _marked(near: bool, shared) -> Callable:
     """(token, node, at, n): those first shingles that the bitmap marks, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(shared.value).astype(bool)
+        marks = shared.value
         for batch in batches:
             lists = batch.column("tokens")
             size, tokens = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
-            wanted = marks[(tokens.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+            wanted = _in_map(marks, tokens.view(np.uint64), MARK_BITS)
             if near:
                 wanted &= at < np.repeat(batch.column("near").to_numpy(), size)
             arrays = [tokens[wanted], np.repeat(batch.column("node").to_numpy(), size)[wanted], at[wanted], np.repeat(batch.column("n").to_numpy(), size)[wanted]]
@@ -556,6 +557,7 @@ def joined(docs: DataFrame, law: Law, doc_id: str = "doc_id", text: str = "text"
     out_of = tables.written(copies.union(empty).distinct(), "copies")
     firsts = own.where("doc_id is not null").join(small_side(out_of), "doc_id", "left_anti")
     firsts = firsts.join(small_side(odd), "doc_id", "left").select("doc_id", "text", F.col("a").isNotNull().alias("odd"))
+    firsts = tables.written(firsts, "firsts")
     several = marked.where("a is not null").select("a", F.col("alias").alias("b")).where("a <> b")
     labels = components(links(firsts, law, tables).unionByName(several), tables)
     named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label"))

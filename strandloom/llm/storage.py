@@ -12,8 +12,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: A job's shuffle files go when it ends, not when the driver happens to collect its garbage.
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of one 8-byte key up to which a side may be broadcast (about 48 MB once hashed); beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of one to three 8-byte columns up to which a side may be broadcast (about 12 MB once hashed); beyond it joins shuffle.
+BROADCAST_ROWS = 200_000
 #: Rows of one key in a join beyond which the key's partner is broadcast instead of sending all its rows to one task.
 HOT_ROWS = 10_000
 
