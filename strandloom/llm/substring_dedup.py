@@ -6,8 +6,8 @@ PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per h
 1. Every text gives its anchors. Those that occur in several texts are the recurring phrases.
 2. Recurring phrases are dealt out to shards of SHARD_PHRASES by the document in which they first occur, so that those of one
    passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
-   documents of a shard are dealt out in blocks. A block's task takes the phrases from the texts where they first occur,
-   compiles them into an Aho-Corasick automaton over words, and streams its documents through it, which locates every
+   documents of a shard are dealt out in blocks. A block's task compiles the shard's phrases, taken from the texts where they
+   first occur, into an Aho-Corasick automaton over words, and streams its documents through it, which locates every
    occurrence. Windows anchored there are the candidates.
 3. Candidates are confirmed by two independent 64-bit hashes of all their words: a window goes where it also starts in a
    document with a smaller doc_id.
@@ -36,7 +36,7 @@ PHRASE = 8
 SYMBOLS = 4
 SHARD_PHRASES = 10_000
 #: Documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
-BLOCK_DOCUMENTS = 500
+BLOCK_DOCUMENTS = 1_000
 
 
 def _running_minimum(x: np.ndarray, n: int) -> np.ndarray:
@@ -109,6 +109,28 @@ class PhraseAutomaton:
         return (found[:, 0] + 1) // SYMBOLS - self.phrase, self.table[found[:, 1]]
 
 
+def _phrase_rows(phrase: int):
+    """(shard, symbols, hashes) of the phrases of each text whose hashes it was given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, wanted = batch.column("text"), batch.column("phrases")
+            symbols, hashes = [], []
+            for a, b in slices(texts):
+                words = words_of(texts.slice(a, b - a))
+                grams = window_hashes(words.hashes, phrase)
+                for k, (first, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()), a):
+                    own = grams[first : max(first, end - phrase + 1)]
+                    found, at = np.unique(own, return_index=True)
+                    some = np.isin(found, wanted[k].values.to_numpy().view(np.uint64))
+                    symbols.append([_symbols(words.hashes[first + p : first + p + phrase]) for p in at[some].tolist()])
+                    hashes.append(found[some].view(np.int64))
+            arrays = [batch.column("shard"), pa.array(symbols, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["shard", "symbols", "hashes"])
+
+    return run
+
+
 def _located(window: int, phrase: int):
     """(h1, h2, doc_id, key, at) of windows anchored at phrases that the automaton locates.
 
@@ -118,26 +140,22 @@ def _located(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, automaton = None, PhraseAutomaton(phrase)
         for batch in batches:
-            texts, ids, phrases = batch.column("text"), batch.column("doc_id").to_numpy(), batch.column("phrases")
+            texts, ids, symbols, hashed = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("symbols"), batch.column("hashes")
             places = list(zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()))
             for a, b in slices(texts):
                 words, more = words_of(texts.slice(a, b - a)), words_of(texts.slice(a, b - a), which=1)
-                if len(words.hashes) < window:
-                    continue
                 grams = window_hashes(words.hashes, phrase)
-                low = _running_minimum(grams, window - phrase + 1)
+                low = _running_minimum(grams, window - phrase + 1) if len(words.hashes) >= window else grams[:0]
                 h1, h2 = window_hashes(words.hashes, window), window_hashes(more.hashes, window, which=1)
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k, (first, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()), a):
                     if places[k] != now:
                         now, automaton = places[k], PhraseAutomaton(phrase)
+                    if symbols[k].is_valid:
+                        for value, own in zip(symbols[k].as_py(), hashed[k].values.to_numpy().view(np.uint64).tolist()):
+                            automaton.add(value, own)
                     if end - first < window:
                         continue
-                    if phrases[k].is_valid:
-                        wanted = phrases[k].values.to_numpy().view(np.uint64)
-                        for p in np.flatnonzero(np.isin(grams[first : end - phrase + 1], wanted)).tolist():
-                            automaton.add(_symbols(words.hashes[first + p : first + p + phrase]), int(grams[first + p]))
-                        continue
                     starts, hashes = automaton.located(_symbols(words.hashes[first:end]))
                     hashes = hashes[grams[first + starts] == hashes]
                     at = np.flatnonzero(np.isin(low[first : end - window + 1], hashes)) if len(hashes) else np.zeros(0, np.int64)
@@ -184,11 +202,15 @@ def occurrences(own: DataFrame, anchors: DataFrame, shared: DataFrame, window: i
     routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables).select("doc_id", "shard").distinct()
     routes = tables.written(routes, "routes")
     sizes = routes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
-    sources = compiled.join(sizes, "shard").select("doc_id", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "phrases")
+    rows = own.join(compiled, "doc_id").select("text", "shard", "phrases").mapInArrow(_phrase_rows(phrase), "shard int, symbols array<string>, hashes array<long>")
+    rows = tables.written(rows, "compiled")
+    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    sources = rows.join(sizes, "shard").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "shard", blocks, "symbols", "hashes")
     stream = routes.join(sizes, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    wanted = sources.unionByName(stream.withColumn("phrases", F.lit(None).cast("array<bigint>")))
-    texts = own.join(wanted, "doc_id").repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("phrases").isNull())
-    return texts.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long")
+    none = [F.lit(None).cast("array<string>").alias("symbols"), F.lit(None).cast("array<bigint>").alias("hashes")]
+    texts = own.join(stream, "doc_id").select("doc_id", "text", "shard", "block", *none)
+    both = sources.unionByName(texts).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("doc_id").isNotNull())
+    return both.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
