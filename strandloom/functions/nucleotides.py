@@ -13,11 +13,43 @@ AMINO_ACIDS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
 def reverse_complement(sequence: Column) -> Column:
-    return F.reverse(F.translate(F.upper(sequence), IUPAC, IUPAC_COMPLEMENT))
+    """Letters outside the IUPAC codes become N."""
+    known = F.regexp_replace(F.upper(sequence), f"[^{IUPAC}]", "N")
+    return F.reverse(F.translate(known, IUPAC, IUPAC_COMPLEMENT))
 
 
 def degapped(sequence: Column) -> Column:
-    return F.upper(F.replace(sequence, F.lit("-")))
+    """Upper case without gaps, U as T."""
+    return F.translate(F.upper(sequence), "U-", "T")
+
+
+def translated_alignment(sequence: Column, frame: int = 0) -> Column:
+    """Amino acids of an aligned text by columns of three: a gap for three gaps, X for a codon that is mixed or incomplete."""
+    bases = F.substring(F.upper(sequence), frame + 1, 1 << 30)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(bases), F.lit(1)), F.lit(3))
+    place = lambda codon, k: F.position(F.substring(codon, k, 1), F.lit(CODON_BASES))
+
+    def amino(i: Column) -> Column:
+        codon = F.substring(bases, i, F.lit(3))
+        a, b, c = (place(codon, k) for k in (1, 2, 3))
+        whole = codon.rlike("^[ACGT]{3}$")
+        return F.when(codon == "---", "-").when(whole, F.substring(F.lit(AMINO_ACIDS), (a - 1) * 16 + (b - 1) * 4 + c, F.lit(1))).otherwise("X")
+
+    return F.when(F.length(bases) > 0, F.array_join(F.transform(starts, amino), "")).otherwise(F.when(sequence.isNotNull(), ""))
+
+
+def backtranslated(protein: Column, coding: Column) -> Column:
+    """An aligned protein with its codons: three gaps for a gap; null where the coding text is not three letters for each amino acid."""
+    letters = F.filter(F.split(protein, ""), lambda c: c != "")
+    done = F.aggregate(
+        letters,
+        F.struct(F.lit("").alias("text"), F.lit(1).alias("at")),
+        lambda s, c: F.struct(
+            F.concat(s["text"], F.when(c == "-", "---").otherwise(F.substring(coding, s["at"], F.lit(3)))).alias("text"),
+            (s["at"] + F.when(c == "-", 0).otherwise(3)).alias("at"),
+        ),
+    )
+    return F.when(done["at"] == F.length(coding) + 1, done["text"])
 
 
 def sample_id(primer: Column) -> Column:

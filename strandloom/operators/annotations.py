@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import nucleotides as nt
 
@@ -114,5 +113,5 @@ def nearest_references(records: DataFrame, references: DataFrame, threshold: flo
 def modal_tips(rows: DataFrame) -> DataFrame:
     """sample_idx, sequence, weight: the sequence of most families in each sample, ties to the one seen first."""
     sums = rows.groupBy("sample_idx", "sequence").agg(F.countDistinct("fam").alias("weight"), F.min("fam").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("sample_idx").orderBy(F.desc("weight"), "first", "sequence"))
-    return sums.withColumn("rank", rank).where("rank = 1").select("sample_idx", "sequence", "weight")
+    order = F.min(F.struct((-F.col("weight")).alias("w"), "first", "sequence")).alias("best")
+    return sums.groupBy("sample_idx").agg(order).select("sample_idx", "best.sequence", (-F.col("best.w")).alias("weight"))

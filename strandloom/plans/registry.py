@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nucleotides as nt
+from ..operators import alignment
 from ..operators import reads as ops
 from .reads import DUCK_READS, reads
 
@@ -31,7 +32,30 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("founder", "other", F.round(share, 8).alias("mismatch"), F.round(nt.jukes_cantor(share), 8).alias("jc69"))
 
 
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sequence with the one of its founder that most reads have, aligned from end to end."""
+    counts = reads(spark, sf_dir).groupBy((F.col("fam") % 97).alias("founder"), "sequence").agg(F.count("*").alias("n"))
+    modal = counts.groupBy("founder").agg(F.min(F.struct((-F.col("n")).alias("n"), "sequence")).alias("best")).select("founder", F.col("best.sequence").alias("reference"))
+    pairs = counts.join(modal, "founder").select("founder", "reference", F.col("sequence").alias("query"))
+    return alignment.global_alignments(pairs)
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most about 200 reads of each sample."""
+    names = reads(spark, sf_dir).withColumns({"sample": F.col("sample_idx").cast("string"), "name": F.concat_ws("|", "fam", "sequence", "error")})
+    return alignment.downsampled(names, 200).select("sample_idx", "fam", "sequence", "error")
+
+
 QUERIES: dict[str, tuple[Query, str]] = {
+    "global_alignment": (alignments, ""),
+    "downsampled_reads": (sampled, ""),
+    "translated_alignment": (
+        lambda s, d: reads(s, d).select(F.concat(F.substring("sequence", 1, 9), F.lit("---"), F.substring("sequence", 10, 100)).alias("aligned")).distinct().select("aligned", nt.translated_alignment(F.col("aligned")).alias("protein")),
+        _WITH
+        + f"""SELECT aligned, array_to_string(list_transform(range(1, length(aligned) + 1, 3), lambda i: CASE WHEN substr(aligned, i, 3) = '---' THEN '-' WHEN length(substr(aligned, i, 3)) < 3 OR instr(substr(aligned, i, 3), '-') > 0 THEN 'X'
+          ELSE substr('{nt.AMINO_ACIDS}', (instr('TCAG', substr(aligned, i, 1)) - 1) * 16 + (instr('TCAG', substr(aligned, i + 1, 1)) - 1) * 4 + instr('TCAG', substr(aligned, i + 2, 1)), 1) END), '') AS protein
+          FROM (SELECT DISTINCT concat(substr(sequence, 1, 9), '---', substr(sequence, 10)) AS aligned FROM r)""",
+    ),
     "umi_counts": (lambda s, d: ops.umi_counts(reads(s, d)), _WITH + "SELECT * FROM u"),
     "sample_counters": (
         lambda s, d: ops.sample_counters(reads(s, d)),
