@@ -30,7 +30,6 @@ FOLDS = 5
 #: A lexicon entry must occur in so many documents labelled toxic, and in such a share of those that it occurs in.
 MIN_DOCUMENTS = 4
 MIN_PURITY = 0.8
-MAX_ENTRIES = 4_000
 STEMS = (4, 5, 6, 7)
 MIN_WORD = 4
 
@@ -157,7 +156,7 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
     counts = sample.select("toxic", F.explode(stems).alias("entry")).where("entry is not null").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     rate = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     good = counts.where((F.col("t") >= MIN_DOCUMENTS) & (F.col("t") >= MIN_PURITY * F.col("n"))).withColumn("weight", rate)
-    good = good.orderBy(F.desc("weight"), "entry").limit(MAX_ENTRIES).collect()
+    good = good.collect()  # of the vocabulary of at most FIT_ROWS rows
     clip = lambda w: round(min(6.0, w), 6)
     return Lexicon({r.entry: clip(r.weight) for r in good if r.entry[-1] != "*"}, {r.entry[:-1]: clip(r.weight) for r in good if r.entry[-1] == "*"})
 
@@ -197,7 +196,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> Grammar:
 
 def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # at most MAX_ENTRIES entries
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # of the vocabulary of at most FIT_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = shared.value
