@@ -44,33 +44,49 @@ _CLAUSES = re.compile(r"[.,;:!?|\n]+")
 _NEGATION_REACH = 3
 
 
-class State(NamedTuple):
-    negated: int
-    reported: bool
-    target: bool
-    hit: bool
-
-
-def _arc(state: State, kind: str) -> tuple[State, float, float]:
-    """Next state, factor on the word's weight, and bonus, by the product of the acceptors."""
-    negated, reported, target, hit = state
-    factor = bonus = 0.0
-    if kind in ("insult", "threat"):
-        factor = (0.3 if negated else 1.0) * (0.6 if reported else 1.0) * (1.25 if target else 1.0)
-        hit = True
-    if kind == "target":
-        bonus, target = (0.5 if hit and not target else 0.0), True
-    negated = _NEGATION_REACH if kind == "negation" else max(0, negated - 1)
-    return State(negated, reported or kind == "report", target, hit), factor, bonus
-
-
-def composed() -> dict[tuple[int, str], tuple[int, float, float]]:
-    """The product automaton's reachable states, numbered from the start at 0."""
-    known, arcs, todo = {State(0, False, False, False): 0}, {}, [State(0, False, False, False)]
+KINDS = ("insult", "threat", "target", "negation", "report", "other")
+
+
+class Acceptor(NamedTuple):
+    """A weighted automaton that starts in state 0; words of kinds without an arc leave its state.
+
+    hits: kinds whose words carry weight; factors: what a state puts on that weight; bonuses: what an arc adds.
+    """
+
+    hits: frozenset[str]
+    arcs: dict[tuple[int, str], int]
+    factors: dict[int, float]
+    bonuses: dict[tuple[int, str], float]
+
+
+def _acceptors() -> tuple[Acceptor, ...]:
+    """Insults, threats, targets, negation and reported speech, each with a table of its own."""
+    none: frozenset[str] = frozenset()
+    insults = Acceptor(frozenset(["insult"]), {}, {}, {})
+    threats = Acceptor(frozenset(["threat"]), {}, {}, {})
+    # 1: a hit that no target went before; 2: a target was named
+    targets = Acceptor(none, {(0, "insult"): 1, (0, "threat"): 1, (0, "target"): 2, (1, "target"): 2}, {2: 1.25}, {(1, "target"): 0.5})
+    # the state counts the words that a negation still reaches
+    within = range(1, _NEGATION_REACH + 1)
+    passing = {(n, k): n - 1 for n in within for k in KINDS}
+    negation = Acceptor(none, passing | {(n, "negation"): _NEGATION_REACH for n in (0, *within)}, dict.fromkeys(within, 0.3), {})
+    reports = Acceptor(none, {(0, "report"): 1}, {1: 0.6}, {})
+    return insults, threats, targets, negation, reports
+
+
+def composed(parts: tuple[Acceptor, ...] | None = None) -> dict[tuple[int, str], tuple[int, float, float]]:
+    """The product of the acceptors: its reachable states, numbered from the start at 0, with what a word of a kind
+    leads to: the next state, the factor on the word's weight (0 for no hit) and the bonus."""
+    parts = parts or _acceptors()
+    start = (0,) * len(parts)
+    known, arcs, todo = {start: 0}, {}, [start]
     while todo:
         state = todo.pop()
-        for kind in ("insult", "threat", "target", "negation", "report", "other"):
-            to, factor, bonus = _arc(state, kind)
+        for kind in KINDS:
+            to = tuple(a.arcs.get((q, kind), q) for a, q in zip(parts, state))
+            hit = any(kind in a.hits for a in parts)
+            factor = math.prod(a.factors.get(q, 1.0) for a, q in zip(parts, state)) if hit else 0.0
+            bonus = sum(a.bonuses.get((q, kind), 0.0) for a, q in zip(parts, state))
             if to not in known:
                 known[to] = len(known)
                 todo.append(to)

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import re
 import time
 import zlib
@@ -494,6 +495,23 @@ def test_html_columns_that_clash_and_ties(spark):
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"] and [r.text for r in got.orderBy("page_id").collect()] == [LONG.strip()] * 2
 
 
+def test_toxicity_acceptors_compose():
+    """Any run of the product equals the runs of its acceptors side by side."""
+    parts, arcs = toxicity._acceptors(), toxicity.composed()
+    for kinds in itertools.product(toxicity.KINDS, repeat=5):
+        state, own = 0, [0] * len(parts)
+        for kind in kinds:
+            factor = 1.0
+            for part, q in zip(parts, own):
+                factor *= part.factors.get(q, 1.0)
+            factor *= kind in ("insult", "threat")
+            bonus = sum(part.bonuses.get((q, kind), 0.0) for part, q in zip(parts, own))
+            own = [part.arcs.get((q, kind), q) for part, q in zip(parts, own)]
+            state, *got = arcs[state, kind]
+            assert np.allclose(got, [factor, bonus])
+    assert {part.hits for part in parts if part.hits} == {frozenset(["insult"]), frozenset(["threat"])}
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar(toxicity.Lexicon({"moron": 4.0}, {"lowe": 3.0}))
     plain, aimed, denied, told = (grammar.clause(c.split()) for c in ("a moron here", "you are moron", "you are not a moron", "he said moron"))
