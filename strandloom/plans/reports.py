@@ -37,7 +37,7 @@ def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads and bases by assigned sample; reads without one under id-reject."""
     rows = assignment.assigned(reads(spark, sf_dir), IDENTIFIERS).groupBy(F.coalesce("sample", F.lit("id-reject")).alias("sample"))
-    return rows.agg(F.count("*").alias("reads"), F.sum(F.length("rest")).alias("bases"), F.min("rest").alias("first_rest"), F.max("rest").alias("last_rest"))
+    return rows.agg(F.count("*").alias("reads"), F.coalesce(F.sum(F.length("rest")), F.lit(0)).alias("bases"), F.min("rest").alias("first_rest"), F.max("rest").alias("last_rest"))
 
 
 def _heteroduplexes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ QUERIES = {
         _assigned,
         _WITH
         + f""", h AS ({_HITS} UNION ALL SELECT fam, sequence, 'id-reject', NULL FROM r WHERE {_NONE}), t AS (SELECT sample, substr(sequence, spot) AS rest FROM h)
-        SELECT sample, count(*) AS reads, CAST(sum(length(rest)) AS BIGINT) AS bases, min(rest) AS first_rest, max(rest) AS last_rest FROM t GROUP BY sample""",
+        SELECT sample, count(*) AS reads, CAST(coalesce(sum(length(rest)), 0) AS BIGINT) AS bases, min(rest) AS first_rest, max(rest) AS last_rest FROM t GROUP BY sample""",
     ),
     "heteroduplex": (
         _heteroduplexes,
@@ -151,7 +151,7 @@ QUERIES = {
         + f""", oa AS (SELECT sample_idx, count(*) AS demultiplexed_reads, count(DISTINCT sequence) AS collapsed_haplotypes FROM r GROUP BY sample_idx),
         ob AS (SELECT sample_idx, CAST(sum(family_size) AS BIGINT) AS selected_reads, count(*) AS observed_families, 0.0::DOUBLE AS bpb_read_percent, 0.0::DOUBLE AS lda_read_percent, 0.0::DOUBLE AS heteroduplex_read_percent,
           {_SHARE.format(c="disposition = 'UMI_len != 8'", n="umi_length")}, {_SHARE.format(c="disposition = 'family-size-reject'", n="family_size")} FROM f GROUP BY sample_idx),
-        oc AS (SELECT sample_idx, count(*) AS consensus_families, count_if({_PASSED}) AS retained_families, {", ".join(_SHARE.format(c=f"NOT {g}_pass", n=g) for g in ("artefact", "agreement", "contamination", "panel"))} FROM rec GROUP BY sample_idx)
+        oc AS (SELECT sample_idx, count(*) AS consensus_families, CAST(count_if({_PASSED}) AS BIGINT) AS retained_families, {", ".join(_SHARE.format(c=f"NOT {g}_pass", n=g) for g in ("artefact", "agreement", "contamination", "panel"))} FROM rec GROUP BY sample_idx)
         SELECT *, demultiplexed_reads - selected_reads AS downsampled_reads, round(100.0 * (demultiplexed_reads - selected_reads) / demultiplexed_reads, 6) AS downsampled_percent FROM oa JOIN ob USING (sample_idx) JOIN oc USING (sample_idx)""",
     ),
     "family_categories": (
@@ -169,12 +169,12 @@ QUERIES = {
         SELECT sample_idx, disposition, after, count(*) AS families, CAST(sum(family_size) AS BIGINT) AS reads FROM n WHERE disposition <> after GROUP BY ALL""",
     ),
     "alignment_edits": (
-        lambda s, d: reports.alignment_edits(*_versions(s, d)),
+        lambda s, d: reports.alignment_edits(*_versions(s, d)).fillna(0, ["edits"]),
         _WITH
         + """, v AS (SELECT fam AS name, min(sequence) AS a, max(sequence) AS b FROM r GROUP BY fam),
         x AS (SELECT name, a AS old FROM v WHERE name % 5 <> 0), y AS (SELECT name, CASE WHEN name % 3 = 0 THEN concat(substr(b, 1, 9), '--', substr(b, 10)) ELSE b END AS new FROM v WHERE name % 7 <> 0)
         SELECT name, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'changed' ELSE 'same' END AS change, coalesce(old <> new AND replace(old, '-', '') = replace(new, '-', ''), false) AS gaps_only,
-        CAST(levenshtein(replace(old, '-', ''), replace(new, '-', '')) AS BIGINT) AS edits FROM x FULL JOIN y USING (name)""",
+        CAST(coalesce(levenshtein(replace(old, '-', ''), replace(new, '-', '')), 0) AS BIGINT) AS edits FROM x FULL JOIN y USING (name)""",
     ),
     "column_modes": (
         _modes,
