@@ -197,7 +197,7 @@ class Block:
             i, j = np.nonzero((s >= (least - slack[asking])[:, None]) & (s > -np.inf))
             places.append(asking[i])
             rows.append(j + first)
-        if not places:
+        if not sum(map(len, places)):
             none = np.zeros(0, np.int64)
             return none, none, np.zeros(0)
         place, row = np.concatenate(places), np.concatenate(rows)

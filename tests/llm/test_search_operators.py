@@ -194,7 +194,7 @@ def test_nearest_vectors_recall(spark):
 def test_nearest_vectors_of_clusters_norms_ties_and_broken_rows(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 10)) * 3
-    x = [list((centres[i % 12] + rng.normal(size=10)) * (1 + i % 5)) for i in range(400)]
+    x = [((centres[i % 12] + rng.normal(size=10)) * (1 + i % 5)).tolist() for i in range(400)]
     x[40:140] = [x[40]] * 100
     rows = [(i, v) for i, v in enumerate(x)] + [(7, x[7]), (20, x[20])]
     broken = [(500, None), (520, [0.0] * 10), (540, [1.0] * 9 + [None]), (560, [1.0] * 9 + [float("nan")]), (580, [float("inf")] * 10), (600, [1.0] * 7), (None, x[1])]
