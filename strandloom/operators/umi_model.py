@@ -1,28 +1,33 @@
 """The likelihood model of UMIs: which tag an observed tag was read from, by EM over tags within two edits.
 
-The edges are a join: an observed tag and a real one meet at every string that is one edit away from both. What EM
-iterates over is then one row per edge. Samples of at most GROUP_EDGES edges are done in one task each; the edges of
-larger ones stay a table and each round is a join with the prior and two aggregations, so no task holds a sample. Sums
-over a table have no fixed order, so rounds end where no weight moves by more than CLOSE of itself.
+An observed tag and a real one meet at every string that is one edit away from both. Samples of up to SAMPLE_TAGS distinct
+tags are one task each: it finds the edges by merging the neighbours of all tags, as numbers, and iterates over arrays.
+For larger ones, and for tags that do not fit in a number, the edges are a join over tables and each round is a join with
+the prior and two aggregations, so no task holds a sample. Sums over a table have no fixed order, so these rounds end where
+no weight moves by more than CLOSE of itself.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import removed, shared_folder, written
+
 #: Error rate of a base, its shares by kind of edit, prior weight, and the probability of rejected tags.
 ERROR = 0.005
 INSERTION, DELETION, SUBSTITUTION = ERROR * 0.4 * 0.25, ERROR * 0.4, ERROR * 0.2 / 3
 CONCENTRATION, ROUNDS = 0.5, 1000
-#: Edges of a sample up to which its EM is one task, and the relative change at which rounds over tables end.
-GROUP_EDGES, CLOSE = 1_000_000, 1e-13
+#: A weight has settled when it moves by less than this share of itself, which is what rounding leaves.
+SETTLED = 1e-15
+#: Tags of a sample up to which its EM is one task, and the relative change at which rounds over tables end.
+SAMPLE_TAGS, CLOSE = 40_000, 1e-13
+#: Letters that a tag in a number may have (3 bits each), and pairs of neighbours that are merged at once.
+NUMBER_LETTERS, PAIRS = 18, 4_000_000
 REJECTS, REJECTED, REJECTED_PROBABILITY = "REJECTS", "REJECTED", 1 - math.exp(-5.123456789)
 
 _BASES = "array('A', 'C', 'T', 'G')"
@@ -57,31 +62,90 @@ def two_edit_likelihoods(counts: DataFrame) -> DataFrame:
     return edges.withColumn("p", F.when(F.col("umi") == F.col("real"), _intact(F.length("umi"))).otherwise(F.col("p")))
 
 
-def _assigned(edges: pd.DataFrame) -> pd.DataFrame:
-    """Each observed tag's likeliest real tag and its probability, by EM over one sample's edges."""
-    edges = edges.sort_values(["umi", "real"], kind="stable")
-    tags, code = np.unique(pd.concat([edges["umi"], edges["real"]]).to_numpy(str), return_inverse=True)
-    seen, real, p = code[: len(edges)], code[len(edges) :], edges["p"].to_numpy()
-    n, counts = len(tags), np.zeros(len(tags))
-    counts[seen] = edges["family_size"]
+def _neighbours(tags: np.ndarray, sizes: np.ndarray, second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, tag's place, weight): all strings one edit away from each tag, as numbers, with duplicates summed.
+
+    A number has 3 bits a letter below a leading 1. Seen from the real tag (second), an insertion is undone by a cut.
+    """
+    grown, cut = (DELETION, INSERTION) if second else (INSERTION, DELETION)
+    out, places, weights = [], [], []
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        x = tags[own]
+
+        def add(values: np.ndarray, weight: float | np.ndarray, own: np.ndarray = own) -> None:
+            out.append(values)
+            places.append(own)
+            weights.append(np.broadcast_to(weight, len(own)))
+
+        for at in range(size + 1):
+            high, low = x >> (3 * at) << (3 * at), x & ((1 << 3 * at) - 1)
+            for letter in range(4):
+                add(high << 3 | letter << (3 * at) | low, grown)
+        for at in range(size):
+            high, low, letter_at = x >> (3 * at + 3), x & ((1 << 3 * at) - 1), (x >> (3 * at)) & 7
+            add(high << (3 * at) | low, cut)
+            for letter in range(4):
+                add(high << (3 * at + 3) | letter << (3 * at) | low, np.where((letter_at == letter) & second, 0.0, SUBSTITUTION))
+        if second:
+            add(x, (1 - ERROR) ** size)
+    key, place, weight = np.concatenate(out), np.concatenate(places), np.concatenate(weights)
+    some = weight > 0
+    key, place, weight = key[some], place[some], weight[some]
+    order = np.lexsort((place, key))
+    key, place, weight = key[order], place[order], weight[order]
+    heads = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))
+    return key[heads], place[heads], np.add.reduceat(weight, heads)
+
+
+def _edges(tags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(observed, real, p) by places of the tags, sorted, from the strings that both have in common."""
+    n, done = len(tags), []
+    far, real, q = _neighbours(tags, sizes, True)
+    per = max(1, PAIRS * n // (8 * len(far)))
+    for first in range(0, n, per):
+        near, seen, p = _neighbours(tags[first : first + per], sizes[first : first + per], False)
+        low, high = np.searchsorted(far, near), np.searchsorted(far, near, side="right")
+        times = high - low
+        row = np.repeat(np.arange(len(near)), times)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + low[row]
+        pair = (seen[row] + first) * n + real[other]
+        order = np.argsort(pair, kind="stable")
+        pair, value = pair[order], (p[row] * q[other])[order]
+        heads = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        pair, value = pair[heads], np.add.reduceat(value, heads)
+        same = pair // n == pair % n
+        value[same] = (1 - ERROR) ** sizes[pair[same] % n]
+        done.append((pair, value))
+    pair, value = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+    return (pair // n).astype(np.int32), (pair % n).astype(np.int32), value
+
+
+def _assigned(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each tag's likeliest real tag and its probability, by EM over one sample's tags and counts."""
+    rows = rows.sort_values("umi", kind="stable")
+    names, sizes = rows["umi"].to_numpy(str), rows["umi"].str.len().to_numpy()
+    tags = np.zeros(len(rows), np.int64)
+    for k, name in enumerate(names.tolist()):
+        number = 1
+        for letter in name:
+            number = number << 3 | "ACTG".find(letter) & 7
+        tags[k] = number
+    seen, real, p = _edges(tags, sizes)
+    n, counts = len(tags), rows["family_size"].to_numpy(float)
     prior = np.full(n, 1 / n)
     for _ in range(ROUNDS):
         joint = prior[real] * p
         scale = np.divide(counts, total := np.bincount(seen, joint, n), out=np.zeros(n), where=total > 0)
         weight = np.bincount(real, joint * scale[seen], n) + CONCENTRATION
         before, prior = prior, weight / weight.sum()
-        if np.array_equal(before, prior):
+        if (np.abs(prior - before) <= SETTLED * prior).all():
             break
     joint = prior[real] * p
     order = np.lexsort((real, -joint, seen))
     at = order[np.searchsorted(seen[order], np.arange(n))]  # edges are loops too, so every tag has one
     total = np.bincount(seen, joint, n)
-    return pd.DataFrame({"sample_idx": edges["sample_idx"].iloc[0], "umi": tags, "parent": tags[real[at]], "probability": joint[at] / total})
-
-
-def _table(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    return pd.DataFrame({"sample_idx": rows["sample_idx"].iloc[0], "umi": names, "parent": names[real[at]], "probability": joint[at] / total})
 
 
 def _assigned_by_rounds(edges: DataFrame, folder: str) -> DataFrame:
@@ -99,7 +163,9 @@ def _assigned_by_rounds(edges: DataFrame, folder: str) -> DataFrame:
         shares = shares.withColumn("share", F.col("joint") * F.col("family_size") / F.col("total"))
         sums = shares.groupBy(*key).agg(F.sum("share").alias("share"))
         after = prior.select(*key, F.col("weight").alias("before")).join(sums, key, "left")
-        prior = _table(after.withColumn("weight", F.coalesce("share", F.lit(0.0)) + CONCENTRATION), folder, f"prior-{k}")
+        prior = written(after.withColumn("weight", F.coalesce("share", F.lit(0.0)) + CONCENTRATION), f"prior-{k}", folder)
+        if k:
+            removed(edges.sparkSession, folder, f"prior-{k - 1}")
         if k and not prior.where(F.abs(F.col("weight") - F.col("before")) > CLOSE * F.col("weight")).limit(1).count():
             break
     best = F.min(F.struct((-F.col("joint")).alias("minus"), "real"))
@@ -107,24 +173,27 @@ def _assigned_by_rounds(edges: DataFrame, folder: str) -> DataFrame:
     return rows.select("sample_idx", "umi", F.col("best.real").alias("parent"), (-F.col("best.minus") / F.col("total")).alias("probability"))
 
 
-def _all_assigned(edges: DataFrame, group_edges: int) -> DataFrame:
+def _all_assigned(counts: DataFrame, sample_tags: int) -> DataFrame:
     """sample_idx, umi, parent, probability: small samples in a task each, large ones by rounds."""
     schema = "sample_idx long, umi string, parent string, probability double"
-    spark = edges.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-    folder = f"{shared.rstrip('/')}/umi-{uuid.uuid4().hex}"
-    edges = _table(edges.withColumn("sample_idx", F.col("sample_idx").cast("long")), folder, "edges")
-    sizes = edges.groupBy("sample_idx").count().collect()  # one row for each sample
-    large = [r.sample_idx for r in sizes if r["count"] > group_edges]
+    folder = shared_folder(counts.sparkSession)
+    tags = counts.where((F.col("umi") != REJECTS) & (F.length("umi") > 0)).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    tags = written(tags.select("sample_idx", "umi", "family_size"), "tags", folder)
+    odd = F.max((F.length("umi") > NUMBER_LETTERS) | ~F.col("umi").rlike("^[ACGTN]*$"))
+    sizes = tags.groupBy("sample_idx").agg(F.count("*").alias("n"), odd.alias("odd")).collect()  # one row for each sample
+    large = [r.sample_idx for r in sizes if r["n"] > sample_tags or r["odd"]]
     is_large = F.col("sample_idx").isin(large) if large else F.lit(False)
-    small = edges.where(~is_large).groupBy("sample_idx").applyInPandas(_assigned, schema)
-    return small.unionByName(_assigned_by_rounds(edges.where(is_large), folder)) if large else small
+    small = tags.where(~is_large).groupBy("sample_idx").applyInPandas(_assigned, schema)
+    if not large:
+        return small
+    some = tags.where(is_large)
+    edges = written(two_edit_likelihoods(some).join(some, ["sample_idx", "umi"]), "edges", folder)
+    return small.unionByName(_assigned_by_rounds(edges, folder))
 
 
-def families(counts: DataFrame, threshold: float = 0.995, family_size: int = 5, group_edges: int = GROUP_EDGES) -> DataFrame:
+def families(counts: DataFrame, threshold: float = 0.995, family_size: int = 5, sample_tags: int = SAMPLE_TAGS) -> DataFrame:
     """sample_idx, umi, parent, family_size, probability, disposition of every tag of sample_idx, umi, family_size."""
-    edges = two_edit_likelihoods(counts).join(counts.select("sample_idx", "umi", "family_size"), ["sample_idx", "umi"])
-    assigned = _all_assigned(edges, group_edges)
+    assigned = _all_assigned(counts, sample_tags)
     why = F.when(F.col("umi") == REJECTS, "BPB-rejects").when(F.col("probability") < threshold, "LDA-rejects")
     why = why.when(F.length("umi") != 8, "UMI_len != 8").when(F.col("family_size") < family_size, "family-size-reject")
     rejected = F.col("umi") == REJECTS

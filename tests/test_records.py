@@ -59,7 +59,7 @@ def test_reads_are_trimmed_in_both_orientations(spark):
 def test_umi_rounds_over_tables_equal_one_task(spark):
     tags = [("AACCGGT", 3), ("AACCGGTA", 4), ("AACCGGTT", 100), ("AACCGTT", 2), ("AAACCGGTT", 2), ("TTGGCCAA", 20), ("TTGGCCAT", 1)]
     counts = spark.createDataFrame([(s, u, n + s) for s in (0, 1) for u, n in tags], "sample_idx long, umi string, family_size long")
-    one, rounds = ({(r.sample_idx, r.umi): r for r in umi_model.families(counts, 0.995, 1, group_edges=k).collect()} for k in (1000, 0))
+    one, rounds = ({(r.sample_idx, r.umi): r for r in umi_model.families(counts, 0.995, 1, sample_tags=k).collect()} for k in (1000, 0))
     assert len(one) == 14 and one.keys() == rounds.keys()
     assert all(r.parent == rounds[k].parent and abs(r.probability - rounds[k].probability) < 1e-9 and r.disposition == rounds[k].disposition for k, r in one.items())
 
