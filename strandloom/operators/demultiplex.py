@@ -56,12 +56,34 @@ class Profile(NamedTuple):
         return cls([*sample.identifier, *(None if c in "Nn" else c.upper() for c in sample.cdna_primer[start.start() :])])
 
 
+class Gates(NamedTuple):
+    """A read passes below the error and between the lengths."""
+
+    error: float = 0.05
+    short: int = 2100
+    long: int = 4300
+
+
 class Tags(NamedTuple):
     tag: list[str]
     errors: np.ndarray
     score: np.ndarray
 
 
+def mean_errors(qualities: list[str]) -> np.ndarray:
+    """Mean error probability of Phred+33 texts, summed letter by letter; 1 for an empty one."""
+    sizes = np.array([len(q) for q in qualities], int)
+    letters = np.zeros((len(qualities), int(sizes.max(initial=0))), np.uint8)
+    for row, text in zip(letters, qualities):
+        row[: len(text)] = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    chance = 10.0 ** (-np.maximum(np.arange(256) - 33, 0) / 10)
+    chance[0] = 0  # behind a text's end
+    total = np.zeros(len(qualities))
+    for column in letters.T:
+        total += chance[column]
+    return np.divide(total, sizes, out=np.ones(len(qualities)), where=sizes > 0)
+
+
 def adapter(samples: list[Sample]) -> str:
     """The letters before the identifier that all samples share."""
     return os.path.commonprefix([re.split("[a-z]", s.cdna_primer)[0] for s in samples])
@@ -164,7 +186,12 @@ _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int3
 _COLUMNS = ["ordinal", "name", "status", "sample_idx", "umi", "tag_errors", "sequence", "quality", "sampling_hash"]
 
 
-def _demultiplexed(samples: list[Sample], tolerance: int, window: int, chop: int, seed: int):
+def _left_out(ordinal: list[int], names: list[str], why: list[str]) -> pa.RecordBatch:
+    columns = [ordinal, names, why, *([[None] * len(why)] * 6)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
+
+
+def _demultiplexed(samples: list[Sample], gates: Gates, tolerance: int, window: int, chop: int, seed: int):
     ends, reverse = groups(samples), adapter(samples).upper()
     if chop >= min([len(reverse), *(len(f) for f, _ in ends)]):
         raise ValueError("chop leaves nothing of a primer")
@@ -172,10 +199,16 @@ def _demultiplexed(samples: list[Sample], tolerance: int, window: int, chop: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ordinal, reads, qualities, errors = (batch.column(c).to_pylist() for c in ("ordinal", "sequence", "quality", "error"))
+            ordinal, reads, qualities = (batch.column(c).to_pylist() for c in ("ordinal", "sequence", "quality"))
             reads = [(x or "").upper() for x in reads]
             qualities = [(x or "").ljust(len(r), "!")[: len(r)] for x, r in zip(qualities, reads)]
-            names = [f"seq{k}|ee={e:.16g}" for k, e in zip(ordinal, errors)]
+            errors, sizes = mean_errors(qualities), np.array([len(r) for r in reads], int)
+            names = [f"seq{k}|ee={e:.16g}" for k, e in zip(ordinal, errors.tolist())]
+            gate = np.select([errors >= gates.error, sizes <= gates.short, sizes >= gates.long], ["quality-reject", "short-reject", "long-reject"], "")
+            bad = np.flatnonzero(gate != "").tolist()
+            yield _left_out([ordinal[k] for k in bad], [names[k] for k in bad], gate[bad].tolist())
+            good = np.flatnonzero(gate == "").tolist()
+            ordinal, reads, qualities, names = ([x[k] for k in good] for x in (ordinal, reads, qualities, names))
             primed, assigned = np.zeros(len(reads), bool), np.zeros(len(reads), bool)
             for forward, members in ends:
                 pieces = trimmed(reads, qualities, forward, reverse, tolerance, window, chop)
@@ -195,33 +228,30 @@ def _demultiplexed(samples: list[Sample], tolerance: int, window: int, chop: int
                     phred = [(pieces.quality[own[i]] or "")[::-1][hit.start[i] :] for i in mine]
                     behind = len(profile.fixed) + 1 - len(identifier) if profile else 0
                     found = tags([t[: TAG_HEAD + behind + TAG_SLACK] for t in texts], profile)
-                    bad = (found.errors > MOST_ERRORS).tolist()
-                    umi = [REJECTS if b else t or NO_TAG for t, b in zip(found.tag, bad)]
+                    wrong = (found.errors > MOST_ERRORS).tolist()
+                    umi = [REJECTS if b else t or NO_TAG for t, b in zip(found.tag, wrong)]
                     label = [names[k] for k in rows]
                     assigned[rows] = True
                     hashes = [Decimal(x) for x in stable_hashes(label, umi, seed ^ which).tolist()]
-                    status = ["BPB-reject" if b else "assigned" for b in bad]
+                    status = ["BPB-reject" if b else "assigned" for b in wrong]
                     columns = [[ordinal[k] for k in rows], label, status, [which] * len(rows), umi, found.errors.tolist(), texts, phred, hashes]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
             lost = np.flatnonzero(~assigned).tolist()
-            none = [None] * len(lost)
-            why = ["id-reject" if primed[k] else "primer-reject" for k in lost]
-            columns = [[ordinal[k] for k in lost], [names[k] for k in lost], why, *([none] * 6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _COLUMNS)
+            yield _left_out([ordinal[k] for k in lost], [names[k] for k in lost], ["id-reject" if primed[k] else "primer-reject" for k in lost])
 
     return run
 
 
-def demultiplexed(reads: DataFrame, samples: list[Sample], tolerance: int = 1, window: int = 200, chop: int = 0, seed: int = 0) -> DataFrame:
-    """ordinal, name, status, sample_idx, umi, tag_errors, sequence, quality, sampling_hash of reads (ordinal, sequence, quality, error).
+def demultiplexed(reads: DataFrame, samples: list[Sample], gates: Gates = Gates(), tolerance: int = 1, window: int = 200, chop: int = 0, seed: int = 0) -> DataFrame:
+    """ordinal, name, status, sample_idx, umi, tag_errors, sequence, quality, sampling_hash of reads (ordinal, sequence, quality).
 
     A read gives a row for each sample it is assigned to (status assigned, or BPB-reject where its tag has too many errors
-    and is called REJECTS), or one row with status primer-reject or id-reject. Sequences start with the identifier. Null
-    sequences count as empty, and qualities have the length of their read (missing letters are the worst). sampling_hash: an unsigned 64-bit hash of name and tag, for down-sampling.
+    and is called REJECTS), or one row with what it failed first: quality-reject, short-reject, long-reject, primer-reject
+    or id-reject. Sequences start with the identifier. Null sequences count as empty, and qualities have the length of their
+    read (missing letters are the worst). sampling_hash: an unsigned 64-bit hash of name and tag, for down-sampling.
     """
-    own = reads.select(F.col("ordinal").cast("long").alias("ordinal"), "sequence", "quality", F.col("error").cast("double").alias("error"))
-    kept = own.select("ordinal", "sequence", "quality", F.coalesce("error", F.lit(1.0)).alias("error"))
-    return kept.mapInArrow(_demultiplexed(samples, tolerance, window, chop, seed), _SCHEMA)
+    own = reads.select(F.col("ordinal").cast("long").alias("ordinal"), "sequence", "quality")
+    return own.mapInArrow(_demultiplexed(samples, gates, tolerance, window, chop, seed), _SCHEMA)
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

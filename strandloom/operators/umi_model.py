@@ -35,6 +35,8 @@ _GROWN = f"flatten(transform({_BASES}, b -> transform(sequence(0, length(umi)),
 _CUT = "transform(sequence(1, length(umi)), i -> concat(substr(umi, 1, i - 1), substr(umi, i + 1)))"
 _CHANGED = f"flatten(transform({_BASES}, b -> transform(sequence(1, length(umi)), i -> concat(substr(umi, 1, i - 1), b, substr(umi, i + 1)))))"
 
+_MADE = "filter(sequence(1, length(umi)), i -> substr(umi, i, 1) IN ('A', 'C', 'T', 'G'))"  # an edit puts no other letter into a real tag
+
 
 def _weighted(words: str, weight: float):
     return F.transform(F.expr(words), lambda w: F.struct(w.alias("mid"), F.lit(weight).alias("p")))
@@ -50,8 +52,9 @@ def two_edit_likelihoods(counts: DataFrame) -> DataFrame:
     first = F.concat(_weighted(_GROWN, INSERTION), _weighted(_CUT, DELETION), _weighted(_CHANGED, SUBSTITUTION))
     # the second edit leads from the middle to the real tag, so seen from the real tag a cut undoes an insertion
     same = F.array(F.struct(F.col("umi").alias("mid"), _intact(F.length("umi")).alias("p")))
-    changed = F.filter(_weighted(_CHANGED, SUBSTITUTION), lambda x: x["mid"] != F.col("umi"))
-    second = F.concat(_weighted(_CUT, INSERTION), _weighted(_GROWN, DELETION), changed, same)
+    some = "sequence(1, length(umi))"
+    changed = F.filter(_weighted(_CHANGED.replace(some, _MADE), SUBSTITUTION), lambda x: x["mid"] != F.col("umi"))
+    second = F.concat(_weighted(_CUT.replace(some, _MADE), INSERTION), _weighted(_GROWN, DELETION), changed, same)
 
     def steps(edits, name: str, p: str) -> DataFrame:
         rows = tags.select("sample_idx", F.col("umi").alias(name), F.explode(edits).alias("x"))
@@ -84,9 +87,10 @@ def _neighbours(tags: np.ndarray, sizes: np.ndarray, second: bool) -> tuple[np.n
                 add(high << 3 | letter << (3 * at) | low, grown)
         for at in range(size):
             high, low, letter_at = x >> (3 * at + 3), x & ((1 << 3 * at) - 1), (x >> (3 * at)) & 7
-            add(high << (3 * at) | low, cut)
+            made = (letter_at < 4) | (not second)  # an edit puts no other letter than A, C, T, G into a real tag
+            add(high << (3 * at) | low, np.where(made, cut, 0.0))
             for letter in range(4):
-                add(high << (3 * at + 3) | letter << (3 * at) | low, np.where((letter_at == letter) & second, 0.0, SUBSTITUTION))
+                add(high << (3 * at + 3) | letter << (3 * at) | low, np.where(made & ~((letter_at == letter) & second), SUBSTITUTION, 0.0))
         if second:
             add(x, (1 - ERROR) ** size)
     key, place, weight = np.concatenate(out), np.concatenate(places), np.concatenate(weights)

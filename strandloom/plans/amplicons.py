@@ -1,17 +1,19 @@
 """Raw amplicon reads derived from the line items of the test tables, and what the stages make of them.
 
-A molecule is a forward primer, one of 97 founders and, reversed and complemented, a sample's primer: adapter, identifier,
+A molecule is a forward primer, one of its sample's three founders (in some families one of the next sample's) and, reversed and complemented, a sample's primer: adapter, identifier,
 tag and tail. Reads have replaced, missing and added letters, half of them are turned round, and some have lost an end.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import nucleotides as nt
-from ..operators import consensus, demultiplex, reads as ops, umi_model
-from ..operators.demultiplex import Sample
+from ..operators import alignment, annotations, consensus, contamination, demultiplex, panel, reads as ops, umi_model
+from ..operators.demultiplex import Gates, Sample
+from ..sources.shared import written
 
 ADAPTER, TAIL = "CCGCTCCGTCCGACG", "CAGTCATTGC"
 IDENTIFIERS = ("acgtca", "ctgatg", "gatcct", "tgcaga", "aagctg", "ccttag", "ggatac", "ttcgac")
@@ -21,29 +23,30 @@ ERROR, SHORT, LONG, MOST, LDA, FAMILY = 0.05, 80, 400, 100_000, 0.995, 2
 
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 AMPLICONS_SQL = f"""
-SELECT fam, founder_no, sample_no, tag, ordinal, CASE WHEN ordinal % 2 = 0 THEN reverse(translate(read, 'ACGT', 'TGCA')) ELSE read END AS sequence,
+SELECT fam, founder_no, sample_no, tag, ordinal, molecule, read, CASE WHEN l_linenumber % 2 = 0 THEN reverse(translate(read, 'ACGT', 'TGCA')) ELSE read END AS sequence,
   concat(repeat(chr(CAST(33 + q AS INT)), 30), repeat(chr(CAST(33 + (q + 9) % 41 AS INT)), CAST(length(read) - 30 AS INT))) AS quality FROM (
-  SELECT fam, founder_no, sample_no, tag, ordinal, q, CASE
+  SELECT fam, founder_no, sample_no, tag, ordinal, l_linenumber, molecule, q, CASE
     WHEN edit % 29 = 0 THEN substr(molecule, 20, 1000)
     WHEN edit % 7 = 0 THEN concat(substr(molecule, 1, CAST(spot AS INT)), substr(molecule, CAST(spot + 2 AS INT), 1000))
     WHEN edit % 7 = 1 THEN concat(substr(molecule, 1, CAST(spot AS INT)), substr('ACGT', CAST(1 + edit % 4 AS INT), 1), substr(molecule, CAST(spot + 1 AS INT), 1000))
     WHEN edit % 7 < 4 THEN concat(substr(molecule, 1, CAST(spot AS INT)), substr('ACGT', CAST(1 + edit % 4 AS INT), 1), substr(molecule, CAST(spot + 2 AS INT), 1000))
     ELSE molecule END AS read FROM (
-    SELECT fam, founder_no, sample_no, tag, ordinal, q, edit, spot, concat(
+    SELECT fam, founder_no, sample_no, tag, ordinal, l_linenumber, q, edit, spot, concat(
       substr('{"".join(p.ljust(12) for p in PRIMERS)}', CAST(1 + 12 * sample_no AS INT), CAST(CASE WHEN sample_no IN ({", ".join(str(k) for k, p in enumerate(PRIMERS) if len(p) == 10)}) THEN 10 ELSE 12 END AS INT)),
       translate(md5(concat('a', founder)), {_HEX}), translate(md5(concat('b', founder)), {_HEX}),
       '{TAIL[::-1].translate(str.maketrans("ACGT", "TGCA"))}', reverse(translate(tag, 'ACGT', 'TGCA')),
       substr('{"".join(i.upper()[::-1].translate(str.maketrans("ACGT", "TGCA")) for i in IDENTIFIERS)}', CAST(1 + 6 * sample_no AS INT), 6),
       '{ADAPTER[::-1].translate(str.maketrans("ACGT", "TGCA"))}') AS molecule FROM (
-      SELECT l_orderkey AS fam, l_orderkey % 97 AS founder_no, CAST(l_orderkey % 97 AS {{text}}) AS founder, l_orderkey % 8 AS sample_no,
-        l_orderkey * 8 + l_linenumber AS ordinal, CAST(l_quantity AS INT) % 41 AS q, l_partkey % 1000 AS edit, (l_suppkey * 31 + l_linenumber) % 118 AS spot,
+      SELECT l_orderkey AS fam, founder_no, CAST(founder_no AS {{text}}) AS founder, sample_no,
+        (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 7919 + l_suppkey * 31 + CAST(l_quantity AS INT)) % 1000000 AS ordinal, l_linenumber, CAST(l_quantity AS INT) % 41 AS q, l_partkey % 1000 AS edit, (l_suppkey * 31 + l_linenumber) % 118 AS spot,
         substr(translate(md5(CAST(l_orderkey AS {{text}})), {_HEX}), 1, 8) AS tag
-      FROM {{lineitem}}) a) b) c
+      FROM (SELECT *, l_orderkey % 8 AS sample_no, run % 3 + 3 * ((l_orderkey % 8 + CASE WHEN run % 41 = 0 THEN 1 ELSE 0 END) % 8) AS founder_no
+        FROM (SELECT *, CAST(floor(l_orderkey / 8) AS BIGINT) AS run FROM {{lineitem}}) r) o) a) b) c
 """
 
 
 def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fam, founder_no, sample_no, tag, ordinal, sequence, quality; the first four are what the reads were made of."""
+    """ordinal, sequence, quality, and what the reads were made of: fam, founder_no, sample_no, tag, molecule, read (not turned)."""
     lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     return spark.sql(AMPLICONS_SQL.format(text="STRING", lineitem="{lines}"), lines=lines)
 
@@ -54,15 +57,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def accepted(reads: DataFrame) -> DataFrame:
-    """Reads with few expected errors and a length within bounds, with their mean error."""
-    rows = reads.withColumn("error", nt.mean_error(F.col("quality")))
-    return rows.where((F.col("error") < ERROR) & (F.length("sequence") > SHORT) & (F.length("sequence") < LONG))
-
-
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every accepted read with its sample and tag, or why it has none."""
-    return demultiplex.demultiplexed(accepted(amplicons(spark, sf_dir)).select("ordinal", "sequence", "quality", "error"), SAMPLES)
+    """Every read with its sample and tag, or why it has none."""
+    return demultiplex.demultiplexed(amplicons(spark, sf_dir), SAMPLES, Gates(ERROR, SHORT, LONG))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +74,53 @@ def tag_families(reads: DataFrame) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_idx, umi, family_size, sequence, agreement, sites of the families that are likely real."""
-    from ..sources.shared import written
-
     reads = written(kept(spark, sf_dir), "assigned")
     real = tag_families(reads).where("disposition = 'likely_real'").select(F.col("sample_idx").cast("int").alias("sample_idx"), "umi")
     primers = {k: s.cdna_primer[len(ADAPTER) :].upper() for k, s in enumerate(SAMPLES)}
     return consensus.family_consensus(reads.join(real, ["sample_idx", "umi"], "left_semi"), ["sample_idx", "umi"], primers)
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """Records with their id, sample and tag."""
+    names = F.element_at(F.array(*[F.lit(s.name) for s in SAMPLES]), F.col("sample_idx") + 1)
+    return found.withColumn("id", F.concat(names, F.lit("_"), "umi"))
+
+
+def contaminants(found: DataFrame) -> DataFrame:
+    return contamination.calls(found, {k: s.name for k, s in enumerate(SAMPLES)})
+
+
+def founders(numbers: list[int]) -> list[str]:
+    """The inserts of some founders, as the reads are made of them."""
+    hexed = str.maketrans("0123456789abcdef", "ACGTACGTACGTACGT")
+    return ["".join(hashlib.md5(f"{part}{k}".encode()).hexdigest() for part in "ab").translate(hexed) for k in numbers]
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the gates: artefact cutoff by sample, agreement, contamination calls and the panel."""
+    found = written(identified(records(spark, sf_dir)), "records")
+    gone = contaminants(found).where("discarded").select(F.col("id").alias("fam"))
+    scored = panel.panel_scores(found.withColumnRenamed("id", "fam"), PANEL, PANEL_THRESHOLD).withColumn("panel_threshold", F.lit(PANEL_THRESHOLD))
+    cutoffs = ops.artefact_cutoffs(found.withColumnRenamed("id", "fam"), QUANTILE, FRACTION)
+    return annotations.with_passes(scored, gone, cutoffs, AGREEMENT)
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = amplicons(spark, sf_dir).select("ordinal", F.col("molecule").alias("reference"), F.col("read").alias("query"))
+    return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
+
+
+QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD = 0.99, 0.25, 0.6, 50.0
+#: The founders of the first sample.
+PANEL = founders([0, 1, 2])
+
+#: Dynamic programs, EM and clustering are beyond SQL; tests compare them with plain versions on the test tables.
+QUERIES = {
+    "demultiplexed_reads": (lambda s, d: assigned(s, d).select("ordinal", "status", "sample_idx", "umi", "tag_errors"), None),
+    "read_stages": (lambda s, d: demultiplex.status_counts(assigned(s, d)), None),
+    "seeded_alignments": (_aligned, None),
+    "family_consensus": (records, None),
+    "contamination_calls": (lambda s, d: contaminants(identified(records(s, d))), None),
+    "panel_scores": (lambda s, d: panel.panel_scores(identified(records(s, d)).select("id", "sequence"), PANEL, PANEL_THRESHOLD), None),
+    "consensus_filters": (lambda s, d: judged(s, d).select("fam", "sample_idx", "family_size", "panel_score", *annotations.PASSES, "passed", "reasons"), None),
+}
