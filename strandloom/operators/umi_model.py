@@ -46,15 +46,19 @@ def _intact(length):
     return F.pow(F.lit(1 - ERROR), length)
 
 
-def two_edit_likelihoods(counts: DataFrame) -> DataFrame:
-    """sample_idx, umi, real, p: likelihood of observing umi where real was there, over two edits at most."""
+def two_edit_likelihoods(counts: DataFrame, unknown: bool = False) -> DataFrame:
+    """sample_idx, umi, real, p: likelihood of observing umi where real was there, over two edits at most.
+
+    unknown: tags may have the letter N, which an edit can take away.
+    """
+    bases = _BASES.replace(")", ", 'N')") if unknown else _BASES
     tags = counts.where((F.col("umi") != REJECTS) & (F.length("umi") > 0)).select("sample_idx", "umi").distinct()
     first = F.concat(_weighted(_GROWN, INSERTION), _weighted(_CUT, DELETION), _weighted(_CHANGED, SUBSTITUTION))
     # the second edit leads from the middle to the real tag, so seen from the real tag a cut undoes an insertion
     same = F.array(F.struct(F.col("umi").alias("mid"), _intact(F.length("umi")).alias("p")))
     some = "sequence(1, length(umi))"
-    changed = F.filter(_weighted(_CHANGED.replace(some, _MADE), SUBSTITUTION), lambda x: x["mid"] != F.col("umi"))
-    second = F.concat(_weighted(_CUT.replace(some, _MADE), INSERTION), _weighted(_GROWN, DELETION), changed, same)
+    changed = F.filter(_weighted(_CHANGED.replace(some, _MADE).replace(_BASES, bases), SUBSTITUTION), lambda x: x["mid"] != F.col("umi"))
+    second = F.concat(_weighted(_CUT.replace(some, _MADE), INSERTION), _weighted(_GROWN.replace(_BASES, bases), DELETION), changed, same)
 
     def steps(edits, name: str, p: str) -> DataFrame:
         rows = tags.select("sample_idx", F.col("umi").alias(name), F.explode(edits).alias("x"))
@@ -71,6 +75,7 @@ def _neighbours(tags: np.ndarray, sizes: np.ndarray, second: bool) -> tuple[np.n
     A number has 3 bits a letter below a leading 1. Seen from the real tag (second), an insertion is undone by a cut.
     """
     grown, cut = (DELETION, INSERTION) if second else (INSERTION, DELETION)
+    letters = (0, 1, 2, 3, 7) if second else (0, 1, 2, 3)  # what an edit takes away may be an N
     out, places, weights = [], [], []
     for size in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == size)
@@ -83,13 +88,13 @@ def _neighbours(tags: np.ndarray, sizes: np.ndarray, second: bool) -> tuple[np.n
 
         for at in range(size + 1):
             high, low = x >> (3 * at) << (3 * at), x & ((1 << 3 * at) - 1)
-            for letter in range(4):
+            for letter in letters:
                 add(high << 3 | letter << (3 * at) | low, grown)
         for at in range(size):
             high, low, letter_at = x >> (3 * at + 3), x & ((1 << 3 * at) - 1), (x >> (3 * at)) & 7
             made = (letter_at < 4) | (not second)  # an edit puts no other letter than A, C, T, G into a real tag
             add(high << (3 * at) | low, np.where(made, cut, 0.0))
-            for letter in range(4):
+            for letter in letters:
                 add(high << (3 * at + 3) | letter << (3 * at) | low, np.where(made & ~((letter_at == letter) & second), SUBSTITUTION, 0.0))
         if second:
             add(x, (1 - ERROR) ** size)
@@ -191,7 +196,7 @@ def _all_assigned(counts: DataFrame, sample_tags: int) -> DataFrame:
     if not large:
         return small
     some = tags.where(is_large)
-    edges = written(two_edit_likelihoods(some).join(some, ["sample_idx", "umi"]), "edges", folder)
+    edges = written(two_edit_likelihoods(some, unknown=True).join(some, ["sample_idx", "umi"]), "edges", folder)
     return small.unionByName(_assigned_by_rounds(edges, folder))
 
 

@@ -110,7 +110,7 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
 
 
-QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD = 0.99, 0.25, 0.6, 50.0
+QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD = 0.99, 0.25, 0.6, 4.0
 #: The founders of the first sample.
 PANEL = founders([0, 1, 2])
 

@@ -584,7 +584,7 @@ def test_panel_scores_of_the_test_table(spark):
     for text in sorted(by_text)[::25]:
         want = full_panel_columns(amplicons.PANEL, text)
         score, passed, extracted = by_text[text]
-        assert score == pytest.approx(plain_score(amplicons.PANEL, text, want), abs=1e-9) and passed == (score < 50)
+        assert score == pytest.approx(plain_score(amplicons.PANEL, text, want), abs=1e-9) and passed == (score < amplicons.PANEL_THRESHOLD)
         at = [k for k, c in enumerate(want) if c >= 0]
         assert extracted == text[at[0] : at[-1] + 1]
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "--"), (4, "ac-gt")], "id long, sequence string")
@@ -597,6 +597,6 @@ def test_filters_follow_calls_and_panel(spark):
     calls = {r.id for r in amplicons.QUERIES["contamination_calls"][0](spark, DATA).where("discarded").collect()}
     assert rows and {r.fam for r in rows if not r.contamination_pass} == calls
     for r in rows:
-        assert r.panel_pass == (r.panel_score < 50) and r.passed == (r.artefact_pass and r.agreement_pass and r.contamination_pass and r.panel_pass)
-        assert ("distance_from_panel >= 50.0" in r.reasons) == (not r.panel_pass)
+        assert r.panel_pass == (r.panel_score < amplicons.PANEL_THRESHOLD) and r.passed == (r.artefact_pass and r.agreement_pass and r.contamination_pass and r.panel_pass)
+        assert ("distance_from_panel >= 4.0" in r.reasons) == (not r.panel_pass)
     assert {r.panel_pass for r in rows} == {True, False}
