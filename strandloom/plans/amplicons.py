@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, annotations, consensus, contamination, demultiplex, panel, reads as ops, umi_model
+from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, reads as ops, umi_model
 from ..operators.demultiplex import Gates, Sample
 from ..sources.shared import written
 
@@ -105,12 +105,22 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.with_passes(scored, gone, cutoffs, AGREEMENT)
 
 
+def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_idx, name, families, haplotype: different sequences of a sample's records that several families have."""
+    found = identified(records(spark, sf_dir)).withColumnRenamed("id", "fam")
+    return ops.haplotypes(found).where(F.col("families") >= HAPLOTYPE_FAMILIES).select("sample_idx", "name", "families", "haplotype")
+
+
+def aligned_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return msa.multiple_alignment(written(haplotypes(spark, sf_dir), "haplotypes"), "sample_idx", "haplotype")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = amplicons(spark, sf_dir).select("ordinal", F.col("molecule").alias("reference"), F.col("read").alias("query"))
     return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
 
 
-QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD = 0.99, 0.25, 0.6, 4.0
+QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD, HAPLOTYPE_FAMILIES = 0.99, 0.25, 0.6, 4.0, 2
 #: The founders of the first sample.
 PANEL = founders([0, 1, 2])
 
@@ -122,5 +132,7 @@ QUERIES = {
     "family_consensus": (records, None),
     "contamination_calls": (lambda s, d: contaminants(identified(records(s, d))), None),
     "panel_scores": (lambda s, d: panel.panel_scores(identified(records(s, d)).select("id", "sequence"), PANEL, PANEL_THRESHOLD), None),
+    "sample_alignments": (aligned_haplotypes, None),
+    "sample_trees": (lambda s, d: phylogeny.trees(aligned_haplotypes(s, d), "sample_idx"), None),
     "consensus_filters": (lambda s, d: judged(s, d).select("fam", "sample_idx", "family_size", "panel_score", *annotations.PASSES, "passed", "reasons"), None),
 }
