@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, reads as ops, umi_model
+from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
 from ..operators.demultiplex import Gates, Sample
 from ..sources.shared import written
 
@@ -106,15 +106,22 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_idx, name, families, haplotype: different sequences of a sample's records that several families have."""
+    """sample_idx, variant, name, families, haplotype: different sequences of a sample's records that several families have."""
     found = identified(records(spark, sf_dir)).withColumnRenamed("id", "fam")
-    return ops.haplotypes(found).where(F.col("families") >= HAPLOTYPE_FAMILIES).select("sample_idx", "name", "families", "haplotype")
+    return ops.haplotypes(found).where(F.col("families") >= HAPLOTYPE_FAMILIES).select("sample_idx", "variant", "name", "families", "haplotype")
 
 
 def aligned_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msa.multiple_alignment(written(haplotypes(spark, sf_dir), "haplotypes"), "sample_idx", "haplotype")
 
 
+def hypermutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned haplotypes with the posterior of their G-to-A changes against the sample's most frequent letters."""
+    rows = written(aligned_haplotypes(spark, sf_dir), "aligned")
+    modal = reports.column_modes(rows.select("sample_idx", F.col("variant").alias("row"), "aligned")).withColumnRenamed("sequence", "modal")
+    return posteriors.hypermutation(rows.join(modal, "sample_idx"), "modal", "aligned").drop("modal")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = amplicons(spark, sf_dir).select("ordinal", F.col("molecule").alias("reference"), F.col("read").alias("query"))
     return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
@@ -134,5 +141,7 @@ QUERIES = {
     "panel_scores": (lambda s, d: panel.panel_scores(identified(records(s, d)).select("id", "sequence"), PANEL, PANEL_THRESHOLD), None),
     "sample_alignments": (aligned_haplotypes, None),
     "sample_trees": (lambda s, d: phylogeny.trees(aligned_haplotypes(s, d), "sample_idx"), None),
+    "hypermutation": (hypermutated, None),
+    "distance_map": (lambda s, d: posteriors.distance_map(aligned_haplotypes(s, d), "sample_idx"), None),
     "consensus_filters": (lambda s, d: judged(s, d).select("fam", "sample_idx", "family_size", "panel_score", *annotations.PASSES, "passed", "reasons"), None),
 }
