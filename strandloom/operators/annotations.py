@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,15 +18,32 @@ PASSES = ("artefact_pass", "agreement_pass", "contamination_pass", "panel_pass")
 BROADCAST_REFERENCES = 20_000
 
 
+_CODONS = {a + b + c: nt.AMINO_ACIDS[16 * i + 4 * j + k] for i, a in enumerate(nt.CODON_BASES) for j, b in enumerate(nt.CODON_BASES) for k, c in enumerate(nt.CODON_BASES)}
+_FRAME = re.compile(r"M[^*]*\*")
+
+
+def longest_orf(sequence: str) -> str | None:
+    """The longest stretch from ATG to a stop in any of three frames (ties: first frame, first start)."""
+    text, best = sequence.upper().replace("U", "T"), (0, 0, 0)
+    for frame in range(3):
+        protein = "".join([_CODONS.get(text[k : k + 3], "X") for k in range(frame, len(text) - 2, 3)])
+        for m in _FRAME.finditer(protein):
+            best = max(best, (m.end() - m.start(), -frame, -m.start()))
+    n, frame, start = best
+    first = -frame - 3 * start
+    return sequence[first : first + 3 * n] if n else None
+
+
 def longest_orfs(sequences: DataFrame) -> DataFrame:
-    """sequence, orf: of each distinct sequence that has one, the longest stretch from ATG to a stop in any of three
-    frames (ties: first frame, first start)."""
-    frames = sequences.select("sequence").distinct().select("sequence", F.explode(F.array(*map(F.lit, range(3)))).alias("frame"))
-    proteins = frames.withColumn("protein", nt.translated(F.expr("substr(sequence, frame + 1)"))).where("length(protein) > 0")
-    starts = proteins.select("*", F.posexplode(F.split("protein", "")).alias("at", "letter")).where("letter = 'M'")
-    found = starts.withColumn("n", F.expr("instr(substr(protein, at + 1), '*')")).where("n > 0")
-    best = found.groupBy("sequence").agg(F.max(F.struct("n", (-F.col("frame")).alias("f"), (-F.col("at")).alias("s"))).alias("best"))
-    return best.select("sequence", F.expr("substr(sequence, 1 - best.f - best.s * 3, best.n * 3)").alias("orf"))
+    """sequence, orf: of each distinct sequence that has one, its longest_orf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("sequence")
+            yield pa.RecordBatch.from_arrays([texts, pa.array([longest_orf(x) for x in texts.to_pylist()], pa.string())], ["sequence", "orf"])
+
+    found = sequences.select("sequence").where("sequence IS NOT NULL").distinct().mapInArrow(run, "sequence string, orf string")
+    return found.where("orf IS NOT NULL")
 
 
 def with_passes(records: DataFrame, discarded: DataFrame, cutoffs: DataFrame, agreement: float) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,9 +86,47 @@ def dinucleotides(counts: DataFrame) -> DataFrame:
 
 
 def consensus(reads: DataFrame) -> DataFrame:
-    """Each family's most frequent base at every position (ties: the first in the alphabet) and its least agreement."""
-    bases = reads.select("fam", F.posexplode(F.filter(F.split("sequence", ""), lambda c: c != "")).alias("at", "base"))
-    votes = bases.groupBy("fam", "at", "base").agg(F.count("*").alias("n"))
-    best = votes.groupBy("fam", "at").agg(F.min_by("base", F.struct(-F.col("n"), "base")).alias("base"), (F.max("n") / F.sum("n")).alias("share"))
-    letters = F.array_sort(F.collect_list(F.struct("at", "base")))
-    return best.groupBy("fam").agg(F.array_join(F.transform(letters, lambda x: x["base"]), "").alias("sequence"), F.round(F.min("share"), 6).alias("agreement"))
+    """Each family's most frequent base at every position (ties: the first in the alphabet) and its least agreement.
+
+    Families without a base give no row. One shuffle; a task keeps counts by position, not a family's reads.
+    """
+    own = reads.select("fam", "sequence").where(F.length("sequence") > 0).repartition("fam").sortWithinPartitions("fam")
+    kind = own.schema["fam"].dataType.simpleString()
+    return own.mapInArrow(_voted, f"fam {kind}, sequence string, share double").select("fam", "sequence", F.round("share", 6).alias("agreement"))
+
+
+def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """fam, sequence, share of families whose reads come one after another."""
+    open_fam, open_counts, kind = None, {}, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kind, fams = batch.column("fam").type, batch.column("fam").to_pylist()
+        texts = np.array(batch.column("sequence").to_pylist())
+        letters = texts.view(np.uint32).reshape(len(texts), -1)
+        heads = np.array([0, *(k for k in range(1, len(fams)) if fams[k] != fams[k - 1])])
+        counts = {int(c): np.add.reduceat(letters == c, heads, axis=0, dtype=np.int64) for c in np.unique(letters) if c}
+        own = [fams[k] for k in heads.tolist()]
+        if open_counts and own[0] == open_fam:
+            for c, n in open_counts.items():
+                rows = counts.setdefault(c, np.zeros((len(own), letters.shape[1]), np.int64))
+                if rows.shape[1] < len(n):
+                    counts[c] = rows = np.pad(rows, ((0, 0), (0, len(n) - rows.shape[1])))
+                rows[0, : len(n)] += n
+        elif open_counts:
+            yield _winners([open_fam], {c: n[None] for c, n in open_counts.items()}, kind)
+        if len(own) > 1:
+            yield _winners(own[:-1], {c: n[:-1] for c, n in counts.items()}, kind)
+        open_fam, open_counts = own[-1], {c: n[-1] for c, n in counts.items() if n[-1].any()}
+    if open_counts:
+        yield _winners([open_fam], {c: n[None] for c, n in open_counts.items()}, kind)
+
+
+def _winners(fams: list, counts: dict[int, np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+    width, order = max(n.shape[1] for n in counts.values()), sorted(counts)
+    votes = np.stack([np.pad(counts[c], ((0, 0), (0, width - counts[c].shape[1]))) for c in order])
+    total, most = votes.sum(axis=0), votes.max(axis=0)
+    best = np.where(total > 0, np.array(order, np.uint32)[votes.argmax(axis=0)], 0).astype(np.uint32)
+    share = np.divide(most, total, out=np.ones(total.shape), where=total > 0).min(axis=1)
+    texts = np.ascontiguousarray(best).view(f"U{width}").ravel().tolist()
+    return pa.RecordBatch.from_arrays([pa.array(fams, kind), pa.array(texts, pa.string()), pa.array(share)], ["fam", "sequence", "share"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
 from ..operators.demultiplex import Gates, Sample
 from ..sources.shared import written
+from .reads import lines
 
 ADAPTER, TAIL = "CCGCTCCGTCCGACG", "CAGTCATTGC"
 IDENTIFIERS = ("acgtca", "ctgatg", "gatcct", "tgcaga", "aagctg", "ccttag", "ggatac", "ttcgac")
@@ -47,14 +48,7 @@ SELECT fam, founder_no, sample_no, tag, ordinal, molecule, read, CASE WHEN l_lin
 
 def amplicons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ordinal, sequence, quality, and what the reads were made of: fam, founder_no, sample_no, tag, molecule, read (not turned)."""
-    lines = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    return spark.sql(AMPLICONS_SQL.format(text="STRING", lineitem="{lines}"), lines=lines)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files are too few to be read by as many tasks; otherwise as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.sql(AMPLICONS_SQL.format(text="STRING", lineitem="{lines}"), lines=lines(spark, sf_dir))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:

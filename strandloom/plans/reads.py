@@ -21,6 +21,17 @@ SELECT fam, sample_idx, umi, substr(seq, 1, CAST(40 + l_partkey % 25 AS INT)) AS
 DUCK_READS = READS_SQL.format(text="VARCHAR", lineitem="lineitem")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files are too few to be read by as many tasks; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads are made of."""
+    return spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fam, sample_idx, umi, sequence, error: one row per read."""
-    return spark.sql(READS_SQL.format(text="STRING", lineitem="{lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return spark.sql(READS_SQL.format(text="STRING", lineitem="{lines}"), lines=lines(spark, sf_dir))
