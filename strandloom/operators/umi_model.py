@@ -130,18 +130,27 @@ def _edges(tags: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (pair // n).astype(np.int32), (pair % n).astype(np.int32), value
 
 
-def _assigned(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each tag's likeliest real tag and its probability, by EM over one sample's tags and counts."""
-    rows = rows.sort_values("umi", kind="stable")
-    names, sizes = rows["umi"].to_numpy(str), rows["umi"].str.len().to_numpy()
+def _sample_edges(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tags = np.zeros(len(rows), np.int64)
-    for k, name in enumerate(names.tolist()):
+    for k, name in enumerate(rows["umi"].tolist()):
         number = 1
         for letter in name:
             number = number << 3 | "ACTG".find(letter) & 7
         tags[k] = number
-    seen, real, p = _edges(tags, sizes)
-    n, counts = len(tags), rows["family_size"].to_numpy(float)
+    return _edges(tags, rows["umi"].str.len().to_numpy())
+
+
+def _edge_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    seen, real, p = _sample_edges(rows)
+    names = rows["umi"].to_numpy()
+    return pd.DataFrame({"sample_idx": rows["sample_idx"].iloc[0], "umi": names[seen], "real": names[real], "p": p})
+
+
+def _assigned(rows: pd.DataFrame) -> pd.DataFrame:
+    """Each tag's likeliest real tag and its probability, by EM over one sample's tags and counts."""
+    rows = rows.sort_values("umi", kind="stable")
+    names, (seen, real, p) = rows["umi"].to_numpy(str), _sample_edges(rows)
+    n, counts = len(names), rows["family_size"].to_numpy(float)
     prior = np.full(n, 1 / n)
     for _ in range(ROUNDS):
         joint = prior[real] * p
@@ -182,22 +191,33 @@ def _assigned_by_rounds(edges: DataFrame, folder: str) -> DataFrame:
     return rows.select("sample_idx", "umi", F.col("best.real").alias("parent"), (-F.col("best.minus") / F.col("total")).alias("probability"))
 
 
-def _all_assigned(counts: DataFrame, sample_tags: int) -> DataFrame:
-    """sample_idx, umi, parent, probability: small samples in a task each, large ones by rounds."""
-    schema = "sample_idx long, umi string, parent string, probability double"
-    folder = shared_folder(counts.sparkSession)
+def _split(counts: DataFrame, folder: str, sample_tags: int) -> tuple[DataFrame, DataFrame | None]:
+    """Tags of samples that one task each can hold, and those of all others, if there are any."""
     tags = counts.where((F.col("umi") != REJECTS) & (F.length("umi") > 0)).withColumn("sample_idx", F.col("sample_idx").cast("long"))
     tags = written(tags.select("sample_idx", "umi", "family_size"), "tags", folder)
     odd = F.max((F.length("umi") > NUMBER_LETTERS) | ~F.col("umi").rlike("^[ACGTN]*$"))
     sizes = tags.groupBy("sample_idx").agg(F.count("*").alias("n"), odd.alias("odd")).collect()  # one row for each sample
     large = [r.sample_idx for r in sizes if r["n"] > sample_tags or r["odd"]]
     is_large = F.col("sample_idx").isin(large) if large else F.lit(False)
-    small = tags.where(~is_large).groupBy("sample_idx").applyInPandas(_assigned, schema)
-    if not large:
-        return small
-    some = tags.where(is_large)
-    edges = written(two_edit_likelihoods(some, unknown=True).join(some, ["sample_idx", "umi"]), "edges", folder)
-    return small.unionByName(_assigned_by_rounds(edges, folder))
+    return tags.where(~is_large), tags.where(is_large) if large else None
+
+
+def likelihoods(counts: DataFrame, sample_tags: int = SAMPLE_TAGS) -> DataFrame:
+    """What two_edit_likelihoods gives, small samples in a task each."""
+    small, large = _split(counts, shared_folder(counts.sparkSession), sample_tags)
+    found = small.groupBy("sample_idx").applyInPandas(_edge_rows, "sample_idx long, umi string, real string, p double")
+    return found if large is None else found.unionByName(two_edit_likelihoods(large, unknown=True).select(*found.columns))
+
+
+def _all_assigned(counts: DataFrame, sample_tags: int) -> DataFrame:
+    """sample_idx, umi, parent, probability: small samples in a task each, large ones by rounds."""
+    folder = shared_folder(counts.sparkSession)
+    small, large = _split(counts, folder, sample_tags)
+    found = small.groupBy("sample_idx").applyInPandas(_assigned, "sample_idx long, umi string, parent string, probability double")
+    if large is None:
+        return found
+    edges = written(two_edit_likelihoods(large, unknown=True).join(large, ["sample_idx", "umi"]), "edges", folder)
+    return found.unionByName(_assigned_by_rounds(edges, folder))
 
 
 def families(counts: DataFrame, threshold: float = 0.995, family_size: int = 5, sample_tags: int = SAMPLE_TAGS) -> DataFrame:

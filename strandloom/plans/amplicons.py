@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
 from ..operators.demultiplex import Gates, Sample
-from ..sources.shared import written
+from ..sources import sequences
+from ..sources.shared import shared_folder, written
+from ..streaming import admission
 from .reads import lines
 
 ADAPTER, TAIL = "CCGCTCCGTCCGACG", "CAGTCATTGC"
@@ -116,17 +118,40 @@ def hypermutated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posteriors.hypermutation(rows.join(modal, "sample_idx"), "modal", "aligned").drop("modal")
 
 
+def through_fastq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, sequence, quality of all reads, written as FASTQ text and read again."""
+    path = f"{shared_folder(spark)}/reads"
+    sequences.write_fastq(amplicons(spark, sf_dir).withColumn("name", F.col("ordinal").cast("string")), path)
+    return sequences.read_fastq(spark, path).select("name", "sequence", "quality")
+
+
+def admitted_on_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, sample_idx of the reads that stay when assigned reads are admitted from a stream."""
+    folder = shared_folder(spark)
+    columns = ["ordinal", "sample_idx", "sampling_hash"]
+    rows = written(assigned(spark, sf_dir).where("sample_idx IS NOT NULL").select(*columns), "assigned", folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", STREAM_FILES).parquet(f"{folder}/assigned")
+    sink = admission.admitted(stream, STREAM_MOST).writeStream.format("parquet").option("path", f"{folder}/admitted").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/admitted")
+    return admission.settled(found, rows.groupBy("sample_idx").agg(F.count("*").alias("n")), STREAM_MOST).select("ordinal", "sample_idx")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = amplicons(spark, sf_dir).select("ordinal", F.col("molecule").alias("reference"), F.col("read").alias("query"))
     return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
 
 
 QUANTILE, FRACTION, AGREEMENT, PANEL_THRESHOLD, HAPLOTYPE_FAMILIES = 0.99, 0.25, 0.6, 4.0, 2
+#: Files of a micro-batch, and reads of a sample that stay.
+STREAM_FILES, STREAM_MOST = 8, 2_000
 #: The founders of the first sample.
 PANEL = founders([0, 1, 2])
 
 #: Dynamic programs, EM and clustering are beyond SQL; tests compare them with plain versions on the test tables.
 QUERIES = {
+    "fastq_reads": (through_fastq, f"SELECT CAST(ordinal AS VARCHAR) AS name, sequence, quality FROM ({AMPLICONS_SQL.format(text='VARCHAR', lineitem='lineitem')})"),
+    "stream_admission": (admitted_on_a_stream, None),
     "demultiplexed_reads": (lambda s, d: assigned(s, d).select("ordinal", "status", "sample_idx", "umi", "tag_errors"), None),
     "read_stages": (lambda s, d: demultiplex.status_counts(assigned(s, d)), None),
     "seeded_alignments": (_aligned, None),

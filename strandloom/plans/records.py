@@ -59,7 +59,7 @@ def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = umi_model.two_edit_likelihoods(ops.umi_counts(reads(spark, sf_dir)))
+    edges = umi_model.likelihoods(ops.umi_counts(reads(spark, sf_dir)))
     return edges.select("sample_idx", "umi", "real", F.round("p", 12).alias("p"))
 
 
