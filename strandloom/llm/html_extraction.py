@@ -49,9 +49,14 @@ _CHROME_WORDS = frozenset(
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu form".split())
 #: Classes that begin with these say what the page has or is about, not what the element is: no-sidebar, tag-cookies.
 _MODIFIERS = frozenset("has no not with without is category tag type format status".split())
-#: Kinds of chrome: MAYBE only where the element holds less than SMALL of the running text, NAMED by a class, SURE by tag, role or hidden.
-MAYBE, NAMED, SURE = 1, 2, 3
-SMALL = 0.3
+#: Words for what readers, advertisers and other pages add. Other chrome words also describe how a whole page is laid out.
+_ADDED_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond disqus share sharing "
+    "social related recommended newsletter subscribe signup login".split()
+)
+#: Kinds of chrome: LAYOUT and ADDED by a part of a class, whatever its size, but not around the page's own text (LAYOUT: its
+#: heading, article, main or an element named as text; ADDED: its heading); NAMED by a whole class, SURE by tag, role or hidden.
+LAYOUT, ADDED, NAMED, SURE = 1, 2, 3, 4
 _TITLES = frozenset("h1 h2".split())
 _TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 _GOOD_WORDS = frozenset("article content post entry story main body text".split())
@@ -129,15 +134,18 @@ class Tags:
 
 
 def _named_kind(tag: str, names: list[str]) -> int:
-    """Whether classes and id name chrome: as a whole, or (MAYBE) in a part or on an element that is also named as text."""
-    kind = 0
+    """Whether classes and id name chrome: as a whole, or in a part. On an element that is also named as text, parts do not count."""
+    kind, good = 0, not _GOOD_WORDS.isdisjoint(names)
     for name in names:
         words = _WORD.findall(name)
         if not words or words[0] in _MODIFIERS and len(words) > 1:
             continue
         if not _CHROME_WORDS.isdisjoint(words) and not ("header" in words and not _GOOD_WORDS.isdisjoint(words)):
-            kind = max(kind, NAMED if len(words) == 1 else MAYBE)
-    return min(kind, MAYBE) if tag in ("article", "main") or not _GOOD_WORDS.isdisjoint(names) else kind
+            part = LAYOUT if _ADDED_WORDS.isdisjoint(words) else ADDED
+            kind = max(kind, part if len(words) > 1 and not good else 0 if len(words) > 1 else NAMED)
+    if kind == NAMED and (tag in ("article", "main") or good):
+        return LAYOUT if _ADDED_WORDS.isdisjoint(names) else ADDED
+    return kind
 
 
 class Page:
@@ -167,7 +175,7 @@ class Page:
     def _judge(self) -> None:
         """Sets chrome and blocks; where only elements named as chrome hold running text, names do not count."""
         self._keep(self._chrome())
-        if (MAYBE in self.kind or NAMED in self.kind) and not any(len(text) > 2 * links for _, text, links in self.blocks):
+        if any(0 < k < SURE for k in self.kind) and not any(len(text) > 2 * links for _, text, links in self.blocks):
             named = self.blocks, self.chrome
             self._keep(self._flags([k == SURE for k in self.kind]))
             if not any(len(text) > 2 * links for _, text, links in self.blocks):
@@ -180,18 +188,20 @@ class Page:
         return own
 
     def _chrome(self) -> list[bool]:
-        sure = self._flags([k >= NAMED for k in self.kind])
-        if MAYBE in self.kind:
-            held = [0] * len(sure)
-            for _, pieces in self._parts:
-                for at, text, link in pieces:
-                    if not sure[at]:
-                        held[at] += -len(text) if link else len(text)
-            held = [max(0, n) for n in held]
-            for at in range(len(held) - 1, 0, -1):
-                held[self.parent[at]] += held[at]
-            sure = self._flags([s or (k == MAYBE and n < SMALL * held[0]) for s, k, n in zip(sure, self.kind, held)])
-        return sure
+        """Elements that are chrome, from the innermost out: what is chrome itself does not tell what is around it."""
+        n = len(self.kind)
+        own, title, heading, text = [False] * n, [False] * n, [False] * n, [False] * n
+        for at in range(n - 1, 0, -1):
+            tag, kind = self.tag[at], self.kind[at]
+            title[at] |= tag == "h1"
+            heading[at] |= tag in _TITLES
+            text[at] |= not kind and (self.good[at] or tag in ("article", "main"))
+            around = title[at] or (kind == LAYOUT and (text[at] or tag == "header" and heading[at]))
+            own[at] = kind >= NAMED or (kind > 0 and not around)
+            if not own[at]:
+                up = self.parent[at]
+                title[up], heading[up], text[up] = title[up] or title[at], heading[up] or heading[at], text[up] or text[at]
+        return self._flags(own)
 
     def _keep(self, chrome: list[bool]) -> None:
         self.chrome, self.blocks = chrome, []
@@ -234,7 +244,9 @@ class Page:
         if tag not in ("html", "body"):
             kind = _named_kind(tag, names) if names else 0
             if tag == "form" or role == "form":  # some sites wrap the whole page in one
-                kind = max(kind, MAYBE)
+                kind = max(kind, LAYOUT)
+            elif tag == "header" and any(self.tag[at] in ("article", "main") for at in self._stack):  # holds the article's heading, or is chrome
+                kind = max(kind, LAYOUT)
             elif tag in _CHROME_TAGS or role in _CHROME_ROLES:
                 kind = SURE
             kind = SURE if hidden else kind

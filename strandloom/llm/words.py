@@ -1,11 +1,13 @@
 """Words and their hashes for whole Arrow batches, without a Python object for each word.
 
 A word is a maximal run of bytes outside [\\x20\\x09-\\x0D]. Texts are taken from the Arrow buffers as bytes; a word's
-64-bit hash is a polynomial over its bytes, read off prefix sums, so the cost is a few numpy passes over the bytes.
+64-bit hash is a polynomial over its bytes, read off prefix sums, so the cost is a few numpy passes over the bytes. Modulo
+2^64 some words of 1,024 bytes and more have equal polynomials for every base, so words above LONG bytes get a BLAKE2 digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,6 +20,7 @@ _SEED = 0x5EED
 #: Odd bases of two independent polynomials.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 SLICE_BYTES = 1 << 20
+LONG = 255
 
 
 class Words(NamedTuple):
@@ -111,6 +114,10 @@ def words_of(texts: pa.Array, lower: bool = False, which: int = 0) -> Words:
     sums[0] = 0
     np.cumsum(_byte_values(lower, which)[data] * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        digest = hashlib.blake2b(word.lower() if lower else word, digest_size=8, salt=bytes([which])).digest()
+        hashes[k] = int.from_bytes(digest, "little")
     return Words(hashes, np.searchsorted(starts, at), starts, ends, data)
 
 

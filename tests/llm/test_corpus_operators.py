@@ -15,6 +15,7 @@ import pytest
 import corpus_pipeline
 from strandloom.llm import decontamination, html_extraction, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup, toxicity
 from strandloom.llm.components import components
+from strandloom.llm.words import words_of
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -549,3 +550,42 @@ def test_pipeline_stages(spark):
     assert not any(secret_scan.base_spans(t or "") for t in kept.values())
     pieces = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in pieces} == set(kept) and sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values())
+
+
+@pytest.mark.parametrize("n", [60, 200, 400, 2000])
+@pytest.mark.parametrize(
+    "added",
+    ['<div class="comment-list">{}</div>', '<div id="comments-area">{}</div>', '<div class="user-comments">{}</div>', '<div class="related-posts">{}</div>',
+     '<ul class="comment-list"><li>{}</li></ul>', "<form>{}</form>", '<section class="post-comments"><article class="comment-body">{}</article></section>', '<div class="ad-slot">{}</div>'],
+)
+def test_html_added_parts_go_whatever_they_weigh(n, added):
+    words = lambda k, m: " ".join(f"w{k}x{i}" for i in range(m))
+    story = [words(k, 80) for k in range(3)]
+    body = "".join(f"<p>{t}</p>" for t in story)
+    extra = added.format("".join(f"<p>{words(9, n // 4)}</p>" for _ in range(4)))
+    for page, head in (
+        (f'<body><div class="content"><h1>Title here</h1>{body}</div>{extra}</body>', ["Title here"]),
+        (f'<body><div class="content">{body}</div>{extra}</body>', []),
+        (f"<body><article><header><h1>Title here</h1></header>{body}</article>{extra}</body>", ["Title here"]),
+        (f'<body><div class="layout-sidebar"><div class="content"><h1>Title here</h1>{body}</div></div>{extra}</body>', ["Title here"]),
+        (f"<body><header><p>{words(7, 30)}</p></header><article><header><p>by line</p></header><h1>Title here</h1>{body}</article>{extra}</body>", ["Title here"]),
+    ):
+        own = html_extraction.votes(page)
+        path = max(own, key=lambda x: x[1])[0]
+        assert html_extraction.main_text(page, path) == "\n\n".join(head + story)
+        assert html_extraction.main_text(page, None) == "\n\n".join(head + story)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_that_powers_of_two_confuse_are_told_apart(spark, n):
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+    other = "".join("ba"[bin(k).count("1") % 2] for k in range(n))
+    hashes = words_of(pa.array([f"{one} {other} {one.upper()}"]), lower=True).hashes
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    rest = " ".join(f"w{k}" for k in range(60))
+    none, few = [None] * 6, " ".join(f"v{k}" for k in range(15))
+    short = spark.createDataFrame([(1, f"{one} {few}", *none), (2, f"{other} {few}", *none)], SCHEMA)
+    assert [r.component_id for r in jaccard_join.joined(short, jaccard_join.Law(k=3, percent=90)).orderBy("doc_id").collect()] == [1, 2]
+    frame = spark.createDataFrame([(1, f"{one} {rest}", *none), (2, f"{other} {rest}", *none), (3, f"{one} x {rest}", *none)], SCHEMA)
+    cut = {r.doc_id: r.n_removed for r in substring_dedup.deduplicated(frame).collect()}
+    assert cut == {1: 0, 2: 60, 3: 60}
