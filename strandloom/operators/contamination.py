@@ -29,6 +29,8 @@ BINS = 4**WORD
 PASSES, HASH_START, HASH_FACTOR = 3, 0x811C9DC5, 0x01000193
 #: Profiles that are compared at once, entries of a block, and tasks over which a block's sequences are dealt.
 CHUNK, BLOCK, SPREAD = 512, 512, 32
+#: Called sequences up to which they are broadcast to their records; more are joined by a shuffle.
+BROADCAST_CALLS = 20_000
 
 
 class Thresholds(NamedTuple):
@@ -323,7 +325,9 @@ def calls(records: DataFrame, names: dict[int, str], panel: list[tuple[str, str]
         (is_primary & (F.col("own") > thresholds.distance)).alias("discarded"),
         (~is_primary).alias("suspect_only"),
     )
-    named = found.join(entries.select("order", F.col("label").alias("nearest")), "order")
+    named = written(found.join(entries.select("order", F.col("label").alias("nearest")), "order"), "named", folder)
+    # Many records may have one sequence, so what was found for sequences is broadcast while it is small.
+    named = F.broadcast(named) if named.count() <= BROADCAST_CALLS else named
     return deduplicated(both.select("sample_idx", "id", "asked").join(named, ["sample_idx", "asked"]).select("sample_idx", "id", "nearest", "distance", "discarded", "suspect_only"))
 
 

@@ -1,7 +1,8 @@
 """Raw amplicon reads derived from the line items of the test tables, and what the stages make of them.
 
 A molecule is a forward primer, one of its sample's three founders (in some families one of the next sample's) and, reversed and complemented, a sample's primer: adapter, identifier,
-tag and tail. Reads have replaced, missing and added letters, half of them are turned round, and some have lost an end.
+tag and tail. Reads have replaced, missing and added letters, half of them are turned round, some have lost an end, and in some
+families the tag reads badly.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, annotations, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
+from ..operators import alignment, annotations, assignment, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
 from ..operators.demultiplex import Gates, Sample
 from ..sources import sequences
 from ..sources.shared import shared_folder, written
@@ -22,12 +23,15 @@ ADAPTER, TAIL = "CCGCTCCGTCCGACG", "CAGTCATTGC"
 IDENTIFIERS = ("acgtca", "ctgatg", "gatcct", "tgcaga", "aagctg", "ccttag", "ggatac", "ttcgac")
 PRIMERS = ("TAGGATCATG", "GCTAGGATCATG", "TAGGATCATG", "GCTAGGATCATG", "ATTGACGATC", "CCATTGACGATC", "CCATTGACGATC", "CCATTGACGATC")
 SAMPLES = [Sample(f"S{k}", f"{ADAPTER}{i}NNNNNNNN{TAIL}", p) for k, (i, p) in enumerate(zip(IDENTIFIERS, PRIMERS))]
+ID_LENGTH, TAG_LENGTH = 6, 8
 ERROR, SHORT, LONG, MOST, LDA, FAMILY = 0.05, 80, 400, 100_000, 0.995, 2
 
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 AMPLICONS_SQL = f"""
 SELECT fam, founder_no, sample_no, tag, ordinal, molecule, read, CASE WHEN l_linenumber % 2 = 0 THEN reverse(translate(read, 'ACGT', 'TGCA')) ELSE read END AS sequence,
-  concat(repeat(chr(CAST(33 + q AS INT)), 30), repeat(chr(CAST(33 + (q + 9) % 41 AS INT)), CAST(length(read) - 30 AS INT))) AS quality FROM (
+  CASE WHEN l_linenumber % 2 = 0 THEN reverse(phred) ELSE phred END AS quality FROM (SELECT *, concat(repeat(chr(CAST(33 + q AS INT)), 30),
+    repeat(chr(CAST(33 + (q + 9) % 41 AS INT)), 54), repeat(chr(CAST(CASE WHEN fam % 53 = 0 THEN 37 ELSE 33 + (q + 9) % 41 END AS INT)), 10),
+    repeat(chr(CAST(33 + (q + 9) % 41 AS INT)), CAST(length(read) - 94 AS INT))) AS phred FROM (
   SELECT fam, founder_no, sample_no, tag, ordinal, l_linenumber, molecule, q, CASE
     WHEN edit % 29 = 0 THEN substr(molecule, 20, 1000)
     WHEN edit % 7 = 0 THEN concat(substr(molecule, 1, CAST(spot AS INT)), substr(molecule, CAST(spot + 2 AS INT), 1000))
@@ -44,7 +48,7 @@ SELECT fam, founder_no, sample_no, tag, ordinal, molecule, read, CASE WHEN l_lin
         (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 7919 + l_suppkey * 31 + CAST(l_quantity AS INT)) % 1000000 AS ordinal, l_linenumber, CAST(l_quantity AS INT) % 41 AS q, l_partkey % 1000 AS edit, (l_suppkey * 31 + l_linenumber) % 118 AS spot,
         substr(translate(md5(CAST(l_orderkey AS {{text}})), {_HEX}), 1, 8) AS tag
       FROM (SELECT *, l_orderkey % 8 AS sample_no, run % 3 + 3 * ((l_orderkey % 8 + CASE WHEN run % 41 = 0 THEN 1 ELSE 0 END) % 8) AS founder_no
-        FROM (SELECT *, CAST(floor(l_orderkey / 8) AS BIGINT) AS run FROM {{lineitem}}) r) o) a) b) c
+        FROM (SELECT *, CAST(floor(l_orderkey / 8) AS BIGINT) AS run FROM {{lineitem}}) r) o) a) b) c) d
 """
 
 
@@ -63,17 +67,46 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demultiplex.downsampled(assigned(spark, sf_dir).where("sample_idx IS NOT NULL"), MOST)
 
 
-def tag_families(reads: DataFrame) -> DataFrame:
-    """The tags of assigned reads with their disposition."""
-    return umi_model.families(ops.umi_counts(reads), LDA, FAMILY)
+def dispositions(reads: DataFrame) -> DataFrame:
+    """The tags of assigned reads with their disposition, families of two molecules (heteroduplex) told by their qualities."""
+    key = F.struct("sample_idx", "umi").alias("fam")
+    both = assignment.heteroduplexes(reads.select(key, "quality"), ID_LENGTH, ID_LENGTH + TAG_LENGTH).where("heteroduplex")
+    both = both.select(F.col("fam.sample_idx").cast("long").alias("sample_idx"), F.col("fam.umi").alias("umi"), "heteroduplex")
+    tags = umi_model.families(ops.umi_counts(reads), LDA, FAMILY).withColumn("sample_idx", F.col("sample_idx").cast("long"))
+    is_both = F.coalesce("heteroduplex", F.lit(False)) & (F.col("umi") != umi_model.REJECTS)
+    joined = tags.join(both, ["sample_idx", "umi"], "left")
+    return joined.withColumn("disposition", F.when(is_both, "heteroduplex").otherwise(F.col("disposition"))).drop("heteroduplex")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sample_idx, umi, family_size, sequence, agreement, sites of the families that are likely real."""
+def judged_families(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Families with their disposition, and the records of those that are likely real."""
     reads = written(kept(spark, sf_dir), "assigned")
-    real = tag_families(reads).where("disposition = 'likely_real'").select(F.col("sample_idx").cast("int").alias("sample_idx"), "umi")
+    families = written(dispositions(reads), "families")
+    real = families.where("disposition = 'likely_real'").select(F.col("sample_idx").cast("int").alias("sample_idx"), "umi")
     primers = {k: s.cdna_primer[len(ADAPTER) :].upper() for k, s in enumerate(SAMPLES)}
-    return consensus.family_consensus(reads.join(real, ["sample_idx", "umi"], "left_semi"), ["sample_idx", "umi"], primers)
+    return families, consensus.family_consensus(reads.join(real, ["sample_idx", "umi"], "left_semi"), ["sample_idx", "umi"], primers)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_idx, umi, family_size, sequence, agreement, sites of the families that are likely real."""
+    return judged_families(spark, sf_dir)[1]
+
+
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_idx, umi, parent, family_size, probability, disposition, and the agreement of families that have a record."""
+    tags, found = judged_families(spark, sf_dir)
+    own = found.select(F.col("sample_idx").cast("long").alias("sample_idx"), "umi", "agreement")
+    return tags.join(own, ["sample_idx", "umi"], "left").select("sample_idx", "umi", "parent", "family_size", "probability", "disposition", "agreement")
+
+
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each sample: its families and reads by disposition, and its records and their mean agreement."""
+    kinds = ("likely_real", "heteroduplex", "BPB-rejects", "LDA-rejects", "UMI_len != 8", "family-size-reject")
+    name = lambda kind: kind.replace("-", "_").replace(" != 8", "").lower()
+    is_kind = lambda kind: F.col("disposition") == kind
+    counts = [F.count_if(is_kind(k)).alias(f"{name(k)}_families") for k in kinds] + [F.coalesce(F.sum(F.when(is_kind(k), F.col("family_size"))), F.lit(0)).alias(f"{name(k)}_reads") for k in kinds]
+    found = families(spark, sf_dir).groupBy("sample_idx").agg(F.sum("family_size").alias("reads"), F.count("*").alias("families"), *counts, F.count("agreement").alias("records"), F.avg("agreement").alias("mean_agreement"))
+    return found.withColumn("mean_agreement", F.round("mean_agreement", 6))
 
 
 def identified(found: DataFrame) -> DataFrame:
@@ -155,6 +188,8 @@ QUERIES = {
     "demultiplexed_reads": (lambda s, d: assigned(s, d).select("ordinal", "status", "sample_idx", "umi", "tag_errors"), None),
     "read_stages": (lambda s, d: demultiplex.status_counts(assigned(s, d)), None),
     "seeded_alignments": (_aligned, None),
+    "family_dispositions": (families, None),
+    "stage_overview": (overview, None),
     "family_consensus": (records, None),
     "contamination_calls": (lambda s, d: contaminants(identified(records(s, d))), None),
     "panel_scores": (lambda s, d: panel.panel_scores(identified(records(s, d)).select("id", "sequence"), PANEL, PANEL_THRESHOLD), None),

@@ -600,3 +600,38 @@ def test_filters_follow_calls_and_panel(spark):
         assert r.panel_pass == (r.panel_score < amplicons.PANEL_THRESHOLD) and r.passed == (r.artefact_pass and r.agreement_pass and r.contamination_pass and r.panel_pass)
         assert ("distance_from_panel >= 4.0" in r.reasons) == (not r.panel_pass)
     assert {r.panel_pass for r in rows} == {True, False}
+
+
+def test_dispositions_follow_model_and_qualities(spark):
+    reads = amplicons.kept(spark, DATA).cache()
+    rows = amplicons.QUERIES["family_dispositions"][0](spark, DATA).collect()
+    made = defaultdict(list)
+    for r in reads.collect():
+        made[r.sample_idx, r.umi].append(r.quality)
+
+    def is_both(qualities):
+        if any(len(q) < 50 for q in qualities):
+            return False
+        mean = [sum(max(0, ord(q[k]) - 33) for q in qualities) / len(qualities) for k in range(50)]
+        tag, after = mean[6:14], mean[18:39]
+        a, b = sum(tag) / 8, sum(after) / 21
+        pooled = math.sqrt((sum((x - a) ** 2 for x in tag) + sum((x - b) ** 2 for x in after)) / 27)
+        if a >= b or min(tag) >= b / 2:
+            return False
+        t = (b - a) / (pooled * math.sqrt(1 / 8 + 1 / 21)) if pooled else math.inf
+        size = math.gamma(14) / (math.sqrt(27 * math.pi) * math.gamma(13.5))
+        x = np.linspace(0, min(t, 50), 20_001)
+        inner = np.trapezoid(size * (1 + x * x / 27) ** -14, x)
+        return 1 - 2 * inner < 1 / (5 * len(qualities) ** 2)
+
+    assert len(rows) == len(made) and all(r.family_size == len(made[r.sample_idx, r.umi]) for r in rows)
+    found = {(r.sample_idx, r.umi) for r in rows if r.disposition == "heteroduplex"}
+    assert found and found == {k for k, q in made.items() if k[1] != "REJECTS" and is_both(q)}
+    model = {(r.sample_idx, r.umi): r.disposition for r in umi_model.families(reads.groupBy("sample_idx", "umi").agg(F.count("*").alias("family_size")), amplicons.LDA, amplicons.FAMILY).collect()}
+    assert all(r.disposition == model[r.sample_idx, r.umi] for r in rows if (r.sample_idx, r.umi) not in found)
+    assert {(r.sample_idx, r.umi) for r in rows if r.agreement is not None} == {(r.sample_idx, r.umi) for r in rows if r.disposition == "likely_real"}
+    for r in amplicons.QUERIES["stage_overview"][0](spark, DATA).collect():
+        own = [x for x in rows if x.sample_idx == r.sample_idx]
+        assert (r.families, r.reads, r.records) == (len(own), sum(x.family_size for x in own), sum(x.agreement is not None for x in own))
+        assert r.heteroduplex_families == sum(x.disposition == "heteroduplex" for x in own) and r.lda_rejects_reads == sum(x.family_size for x in own if x.disposition == "LDA-rejects")
+    reads.unpersist()
