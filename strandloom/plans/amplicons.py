@@ -12,7 +12,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, annotations, assignment, consensus, contamination, demultiplex, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
+from ..operators import alignment, annotations, assignment, consensus, contamination, demultiplex, functional, msa, panel, phylogeny, posteriors, reads as ops, reports, umi_model
 from ..operators.demultiplex import Gates, Sample
 from ..sources import sequences
 from ..sources.shared import shared_folder, written
@@ -170,6 +170,12 @@ def admitted_on_a_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.settled(found, rows.groupBy("sample_idx").agg(F.count("*").alias("n")), STREAM_MOST).select("ordinal", "sample_idx")
 
 
+def functional_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Haplotypes judged by their longest frames against that of a founder."""
+    rows = written(haplotypes(spark, sf_dir), "haplotypes")
+    return functional.functional_filter(rows, "sample_idx", REFERENCE, "haplotype")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = amplicons(spark, sf_dir).select("ordinal", F.col("molecule").alias("reference"), F.col("read").alias("query"))
     return alignment.global_alignments(pairs, "seeded").select("ordinal", "aligned_reference", "aligned_query")
@@ -181,6 +187,9 @@ STREAM_FILES, STREAM_MOST = 8, 2_000
 #: The founders of the first sample.
 PANEL = founders([0, 1, 2])
 
+#: The longest frame that a founder has.
+REFERENCE = max((annotations.longest_orf(x) or "" for x in founders(list(range(24)))), key=len)
+
 #: Dynamic programs, EM and clustering are beyond SQL; tests compare them with plain versions on the test tables.
 QUERIES = {
     "fastq_reads": (through_fastq, f"SELECT CAST(ordinal AS VARCHAR) AS name, sequence, quality FROM ({AMPLICONS_SQL.format(text='VARCHAR', lineitem='lineitem')})"),
@@ -195,6 +204,7 @@ QUERIES = {
     "panel_scores": (lambda s, d: panel.panel_scores(identified(records(s, d)).select("id", "sequence"), PANEL, PANEL_THRESHOLD), None),
     "sample_alignments": (aligned_haplotypes, None),
     "sample_trees": (lambda s, d: phylogeny.trees(aligned_haplotypes(s, d), "sample_idx"), None),
+    "functional_filter": (functional_haplotypes, None),
     "hypermutation": (hypermutated, None),
     "distance_map": (lambda s, d: posteriors.distance_map(aligned_haplotypes(s, d), "sample_idx"), None),
     "consensus_filters": (lambda s, d: judged(s, d).select("fam", "sample_idx", "family_size", "panel_score", *annotations.PASSES, "passed", "reasons"), None),
