@@ -64,7 +64,7 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assigned reads, down-sampled."""
-    return demultiplex.downsampled(assigned(spark, sf_dir).where("sample_idx IS NOT NULL"), MOST)
+    return demultiplex.downsampled(written(assigned(spark, sf_dir).where("sample_idx IS NOT NULL"), "demultiplexed"), MOST)  # read twice
 
 
 def dispositions(reads: DataFrame) -> DataFrame:
