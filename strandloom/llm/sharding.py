@@ -2,11 +2,11 @@
 
 Rows with equal texts form one atomic group; groups are ordered by a 60-bit prefix of the text's SHA-256. A binary
 search finds the smallest capacity at which a greedy walk fits all groups into the shards. The walk needs prefix sums of
-group sizes, which are too many to gather. So it runs on sums over key ranges: BITS bits of the key first, then, only for
-ranges in which some cut may still fall, the next BITS bits, until every such range is a single group. Two walks bracket
-each cut: one that fills ranges whole, and one that pours those of several groups like a liquid. Ranges that are large
-because of a large group are split first, so brackets are a few ranges wide, and what reaches the driver depends on the
-number of shards and not on the rows.
+group sizes, which are too many to gather. So it runs on sums over key ranges, BITS bits of the key first. Ranges of several
+groups are poured like a liquid, which bounds the capacity from below; where a walk at that bound cuts into such ranges, they
+are split by the next BITS bits, and the bound rises, until a walk that fills ranges whole keeps to it: then it is the
+smallest capacity. A level splits at most one range a cut, so what reaches the driver depends on the number of shards and
+the length of keys, not on the rows.
 
 Of the cuts that the smallest capacity allows, those nearest to even shares of what is left are taken, as a greedy walk
 would leave the last shards empty where one group is larger than an even share.
@@ -27,7 +27,9 @@ from pyspark.sql.window import Window
 from .storage import written
 
 KEY_BITS = 60
-BITS = 10
+BITS = 7
+#: Cuts in favour of even shares are as fine as this part of a share.
+EVEN = 1000
 #: Ranges of document ids in which slots are counted on their own.
 SLOT_RANGES = 1024
 
@@ -103,24 +105,29 @@ def _smallest(ranges: list[Range], shards: int, pour: bool = False) -> int:
     return low
 
 
-def _open(ranges: list[Range], shards: int) -> list[Range]:
-    """Ranges of several groups that must be split before the cuts are known."""
-    total = sum(r.size for r in ranges)
-    fat = [r for r in ranges if r.groups > 1 and r.size * 8 * shards > total]
-    if fat:
-        return fat
-    needed, enough = _smallest(ranges, shards, pour=True), _smallest(ranges, shards)
-    if needed == enough:
-        return []
-    # a cut moves right with the capacity, and pouring puts it further right than filling whole ranges does
-    first, last = _walk(ranges, shards, needed)[1], _walk(ranges, shards, enough, pour=True)[1]
-    spans = list(zip(first, last + [total] * (len(first) - len(last))))
-    out, at = [], 0
+def _at(ranges: list[Range], cuts: list[int]) -> list[Range]:
+    """Ranges of several groups that have one of these places inside."""
+    ends, at = [], 0
     for r in ranges:
-        if r.groups > 1 and any(at <= high and at + r.size >= low for low, high in spans):
-            out.append(r)
         at += r.size
-    return out
+        ends.append(at)
+    inside = {i for cut in cuts if (i := bisect.bisect_right(ends, cut)) < len(ends) and ends[i] - ranges[i].size < cut}
+    return [ranges[i] for i in sorted(inside) if ranges[i].groups > 1]
+
+
+def _open(ranges: list[Range], shards: int) -> list[Range]:
+    """Ranges of several groups that must be split before the smallest capacity is known, at most one for each cut."""
+    bound = _smallest(ranges, shards, pour=True)
+    if _walk(ranges, shards, bound)[0]:
+        return []
+    return _at(ranges, _walk(ranges, shards, bound, pour=True)[1])
+
+
+def _uneven(ranges: list[Range], shards: int, capacity: int) -> list[Range]:
+    """Ranges next to the even cuts that are too large to cut beside them, at most two for each cut."""
+    least = sum(r.size for r in ranges) / (shards * EVEN)
+    beside = {i for cut in _even(ranges, shards, capacity) for i in (cut - 1, cut)}
+    return [ranges[i] for i in sorted(beside) if 0 <= i < len(ranges) and ranges[i].groups > 1 and ranges[i].size > least]
 
 
 def _share(sizes: list[int], shards: int) -> float:
@@ -157,12 +164,18 @@ def _even(ranges: list[Range], shards: int, capacity: int) -> list[int]:
 def planned(groups: DataFrame, shards: int) -> Plan:
     """Cuts for groups (key, size), each key once."""
     ranges = sorted(_ranges(groups, None))
-    while todo := _open(ranges, shards):
+
+    def split(todo: list[Range]) -> list[Range]:
         level = min(r.bits for r in todo)
         todo = [r for r in todo if r.bits == level]
         gone = set(todo)
-        ranges = sorted([r for r in ranges if r not in gone] + _ranges(groups, todo))
-    capacity = _smallest(ranges, shards)
+        return sorted([r for r in ranges if r not in gone] + _ranges(groups, todo))
+
+    while todo := _open(ranges, shards):
+        ranges = split(todo)
+    capacity = _smallest(ranges, shards, pour=True)
+    while todo := _uneven(ranges, shards, capacity):
+        ranges = split(todo)
     ends = [ranges[i].first if i < len(ranges) else 1 << KEY_BITS for i in _even(ranges, shards, capacity)]
     return Plan([*ends, 1 << KEY_BITS], capacity)
 
