@@ -118,31 +118,41 @@ class Block:
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int | None, list[int]]] = []
-        self.seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        # by seed: where it starts in the row of all items' words
+        self.seeds: dict[tuple[int, ...], list[int]] = defaultdict(list)
         self.short: set[int] = set()
+        size = 0
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
             if not ids:
                 continue
-            place = len(self.items)
             self.items.append((item_id, ids))
             n = min(SEED, len(ids))
             self.short |= {n} if n < SEED else set()
             for i in range(len(ids) - n + 1):
-                self.seeds[tuple(ids[i : i + n])].add(place)
+                self.seeds[tuple(ids[i : i + n])].append(size + i)
+            size += len(ids)
+        self.ends = np.cumsum([len(ids) for _, ids in self.items], dtype=np.int64)
 
-    def found(self, text: str | None, least_coverage: float) -> list[Found]:
-        known = self.vocabulary.get
-        doc = [known(w, -1) for w in words(text)]
-        hits: set[int] = set()
-        near = np.array(doc, np.int64) >= 0
+    def _reachable(self, doc: list[int], least_coverage: float) -> list[int]:
+        """Places of the items of which shared seeds cover enough words."""
+        near, covered = np.array(doc, np.int64) >= 0, []
         for n in (SEED, *sorted(self.short)):
             if len(doc) >= n:
                 sums = np.concatenate(([0], np.cumsum(near)))
-                for i in np.flatnonzero(sums[n:] - sums[:-n] == n).tolist():
-                    hits |= self.seeds.get(tuple(doc[i : i + n]), set())
+                seeds = {tuple(doc[i : i + n]) for i in np.flatnonzero(sums[n:] - sums[:-n] == n).tolist()}
+                starts = [x for seed in seeds for x in self.seeds.get(seed, ())]
+                covered.append((np.array(starts, np.int64)[:, None] + np.arange(n)).ravel())
+        if not covered or not len(at := np.unique(np.concatenate(covered))):
+            return []
+        place, words = np.unique(np.searchsorted(self.ends, at, side="right"), return_counts=True)
+        return [p for p, n in zip(place.tolist(), words.tolist()) if n >= least_coverage * len(self.items[p][1])]
+
+    def found(self, text: str | None, least_coverage: float) -> list[Found]:
+        known = self.vocabulary.get
+        doc = [known(w, -1) for w in words(text)]
         out = []
-        for place in sorted(hits):
+        for place in self._reachable(doc, least_coverage):
             item_id, item = self.items[place]
             mine = set(item)
             got = tiles(item, [x if x in mine else -1 for x in doc])
@@ -190,15 +200,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, blo
     return out
 
 
-def is_leaked(text: Column, benchmark: DataFrame, coverage: float = COVERAGE) -> Column:
-    """Whether a text contains an item of the test set."""
-    out = F.lit(False)
-    for block in blocks(benchmark):
-        shared = benchmark.sparkSession.sparkContext.broadcast(block)
+def _leaked(shared, coverage: float):
+    @F.pandas_udf("boolean")
+    def leaked(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(shared.value.found(t, coverage)) for t in texts])
+
+    return leaked
 
-        @F.pandas_udf("boolean")
-        def leaked(texts: pd.Series) -> pd.Series:
-            return pd.Series([bool(shared.value.found(t, coverage)) for t in texts])  # noqa: B023
 
-        out = out | leaked(text)
+def is_leaked(text: Column, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> Column:
+    """Whether a text contains an item of the test set."""
+    out = F.lit(False)
+    for block in blocks(benchmark, block_bytes):
+        out = out | _leaked(benchmark.sparkSession.sparkContext.broadcast(block), coverage)(text)
     return out

@@ -240,6 +240,37 @@ def test_minimax_with_a_large_group_stays_contiguous_and_collects_little(spark,
         assert loads.max() == plan.capacity < 1.12 * total / 8
 
 
+@pytest.mark.parametrize("n", [60_000, 300_000, 1_000_000])
+def test_minimax_search_gathers_no_more_ranges_for_more_groups(monkeypatch, n):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 60, n))
+    sizes = np.full(len(keys), 100)
+    sizes[n // 3] = int(0.11 / 0.89 * sizes.sum())
+    gathered = []
+
+    def ranges(_, within):
+        bits = sharding.BITS if within is None else within[0].bits + sharding.BITS
+        inside = np.ones(len(keys), bool) if within is None else np.isin(keys >> (60 - within[0].bits), [r.first >> (60 - within[0].bits) for r in within])
+        found, at = np.unique(keys[inside] >> (60 - bits), return_inverse=True)
+        out = [sharding.Range(b << (60 - bits), bits, int(s), c) for b, s, c in zip(found.tolist(), np.bincount(at, sizes[inside]), np.bincount(at).tolist())]
+        gathered.append(len(out))
+        return out
+
+    monkeypatch.setattr(sharding, "_ranges", ranges)
+    plan = sharding.planned(None, 8)
+    assert sum(gathered) < 5_000 and len(gathered) < 12
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+
+    def fits(capacity):
+        at = 0
+        for _ in range(8):
+            at = np.searchsorted(sums, sums[at] + capacity, side="right") - 1
+        return at == len(sizes)
+
+    assert fits(plan.capacity) and not fits(plan.capacity - 1)
+    assert np.bincount(np.searchsorted(plan.ends, keys, side="right"), weights=sizes, minlength=8).max() <= plan.capacity
+
+
 def test_packing_round_trip(docs, rows, nothing):
     from tokenizers import Tokenizer
 
@@ -328,6 +359,30 @@ def test_tiling_takes_every_item_and_short_runs(spark):
     assert [r.doc_id for r in docs.where(~decontamination.is_leaked(docs.text, bench)).collect()] == [5]
 
 
+def test_items_that_share_only_a_common_run_are_not_tiled(spark, monkeypatch):
+    rng, run = np.random.default_rng(6), "what is the value of"
+    own = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 50_000, n))
+    items = [f"{own(48)} {run} {own(48)}" for _ in range(2_000)]
+    text = f"{own(3_000)} {run} {own(2_000)} {items[70]} {run}"
+    block = decontamination.Block(list(enumerate(items)))
+    tiled, real = [], decontamination.tiles
+    monkeypatch.setattr(decontamination, "tiles", lambda *a: tiled.append(1) or real(*a))
+    began = time.perf_counter()
+    assert [f.item_id for f in block.found(text, 0.6)] == [70] and time.perf_counter() - began < 0.5 and len(tiled) == 1
+    # the bound loses nothing that tiling every item would find
+    for least in (0.05, 0.3, 0.6):
+        some, doc = items[:40], " ".join([*items[3].split()[10:70], "x", *items[9].split()[:31], "y", *items[9].split()[60:], run])
+        ids: dict[str, int] = {}
+        numbers = [[ids.setdefault(w, len(ids)) for w in t.split()] for t in some]
+        words = [ids.get(w, -1) for w in doc.split()]
+        brute = [k for k, n in enumerate(numbers) if sum(x for *_, x in real(n, [w if w in set(n) else -1 for w in words])) >= least * len(n)]
+        assert [f.item_id for f in decontamination.Block(list(enumerate(some))).found(doc, least)] == brute
+    docs = spark.createDataFrame([(1, items[5]), (2, items[1990]), (3, run), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert len(list(decontamination.blocks(bench, 40 << 20))) == 3
+    assert sorted(r.doc_id for r in docs.where(decontamination.is_leaked(docs.text, bench, block_bytes=40 << 20)).collect()) == [1, 2]
+
+
 def test_secret_patterns_and_network(spark, docs):
     text = 'é password: "abc12/", TOKEN=short1 token=x AKIA' + "A1" * 10 + " " + "0af" * 9
     spans = secret_scan.base_spans(text)
