@@ -8,9 +8,11 @@ PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per h
    passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
    documents of a shard are dealt out in blocks. A block's task compiles the shard's phrases, taken from the texts where they
    first occur, into an Aho-Corasick automaton over words, and streams its documents through it, which locates every
-   occurrence. Windows anchored there are the candidates.
+   occurrence. Windows whose anchor lies at a located place are the candidates.
 3. Candidates are confirmed by two independent 64-bit hashes of all their words: a window goes where it also starts in a
-   document with a smaller doc_id.
+   document with a smaller doc_id. All places of a window are in one shard, that of its anchor, so a block's task settles
+   what its own documents repeat and returns runs of starts. Where a shard has several blocks, the first document of each
+   window in each block is compared over the blocks.
 
 Texts equal word for word are one class; only its first document goes through the steps, as all others repeat it.
 
@@ -35,8 +37,8 @@ WINDOW = 50
 PHRASE = 8
 SYMBOLS = 4
 SHARD_PHRASES = 10_000
-#: Documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
-BLOCK_DOCUMENTS = 1_000
+#: Words of the documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
+BLOCK_WORDS = 2_000_000
 
 
 def _running_minimum(x: np.ndarray, n: int) -> np.ndarray:
@@ -131,40 +133,74 @@ def _phrase_rows(phrase: int):
     return run
 
 
+class Candidates:
+    """Candidate windows of one block."""
+
+    def __init__(self) -> None:
+        self.columns: list[list[np.ndarray]] = [[], [], [], [], []]
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, doc_id: int, key: int, at: np.ndarray) -> None:
+        for column, value in zip(self.columns, (h1, h2, np.full(len(at), doc_id), np.full(len(at), key), at)):
+            column.append(value)
+
+    def settled(self, alone: bool) -> pa.RecordBatch:
+        """Runs of n starts that go, as an earlier document of the block has the same windows (h1 and h2 null). Unless
+        the block is alone in its shard also each window of a document that is the first to have it, with its hashes."""
+        h1, h2, doc_id, key, at = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in self.columns)
+        order = np.lexsort((doc_id, h2, h1))
+        new = np.ones(len(order), bool)
+        new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        least = np.zeros(len(order), np.int64)
+        least[order] = doc_id[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+        gone, open_ = np.flatnonzero(doc_id > least), np.flatnonzero((doc_id == least) & (not alone))
+        gone = gone[np.lexsort((at[gone], key[gone], doc_id[gone]))]
+        fresh = np.ones(len(gone), bool)
+        x, y = gone[1:], gone[:-1]
+        fresh[1:] = (doc_id[x] != doc_id[y]) | (key[x] != key[y]) | (at[x] > at[y] + 1)
+        heads = gone[fresh]
+        lasts = at[gone[np.append(fresh[1:], True)]] if len(gone) else at[gone]
+        none = pa.nulls(len(heads), pa.int64())
+        columns = [pa.concat_arrays([none, pa.array(h[open_].astype(np.int64), pa.int64())]) for h in (h1, h2)]
+        columns += [pa.array(np.concatenate([c[heads], c[open_]]), pa.int64()) for c in (doc_id, key, at)]
+        columns.append(pa.array(np.concatenate([lasts - at[heads] + 1, np.ones(len(open_), np.int64)]), pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "key", "at", "n"])
+
+
 def _located(window: int, phrase: int):
-    """(h1, h2, doc_id, key, at) of windows anchored at phrases that the automaton locates.
+    """Settled candidates of each block: windows whose lowest phrase the automaton locates.
 
     Rows are sorted by (shard, block); in each block those with phrases to compile come before the documents to stream.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton = None, PhraseAutomaton(phrase)
+        now, automaton, found, alone = None, PhraseAutomaton(phrase), Candidates(), True
         for batch in batches:
             texts, ids, symbols, hashed = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("symbols"), batch.column("hashes")
-            places = list(zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist()))
+            places = list(zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), batch.column("blocks").to_pylist()))
             for a, b in slices(texts):
                 words, more = words_of(texts.slice(a, b - a)), words_of(texts.slice(a, b - a), which=1)
                 grams = window_hashes(words.hashes, phrase)
                 low = _running_minimum(grams, window - phrase + 1) if len(words.hashes) >= window else grams[:0]
                 h1, h2 = window_hashes(words.hashes, window), window_hashes(more.hashes, window, which=1)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k, (first, end) in enumerate(zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist()), a):
                     if places[k] != now:
-                        now, automaton = places[k], PhraseAutomaton(phrase)
+                        yield found.settled(alone)
+                        now, automaton, found, alone = places[k], PhraseAutomaton(phrase), Candidates(), places[k][2] == 1
                     if symbols[k].is_valid:
                         for value, own in zip(symbols[k].as_py(), hashed[k].values.to_numpy().view(np.uint64).tolist()):
                             automaton.add(value, own)
                     if end - first < window:
                         continue
                     starts, hashes = automaton.located(_symbols(words.hashes[first:end]))
-                    hashes = hashes[grams[first + starts] == hashes]
-                    at = np.flatnonzero(np.isin(low[first : end - window + 1], hashes)) if len(hashes) else np.zeros(0, np.int64)
-                    if len(at):
-                        key = np.full(len(at), _key(_digest(texts[k])))
-                        for column, value in zip(out, (h1[first + at].view(np.int64), h2[first + at].view(np.int64), np.full(len(at), ids[k]), key, at)):
-                            column.append(value)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h1", "h2", "doc_id", "key", "at"])
+                    starts = first + starts[grams[first + starts] == hashes]
+                    if not len(starts):
+                        continue
+                    # the lowest phrase among the located ones of each window, against the lowest of all
+                    there = np.full(end - first - phrase + 1, np.iinfo(np.uint64).max)
+                    there[starts - first] = grams[starts]
+                    at = np.flatnonzero(_running_minimum(there, window - phrase + 1) == low[first : end - window + 1])
+                    found.add(h1[first + at].view(np.int64), h2[first + at].view(np.int64), ids[k], _key(_digest(texts[k])), at)
+        yield found.settled(alone)
 
     return run
 
@@ -179,9 +215,9 @@ def _kept(window: int):
                 own.append(i)
                 words = bytes(text.as_buffer()).split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                at = starts.values.to_numpy()
+                at, n = (starts.values.field(f).to_numpy() for f in ("at", "n"))
                 np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
+                np.add.at(gone, at + n - 1 + window, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 removed.append(int(gone.sum()))
@@ -195,22 +231,22 @@ def _kept(window: int):
 
 
 def occurrences(own: DataFrame, anchors: DataFrame, shared: DataFrame, window: int, phrase: int, tables: Tables) -> DataFrame:
-    """Candidate windows of all documents (doc_id, text): those anchored at a recurring phrase (anchor, first, n)."""
+    """What blocks of documents (doc_id, text) settle of the windows anchored at a recurring phrase (anchor, first, n)."""
     shards = max(1, -(-shared.count() // SHARD_PHRASES))
     phrases = shared.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
     compiled = phrases.groupBy("shard", F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("phrases"))
-    routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables).select("doc_id", "shard").distinct()
-    routes = tables.written(routes, "routes")
-    sizes = routes.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
+    routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables)
+    routes = tables.written(routes.groupBy("doc_id", "shard").agg(F.max("n_words").alias("n_words")), "routes")
+    sizes = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)).cast("int").alias("blocks"))
     rows = own.join(compiled, "doc_id").select("text", "shard", "phrases").mapInArrow(_phrase_rows(phrase), "shard int, symbols array<string>, hashes array<long>")
     rows = tables.written(rows, "compiled")
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    sources = rows.join(sizes, "shard").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "shard", blocks, "symbols", "hashes")
-    stream = routes.join(sizes, "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    sources = rows.join(sizes, "shard").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "shard", "blocks", blocks, "symbols", "hashes")
+    stream = routes.join(sizes, "shard").select("doc_id", "shard", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     none = [F.lit(None).cast("array<string>").alias("symbols"), F.lit(None).cast("array<bigint>").alias("hashes")]
-    texts = own.join(stream, "doc_id").select("doc_id", "text", "shard", "block", *none)
+    texts = own.join(stream, "doc_id").select("doc_id", "text", "shard", "blocks", "block", *none)
     both = sources.unionByName(texts).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("doc_id").isNotNull())
-    return both.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long")
+    return both.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long, n long")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -221,14 +257,16 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, do
     long = rows.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     classes = tables.written(long.groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
     firsts = long.join(classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    anchors = tables.written(firsts.select("doc_id", F.explode("anchors").alias("anchor")), "anchors")
+    anchors = tables.written(firsts.select("doc_id", "n_words", F.explode("anchors").alias("anchor")), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     shared = tables.written(shared.where("first <> last").drop("last"), "phrases")
     windows = tables.written(occurrences(own, anchors, shared, window, phrase, tables), "windows")
-    tables.drop(anchors, shared)
+    tables.keep(rows, classes, windows)
+    settled, windows = windows.where("h1 is null").select("doc_id", "key", "at", "n"), windows.where("h1 is not null").drop("n")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     first = tables.written(first.where("first <> last").drop("last"), "confirmed")
-    starts = joined_on(windows, first, ["h1", "h2"], tables).where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("at").alias("starts"))
+    later = joined_on(windows, first, ["h1", "h2"], tables).where("doc_id > first").select("doc_id", "key", "at", F.lit(1).cast("long").alias("n"))
+    starts = settled.unionByName(later).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
     cut = own.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         cut = cut.drop("kept")

@@ -194,6 +194,55 @@ def test_substring_dedup(docs, rows, nothing):
     assert substring_dedup.deduplicated(nothing[0]).count() == 0
 
 
+@pytest.mark.parametrize("words", [2_000_000, 3_000])
+def test_substring_dedup_over_blocks(spark, monkeypatch, words):
+    rng = np.random.default_rng(12)
+    own = lambda n: [f"w{i}" for i in rng.integers(0, 10_000, n)]
+    hot, other, docs = own(70), own(120), []
+    for k in range(120):
+        docs.append((k * 7 % 120, " ".join([*own(60), *hot[k % 15 :], *own(10), *(other if k % 3 else other[:80]), *own(40), *(hot if k == 30 else [])])))
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", words)
+    first = {}
+    for doc_id, text in docs:
+        w = text.split()
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])] = min(doc_id, first.get(tuple(w[i : i + 50]), doc_id))
+    want = {}
+    for doc_id, text in docs:
+        w = text.split()
+        gone = {i + k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < doc_id for k in range(50)}
+        want[doc_id] = (len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest())
+    got = substring_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_substring_windows_follow_the_places_that_the_automaton_gives(monkeypatch):
+    hot = [f"h{i}" for i in range(60)]
+    texts = [" ".join([f"a{k}x{i}" for i in range(30)] + hot + [f"b{k}x{i}" for i in range(30)]) for k in range(2)]
+    words = substring_dedup.words_of(pa.array([" ".join(hot)]))
+    grams = substring_dedup.window_hashes(words.hashes, 8)
+    symbols = [substring_dedup._symbols(words.hashes[i : i + 8]) for i in range(53)]
+    rows = {
+        "doc_id": pa.array([None, 1, 2], pa.int64()), "text": pa.array([None, *texts], pa.string()),
+        "shard": pa.array([0] * 3, pa.int32()), "blocks": pa.array([1] * 3, pa.int32()), "block": pa.array([0] * 3, pa.int32()),
+        "symbols": pa.array([symbols, None, None], pa.list_(pa.string())), "hashes": pa.array([grams.view(np.int64).tolist(), None, None], pa.list_(pa.int64())),
+    }
+    found = lambda: [r for b in substring_dedup._located(50, 8)([pa.RecordBatch.from_pydict(rows)]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["at"], r["n"]) for r in found()] == [(2, 30, 11)]
+    real = substring_dedup.PhraseAutomaton.located
+    low = substring_dedup._running_minimum(grams, 43)
+    lost = int(np.flatnonzero(grams == low[4])[0]) + 30
+
+    def without_one(self, text):
+        starts, hashes = real(self, text)
+        return starts[starts != lost], hashes[starts != lost]
+
+    monkeypatch.setattr(substring_dedup.PhraseAutomaton, "located", without_one)
+    assert sum(r["n"] for r in found()) == 11 - int((low == low[4]).sum()) < 11
+    monkeypatch.setattr(substring_dedup.PhraseAutomaton, "located", lambda self, text: (np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+    assert found() == []
+
+
 def test_sharding(spark, docs, rows, nothing):
     got = sharding.sharded(docs, 4).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
