@@ -1,7 +1,7 @@
 """Substring dedup: repeated-phrase automata over words.
 
 A passage that recurs is at least WINDOW words long. Two texts that share such a window share its anchor, the phrase of
-PHRASE words that hashes lowest in it (as in winnowing), so anchors, a few per hundred words, find what may recur:
+PHRASE words that hashes lowest in it (as in winnowing), so anchors, a handful per hundred words, find what may recur:
 
 1. Every text gives its anchors. Those that occur in several texts are the recurring phrases.
 2. Recurring phrases are dealt out to shards of SHARD_PHRASES by the document in which they first occur, so that those of one
@@ -34,7 +34,8 @@ from .storage import Tables, joined_on
 from .words import slices, window_hashes, words_of
 
 WINDOW = 50
-PHRASE = 8
+#: About half a window: texts that share so much mostly share a window, while shorter phrases recur ever more often as the corpus grows.
+PHRASE = 24
 SYMBOLS = 4
 SHARD_PHRASES = 10_000
 #: Words of the documents that one automaton meets; more of a shard's documents go to other tasks with the same automaton.
