@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Tables, joined_on
+from .storage import Tables, joined_on, small_side
 from .words import slices, window_hashes, words_of
 
 WINDOW = 50
@@ -238,6 +238,7 @@ def occurrences(own: DataFrame, anchors: DataFrame, shared: DataFrame, window: i
     compiled = phrases.groupBy("shard", F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("phrases"))
     routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables)
     routes = tables.written(routes.groupBy("doc_id", "shard").agg(F.max("n_words").alias("n_words")), "routes")
+    tables.drop(anchors)
     sizes = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)).cast("int").alias("blocks"))
     rows = own.join(compiled, "doc_id").select("text", "shard", "phrases").mapInArrow(_phrase_rows(phrase), "shard int, symbols array<string>, hashes array<long>")
     rows = tables.written(rows, "compiled")
@@ -268,7 +269,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, do
     first = tables.written(first.where("first <> last").drop("last"), "confirmed")
     later = joined_on(windows, first, ["h1", "h2"], tables).where("doc_id > first").select("doc_id", "key", "at", F.lit(1).cast("long").alias("n"))
     starts = settled.unionByName(later).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "n")).alias("starts"))
-    cut = own.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
+    starts = tables.written(starts, "starts")
+    # texts from which nothing goes are not shuffled
+    cut = own.join(small_side(starts.select("doc_id").distinct()), "doc_id", "left_semi")
+    cut = cut.join(starts, "doc_id").mapInArrow(_kept(window), "doc_id long, key long, n_removed long, kept_sha256 string, kept string")
     if not with_text:
         cut = cut.drop("kept")
     cut = tables.written(cut.dropDuplicates(["doc_id", "key"]), "cut")
