@@ -31,6 +31,54 @@ def filter_stats(records: DataFrame) -> DataFrame:
     return wide.select("sample_idx", F.inline(F.array(*map(row, groups))))
 
 
+# How the reasons of the functional filter begin, by row of the report.
+FUNCTIONAL_REASONS = {
+    "ambiguous": "ambiguousSymbols-reject",
+    "no-orf": "noORF-reject",
+    "frameshift": "frameshift-reject",
+    "late-start": "lateStart-reject",
+    "early-stop": "earlyStop-reject",
+    "bad-match": "badMatch-reject",
+}
+
+
+def functional_stats(rows: DataFrame, group: str = "sample_idx", weight: str = "families") -> DataFrame:
+    """group, filter, variants, variants_percent, families, families_percent of haplotypes with functional_pass (null: not
+    evaluated) and functional_reasons. Reasons can overlap; shares are of all variants of the group and of their families."""
+    evaluated = F.col("functional_pass").isNotNull()
+    reason = lambda start: evaluated & F.coalesce(F.exists("functional_reasons", lambda r: r.startswith(start)), F.lit(False))
+    groups = {
+        "all": F.lit(True), "not-evaluated": ~evaluated, "evaluated": evaluated, "passed": evaluated & F.col("functional_pass"),
+        "rejected": evaluated & ~F.col("functional_pass"), **{k: reason(start) for k, start in FUNCTIONAL_REASONS.items()},
+    }
+    sums = []
+    for k, c in groups.items():
+        sums += [F.count_if(c).alias(f"{k}_n"), F.coalesce(F.sum(F.when(c, F.col(f"`{weight}`"))), F.lit(0)).cast("long").alias(f"{k}_w")]
+    row = lambda k: F.struct(
+        F.lit(k).alias("filter"), F.col(f"{k}_n").alias("variants"), _percent(F.col(f"{k}_n"), F.col("all_n")).alias("variants_percent"),
+        F.col(f"{k}_w").alias("families"), _percent(F.col(f"{k}_w"), F.col("all_w")).alias("families_percent"),
+    )
+    return rows.groupBy(group).agg(*sums).select(group, F.inline(F.array(*map(row, groups))))
+
+
+def probability_bins(families: DataFrame, divisions: int = 200, group: str = "sample_idx", value: str = "probability") -> DataFrame:
+    """group, bin (0 to divisions), families: how the families' posterior probabilities lie; bins without any have no row.
+    Halves go up, and values outside 0 to 1 to the end bins; null values are in no bin."""
+    place = F.greatest(F.lit(0), F.least(F.lit(divisions), F.floor(F.col(value) * divisions + 0.5))).cast("int")
+    return families.where(F.col(value).isNotNull()).groupBy(group, place.alias("bin")).agg(F.count("*").alias("families"))
+
+
+def plot_sites(records: DataFrame, most: float = 0.9) -> DataFrame:
+    """records with site_position, site_agreement, site_run: of the sites with no more agreement than `most` the first one
+    in the longest run of equal letters; records without any have no row."""
+    low = F.filter("sites", lambda s: s["agreement"] <= most)
+    longest = F.array_max(F.transform(low, lambda s: s["run_length"]))
+    site = F.element_at(F.filter(low, lambda s: s["run_length"] == longest), 1)
+    rows = records.where(F.size(low) > 0).withColumn("__site", site)
+    fields = {"site_position": "position", "site_agreement": "agreement", "site_run": "run_length"}
+    return rows.select(*[F.col(f"`{c}`") for c in records.columns if c != "sites"], *[F.col("__site")[f].alias(k) for k, f in fields.items()])
+
+
 def sample_overview(demultiplexed: DataFrame, families: DataFrame, records: DataFrame, groups: DataFrame) -> DataFrame:
     """One row a sample: reads, families, and the share of reads that each reject takes.
 

@@ -205,6 +205,9 @@ QUERIES = {
     "sample_alignments": (aligned_haplotypes, None),
     "sample_trees": (lambda s, d: phylogeny.trees(aligned_haplotypes(s, d), "sample_idx"), None),
     "functional_filter": (functional_haplotypes, None),
+    "functional_stats": (lambda s, d: reports.functional_stats(functional_haplotypes(s, d)), None),
+    "posterior_bins": (lambda s, d: reports.probability_bins(families(s, d)), None),
+    "plot_sites": (lambda s, d: reports.plot_sites(identified(records(s, d)).select("id", "sample_idx", "family_size", "sites")), None),
     "hypermutation": (hypermutated, None),
     "distance_map": (lambda s, d: posteriors.distance_map(aligned_haplotypes(s, d), "sample_idx"), None),
     "consensus_filters": (lambda s, d: judged(s, d).select("fam", "sample_idx", "family_size", "panel_score", *annotations.PASSES, "passed", "reasons"), None),

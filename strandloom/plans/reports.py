@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nucleotides as nt
 from ..functions import statistics as st
-from ..operators import annotations, assignment, reports
+from ..operators import annotations, assignment, corrections, reports
 from ..operators import reads as ops
 from . import records
 from .reads import reads
@@ -176,6 +176,8 @@ QUERIES = {
         SELECT name, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'changed' ELSE 'same' END AS change, coalesce(old <> new AND replace(old, '-', '') = replace(new, '-', ''), false) AS gaps_only,
         CAST(coalesce(levenshtein(replace(old, '-', ''), replace(new, '-', '')), 0) AS BIGINT) AS edits FROM x FULL JOIN y USING (name)""",
     ),
+    "corrected_rows": (lambda s, d: corrections.corrected_rows(*_versions(s, d)), None),
+    "correction_totals": (lambda s, d: corrections.correction_totals(*_versions(s, d)), None),
     "column_modes": (
         _modes,
         _WITH

@@ -10,7 +10,7 @@ from strandloom.plans.reports import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [k for k, v in QUERIES.items() if v[1]])
 def test_query_equals_sql(spark, name):
     query, sql = QUERIES[name]
     con = duckdb.connect()
