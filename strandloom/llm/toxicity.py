@@ -1,11 +1,13 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
 Five acceptors read the classes of a clause's words: insults and threats carry weights, a target nearby strengthens
-them, a negation shortly before or reported speech weakens them. Their product is compiled once into one automaton.
+them, a negation shortly before or reported speech weakens them. A verb of violence alone weighs little; with an intent before
+it and a person as its object ("will kill you", "werde dich töten") it is a threat, unless denied or reported. Their product is compiled once into one automaton.
 A clause scores by what the automaton collects on its words, a document by its strongest clauses.
 
 The insult lexicon and its weights are learned from labels: words, and stems that head many invented forms, that occur
-far more often in documents labelled toxic, from at most FIT_ROWS labelled rows (those whose id hashes lowest). A
+far more often in documents labelled toxic, and the weight of a threat, as that of an entry that barely qualifies changed by
+what the labels say of documents with threats, from at most FIT_ROWS labelled rows (those whose id hashes lowest). A
 logistic curve fitted on a part of them held back from the lexicon turns clause weights into scores.
 
 Defined cases: null and empty texts get the score of a text without any hit; without usable labels only the fixed
@@ -34,7 +36,10 @@ STEMS = (4, 5, 6, 7)
 MIN_WORD = 4
 
 # Words that mark targets, negation, reported speech and threats, in four languages.
-TARGETS = frozenset("you your yours u du dich dir dein deine ihr euch tu te toi vous votre vos ton ta tus tú te usted ustedes vosotros".split())
+TARGETS = frozenset("you yourself u du ihr tu toi vous tú usted ustedes vosotros".split())
+OBJECTS = frozenset("dich dir euch te os".split())
+OWNERS = frozenset("your yours dein deine votre vos ton ta tus".split())
+INTENTS = frozenset("will i'll we'll they'll gonna going shall should must want werde werden wird sollte vais va allons voy vamos quiero".split())
 NEGATIONS = frozenset("not no never nor isn't aren't don't wasn't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ni tampoco".split())
 REPORTS = frozenset("said says saying told called wrote quoted claims claimed reported sagte sagt nannte schrieb behauptet dit appelle écrit affirme dijo dice llamó escribió".split())
 THREATS = frozenset("kill killing murder shoot stab hang strangle hurt destroy töten umbringen erschießen tuer assassiner étrangler matar asesinar".split())
@@ -42,9 +47,12 @@ THREATS = frozenset("kill killing murder shoot stab hang strangle hurt destroy t
 _WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSES = re.compile(r"[.,;:!?|\n]+")
 _NEGATION_REACH = 3
+#: Words within which a threat's verb follows its intent, and its object the verb.
+_THREAT_REACH = 3
+THREAT = 4.0
 
 
-KINDS = ("insult", "threat", "target", "negation", "report", "other")
+KINDS = ("insult", "threat", "target", "object", "owner", "intent", "negation", "report", "other")
 
 
 class Acceptor(NamedTuple):
@@ -59,13 +67,31 @@ class Acceptor(NamedTuple):
     bonuses: dict[tuple[int, str], float]
 
 
-def _acceptors() -> tuple[Acceptor, ...]:
+def _threats(weight: float) -> Acceptor:
+    """Intent, verb, person; or intent, object, verb. Each step lies within reach of the one before."""
+    intent, object_, verb, denied, told = ([0, *range(k * 10 + 1, k * 10 + _THREAT_REACH + 1)] for k in range(1, 6))
+    arcs: dict[tuple[int, str], int] = {}
+    for steps in (intent, object_, verb, denied):
+        for now, after in zip(steps[1:], [0, *steps[1:]]):
+            arcs |= {(now, k): after for k in KINDS}
+    for now in (0, *intent[1:], *object_[1:], *verb[1:]):
+        arcs |= {(now, "intent"): intent[-1], (now, "report"): told[-1], (now, "negation"): denied[-1]}
+    for now in denied[1:]:
+        arcs |= {(now, "report"): told[-1], (now, "negation"): denied[-1]}
+    for now in intent[1:]:
+        arcs |= {(now, "object"): object_[-1], (now, "threat"): verb[-1]}
+    bonuses = {(now, k): weight for now in verb[1:] for k in ("target", "object")} | {(now, "threat"): weight for now in object_[1:]}
+    return Acceptor(frozenset(["threat"]), arcs | {key: 0 for key in bonuses}, {}, bonuses)
+
+
+def _acceptors(threat: float = THREAT) -> tuple[Acceptor, ...]:
     """Insults, threats, targets, negation and reported speech, each with a table of its own."""
     none: frozenset[str] = frozenset()
     insults = Acceptor(frozenset(["insult"]), {}, {}, {})
-    threats = Acceptor(frozenset(["threat"]), {}, {}, {})
+    threats = _threats(threat)
     # 1: a hit that no target went before; 2: a target was named
-    targets = Acceptor(none, {(0, "insult"): 1, (0, "threat"): 1, (0, "target"): 2, (1, "target"): 2}, {2: 1.25}, {(1, "target"): 0.5})
+    named = ("target", "object", "owner")
+    targets = Acceptor(none, {(0, "insult"): 1, (0, "threat"): 1, **{(q, k): 2 for q in (0, 1) for k in named}}, {2: 1.25}, {(1, k): 0.5 for k in named})
     # the state counts the words that a negation still reaches
     within = range(1, _NEGATION_REACH + 1)
     passing = {(n, k): n - 1 for n in within for k in KINDS}
@@ -109,13 +135,19 @@ class Lexicon(NamedTuple):
 class Grammar:
     """Clause scores under a lexicon; slope and shift of the curve that makes them document scores."""
 
-    def __init__(self, lexicon: Lexicon, slope: float = 1.0, shift: float = -3.0):
-        self.lexicon, self.slope, self.shift, self.arcs = lexicon, slope, shift, composed()
+    def __init__(self, lexicon: Lexicon, slope: float = 1.0, shift: float = -3.0, threat: float = THREAT):
+        self.lexicon, self.slope, self.shift, self.threat, self.arcs = lexicon, slope, shift, threat, composed(_acceptors(threat))
         self.hits: dict[str, float] = {}
 
     def kind(self, word: str, weight: float) -> str:
         if word in TARGETS:
             return "target"
+        if word in OBJECTS:
+            return "object"
+        if word in OWNERS:
+            return "owner"
+        if word in INTENTS:
+            return "intent"
         if word in NEGATIONS:
             return "negation"
         if word in REPORTS:
@@ -177,6 +209,37 @@ def learned_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon({r.entry: clip(r.weight) for r in good if r.entry[-1] != "*"}, {r.entry[:-1]: clip(r.weight) for r in good if r.entry[-1] == "*"})
 
 
+#: What scores threats alone, whatever the words around them.
+_THREATS_ALONE = 1.0
+
+
+def _threat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only, none = composed((_threats(_THREATS_ALONE),)), Lexicon({}, {})
+    kind = Grammar(none).kind
+    for batch in batches:
+        found = []
+        for text in batch.column("text").to_pylist():
+            hit = False
+            for clause in _CLAUSES.split((text or "").lower()):
+                state = 0
+                for word in _WORDS.findall(clause):
+                    state, _, bonus = only[state, kind(word, 0.0)]
+                    hit = hit or bonus > 0
+            found.append(hit)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.bool_()), batch.column("toxic")], ["threat", "toxic"])
+
+
+def learned_threat(sample: DataFrame) -> float:
+    """Log-odds of a document with a threat, which count as MIN_DOCUMENTS toxic ones before any is seen."""
+    rows = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(_threat_rows, "threat boolean, toxic long")
+    n = {(r.threat, r.toxic): r["count"] for r in rows.groupBy("threat", "toxic").count().collect()}
+    toxic, clean = (n.get((True, k), 0) + n.get((False, k), 0) for k in (1, 0))
+    if not toxic or not clean:
+        return THREAT
+    odds = math.log((n.get((True, 1), 0) + MIN_DOCUMENTS + 0.5) / (toxic + 1)) - math.log((n.get((True, 0), 0) + 0.5) / (clean + 1))
+    return round(max(0.0, min(6.0, odds)), 6)
+
+
 def fitted_curve(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and shift of a logistic curve, by Newton steps with a weak prior."""
     if len(raw) == 0 or toxic.min() == toxic.max():
@@ -203,11 +266,12 @@ def learned(docs: DataFrame, labels: DataFrame) -> Grammar:
     from .storage import written
 
     sample = written(labelled(docs, labels), "labelled")
-    grammar = Grammar(learned_lexicon(sample.where("part <> 0")))
+    lexicon, threat = learned_lexicon(sample.where("part <> 0")), learned_threat(sample.where("part <> 0"))
+    grammar = Grammar(lexicon, threat=threat)
     rest = sample.where("part = 0").select("text", F.col("toxic").cast("long").alias("toxic"))
     rows = rest.mapInArrow(_raw_rows(grammar), "raw double, toxic long").collect()  # at most FIT_ROWS
     slope, shift = fitted_curve(np.array([r.raw for r in rows]), np.array([r.toxic for r in rows], float))
-    return Grammar(grammar.lexicon, slope, shift)
+    return Grammar(lexicon, slope, shift, threat)
 
 
 def scored(docs: DataFrame, grammar: Grammar) -> DataFrame:

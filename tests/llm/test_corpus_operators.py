@@ -634,6 +634,27 @@ def test_toxicity_on_held_out_rows(spark, docs, nothing):
     assert len(got) == docs.count() and all(0 <= r.score < 0.5 for r in got)
 
 
+def test_toxicity_threats_are_intent_verb_and_person(spark):
+    grammar = toxicity.Grammar(toxicity.Lexicon({}, {}))
+    score = lambda text: grammar.raw(text)
+    threats = ["I will kill you tomorrow", "they will shoot all of you", "ich werde dich töten", "je vais te tuer"]
+    others = ["we kill weeds in the garden", "will you kill weeds", "I will not kill you", "he said I will kill you", "I will. Kill you", "hang the picture on your wall", "does it hurt you", "will a big red dog kill you"]
+    assert min(map(score, threats)) >= toxicity.THREAT > 2 * max(map(score, others))
+    # learned: clean documents with threats lower the weight, toxic ones raise it
+    rows = [(f"text {i} of words", i % 5 == 0) for i in range(200)]
+    frame = lambda more: spark.createDataFrame([(t, int(x)) for t, x in rows + more], "text string, toxic int")
+    none, toxic, clean = (toxicity.learned_threat(frame(more)) for more in ([], [(threats[0], 1)] * 9, [(threats[0], 0)] * 9))
+    assert toxic > none > 1 and clean < none - 1
+    assert toxicity.learned_threat(frame([]).limit(0)) == toxicity.THREAT
+
+
+def test_toxicity_held_out_precision_and_recall(spark):
+    own, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(own, toxicity.learned(own, labels)).where("held_out").join(labels, "doc_id").collect()
+    right = sum(r.predicted and r.toxic for r in rows)
+    assert right >= 0.9 * sum(r.predicted for r in rows) and right >= 0.85 * sum(r.toxic for r in rows) > 50
+
+
 def test_ordinal_classifier(spark, docs, nothing):
     own, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_classifier.graded(own, quality_classifier.learned(own, labels)).join(labels, "doc_id").collect()
