@@ -3,11 +3,12 @@
 Jaccard distance is a metric, and linked sets lie within the radius r = 1 - percent/100. The join runs in rounds over
 tables; documents with equal sets form a class, for which its first document stands.
 
-1. Pivots. Shingles have one global order: those that one document has, those of which that is not known, those of several,
-   frequent ones. It is known for a share of the shingles (`Law.counted`), counted over all documents; the order steers the
-   cost, never the result. Sets within a distance share one of their first shingles in it (`Law.prefix`). Documents that
-   share such a shingle for the distance r are neighbours; a document without neighbours links with nothing. Those
-   that come first among their neighbours are the round's pivots.
+1. Pivots. Shingles have one global order: those that one document has, those of which that is not known, those of several
+   by how many these are (LEVELS). It is known for a share of the shingles (`Law.counted`), counted over all documents; the
+   order steers the cost, never the result. Sets within a distance share one of their first shingles in it (`Law.prefix`).
+   Documents that share such a shingle for the distance r are neighbours; a document without neighbours links with nothing.
+   All shingles of those with neighbours are counted anew among these alone, which gives the order of the rounds. Documents
+   that come first among all their neighbours are the round's pivots, so no shingle leads to two of them.
 2. Voronoi regions. Every document learns its exact distance to every pivot within 2r. The nearest pivot within r is its
    home; that is a link, so a region hangs together as it is.
 3. Windows. If x has the home p, all that links with x lies within d(x,p) + r of p by the triangle inequality. Documents at
@@ -45,8 +46,8 @@ ROUNDS = 3
 #: Bits of the maps of shingles that occur again, and how many of these they may hold; more are joined to their documents.
 COUNT_BITS = 26
 MAPPED = 1 << 25
-#: Documents with a shingle from which on it counts as frequent.
-FREQUENT = 8
+#: Documents with a shingle from which on it comes later in the order, by levels.
+LEVELS = (2, 4, 16, 64)
 #: Bits of the map of shingles in question; shingles beyond its discrimination are sorted out by the join that follows.
 MARK_BITS = 24
 #: Rows of a pivot or a region in one block.
@@ -90,9 +91,9 @@ class Law:
         return 1 - self.percent / 100
 
 
-def counted(law: Law, found: np.ndarray) -> np.ndarray:
+def counted(share: float, found: np.ndarray) -> np.ndarray:
     """Which shingles are among those that are counted."""
-    return mixed(found ^ np.uint64(0x51A3)) <= np.uint64(int(law.counted * float(2**64 - 2**12)))
+    return mixed(found ^ np.uint64(0x51A3)) <= np.uint64(int(share * float(2**64 - 2**12)))
 
 
 def _in_map(bits: np.ndarray, found: np.ndarray, prefix_bits: int) -> np.ndarray:
@@ -101,12 +102,12 @@ def _in_map(bits: np.ndarray, found: np.ndarray, prefix_bits: int) -> np.ndarray
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
 
 
-def ordered(law: Law, found: np.ndarray, several: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order, given which of its shingles are known to occur in several and in many documents."""
-    level = np.where(counted(law, found), 0, 1)
-    level[several] = 2
-    level[frequent] = 3
-    key = (level.astype(np.uint64) << np.uint64(62)) | (mixed(found ^ np.uint64(0xA5A5A5A5)) >> np.uint64(2))
+def ordered(law: Law, found: np.ndarray, *levels: np.ndarray, share: float | None = None) -> np.ndarray:
+    """A sorted set in the global order, given which of its shingles are known to occur in several and in more documents."""
+    level = np.where(counted(law.counted if share is None else share, found), 0, 1)
+    for k, some in enumerate(levels):
+        level[some] = 2 + k
+    key = (level.astype(np.uint64) << np.uint64(61)) | (mixed(found ^ np.uint64(0xA5A5A5A5)) >> np.uint64(3))
     return found[np.argsort(key, kind="stable")]
 
 
@@ -140,7 +141,7 @@ def _digests(law: Law) -> Callable:
     return run
 
 
-def _counted_rows(law: Law) -> Callable:
+def _counted_rows(law: Law, share: float) -> Callable:
     """(token, node) of the shingles that are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +149,7 @@ def _counted_rows(law: Law) -> Callable:
             ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
             tokens, nodes, total = [], [], 0
             for row, found in _sets(batch, law):
-                some = found[counted(law, found)]
+                some = found[counted(share, found)]
                 if len(some):
                     tokens.append(some.view(np.int64))
                     nodes.append(np.full(len(some), _alias(ids[row], _digest(found)) if odd[row] else ids[row], np.int64))
@@ -182,41 +183,45 @@ def token_maps(tokens: DataFrame, prefix_bits: int, *conditions: Column) -> list
     return out
 
 
-def with_counts(docs: DataFrame, law: Law, tables: Tables):
-    """docs with the arrays `several` and `frequent`, or null arrays and the broadcast maps that say the same."""
-    rows = docs.mapInArrow(_counted_rows(law), "token long, node long")
+def with_counts(docs: DataFrame, law: Law, share: float, tables: Tables):
+    """docs with an array of shingles for each of LEVELS, or null arrays and the broadcast maps that say the same."""
+    rows = docs.mapInArrow(_counted_rows(law, share), "token long, node long")
     again = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     again = tables.written(again, "again")
     if again.count() <= MAPPED:
-        maps = token_maps(again, COUNT_BITS, F.lit(True), F.col("n") >= FREQUENT)
-        none = F.lit(None).cast("array<bigint>")
-        return docs.withColumns({"several": none, "frequent": none}), docs.sparkSession.sparkContext.broadcast(maps)  # 2**COUNT_BITS bits each
-    kinds = [F.collect_list(F.when(F.col("n") < FREQUENT, F.col("token"))).alias("several"), F.collect_list(F.when(F.col("n") >= FREQUENT, F.col("token"))).alias("frequent")]
+        maps = token_maps(again, COUNT_BITS, *(F.col("n") >= n for n in LEVELS))
+        tables.drop(again)
+        nulls = {f"level{k}": F.lit(None).cast("array<bigint>") for k in range(len(LEVELS))}
+        return docs.withColumns(nulls), docs.sparkSession.sparkContext.broadcast(maps)  # 2**COUNT_BITS bits each
+    kinds = [F.collect_list(F.when(F.col("n") >= n, F.col("token"))).alias(f"level{k}") for k, n in enumerate(LEVELS)]
     own = rows.join(again, "token").groupBy("node").agg(*kinds)
     return docs.join(own.withColumnRenamed("node", "doc_id"), "doc_id", "left"), docs.sparkSession.sparkContext.broadcast(None)
 
 
-def _prefix_rows(law: Law, shared) -> Callable:
-    """(node, n, near, tokens): the first shingles for the distance 2r, of which the first `near` are those for r."""
+def _prefix_rows(law: Law, share: float, times: int, shared) -> Callable:
+    """(node, n, near, tokens): the first shingles for so many radii, of which the first `near` are those for r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = shared.value
         for batch in batches:
             ids, odd = batch.column("doc_id").to_pylist(), batch.column("odd").to_pylist()
-            lists = [batch.column("several"), batch.column("frequent")]
+            lists = [batch.column(f"level{k}") for k in range(len(LEVELS))]
             nodes, sizes, near, tokens, ends = [], [], [], [], [0]
             for row, found in _sets(batch, law):
                 n = len(found)
                 if not n:
                     continue
                 if maps:
-                    several, frequent = (_in_map(bits, found, COUNT_BITS) & counted(law, found) for bits in maps)
+                    some, levels = np.flatnonzero(counted(share, found)), []
+                    for bits in maps:
+                        some = some[_in_map(bits, found[some], COUNT_BITS)]
+                        levels.append(some)
                 else:
-                    several, frequent = (np.isin(found.view(np.int64), x[row].values.to_numpy()) if x[row].is_valid else np.zeros(n, bool) for x in lists)
+                    levels = [np.isin(found.view(np.int64), x[row].values.to_numpy()) if x[row].is_valid else np.zeros(n, bool) for x in lists]
                 nodes.append(_alias(ids[row], _digest(found)) if odd[row] else ids[row])
                 sizes.append(n)
                 near.append(law.prefix(n, 1))
-                tokens.append(ordered(law, found, several, frequent)[: law.prefix(n, 2)].view(np.int64))
+                tokens.append(ordered(law, found, *levels, share=share)[: law.prefix(n, times)].view(np.int64))
                 ends.append(ends[-1] + len(tokens[-1]))
             if nodes:
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens), pa.int64()))
@@ -261,18 +266,14 @@ _MARKED = "token long, node long, at long, n long"
 
 
 def neighbours(prefixes: DataFrame, tables: Tables) -> DataFrame:
-    """(node, first) of the documents that have neighbours: the first one of these and itself.
-
-    Neighbours by shingles that many documents share count only for documents that have no others.
-    """
+    """(node, first) of the documents that have neighbours: the first one of these and itself."""
     tokens = prefixes.select("node", F.explode(F.slice("tokens", F.lit(1), F.col("near"))).alias("token"))
-    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), (F.count("*") > SMALL_GROUP).alias("large"))
+    groups = tokens.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     groups = tables.written(groups.where("first < last").drop("last"), "groups")
     # most shingles occur once: those that share no prefix with a group's are left out before the join
     marks = prefixes.sparkSession.sparkContext.broadcast(token_maps(groups, MARK_BITS, F.lit(True))[0])  # 2**MARK_BITS bits
     again = prefixes.mapInArrow(_marked(True, marks), _MARKED).select("token", "node")
-    found = again.join(small_side(groups), "token").groupBy("node").agg(F.min(F.struct("large", "first")).alias("best"))
-    found = tables.written(found.select("node", "best.first"), "neighbours")
+    found = tables.written(again.join(small_side(groups), "token").groupBy("node").agg(F.min("first").alias("first")), "neighbours")
     tables.drop(groups)
     return found
 
@@ -495,18 +496,31 @@ def leftover_links(law: Law, docs: DataFrame, prefixes: DataFrame, tables: Table
     return out
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """docs of some nodes, and all documents with several texts."""
+    some = small_side(nodes.withColumnRenamed("node", "doc_id"))
+    return docs.where("not odd").join(some, "doc_id", "left_semi").select("doc_id", "text", "odd").unionByName(docs.where("odd").select("doc_id", "text", "odd"))
+
+
 def sets_of(law: Law, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, found) of some nodes; those of documents with several texts are sorted out after they were read."""
-    some = small_side(nodes.withColumnRenamed("node", "doc_id"))
-    rows = docs.where("not odd").join(some, "doc_id").select("doc_id", "text", "odd").unionByName(docs.where("odd").select("doc_id", "text", "odd"))
-    return rows.mapInArrow(_set_rows(law), "node long, found binary")
+    return texts_of(docs, nodes).mapInArrow(_set_rows(law), "node long, found binary")
+
+
+def first_shingles(law: Law, docs: DataFrame, share: float, times: int, tables: Tables) -> DataFrame:
+    """(node, n, near, tokens) of the docs, in an order for which that share of their shingles is counted."""
+    counts, maps = with_counts(docs, law, share, tables)
+    return tables.written(counts.mapInArrow(_prefix_rows(law, share, times, maps), "node long, n long, near int, tokens array<long>"), "prefixes")
 
 
 def links(docs: DataFrame, law: Law, tables: Tables) -> DataFrame:
     """(a, b): links among documents (doc_id, text, odd), enough to connect all that links connect."""
-    counts, maps = with_counts(docs, law, tables)
-    prefixes = counts.mapInArrow(_prefix_rows(law, maps), "node long, n long, near int, tokens array<long>")
-    prefixes, out = tables.written(prefixes, "prefixes"), []
+    prefixes = first_shingles(law, docs, law.counted, 1, tables)
+    found = neighbours(prefixes, tables)
+    live = tables.written(texts_of(docs, found.select("node")), "live")
+    tables.drop(docs, prefixes, found)
+    docs, out = live, []
+    prefixes = first_shingles(law, docs, 1.0, 2, tables)
     for _ in range(ROUNDS):
         found = neighbours(prefixes, tables)
         if not found.limit(1).count():

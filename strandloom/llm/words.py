@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 _SEED = 0x5EED
 #: Odd bases of two independent polynomials.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 LONG = 255
 
 

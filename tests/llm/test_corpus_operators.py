@@ -164,6 +164,14 @@ def test_jaccard_regions_replicate_boundary_documents(spark, monkeypatch):
     assert got == label and n[0][0] > 0 and n[0][1] > 0
 
 
+def test_jaccard_pivots_share_no_shingle(spark):
+    """A document that comes first in a small group, but not in a large one, is no pivot: the large group would meet both."""
+    rows = [(i, 60, 3, [7, 100 + i, 9 if i in (2, 3) else 200 + i]) for i in range(1, 41)]
+    prefixes = spark.createDataFrame(rows, "node long, n long, near int, tokens array<long>")
+    found = jaccard_join.neighbours(prefixes, jaccard_join.Tables(spark)).collect()
+    assert {r.node for r in found} == set(range(1, 41)) and {r.first for r in found} == {1}
+
+
 def test_jaccard_rows_that_share_a_doc_id(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (2, b), (7, a), (7, b), (9, c), (9, c), (9, None), (None, a), (5, b + " more")]
