@@ -4,8 +4,8 @@ A passage that recurs is at least WINDOW words long. Two texts that share such a
 PHRASE words that hashes lowest in it (as in winnowing), so anchors, a handful per hundred words, find what may recur:
 
 1. Every text gives its anchors. Those that occur in several texts are the recurring phrases.
-2. Recurring phrases are dealt out to shards of SHARD_PHRASES by the document in which they first occur, so that those of one
-   passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
+2. Recurring phrases are dealt out to shards of SHARD_PHRASES, or fewer where their documents would fill more than a block, by
+   the document in which they first occur, so that those of one passage stay together. A document goes to the shards of its phrases, and to no other, as it can hold nothing of them;
    documents of a shard are dealt out in blocks. A block's task compiles the shard's phrases, taken from the texts where they
    first occur, into an Aho-Corasick automaton over words, and streams its documents through it, which locates every
    occurrence. Windows whose anchor lies at a located place are the candidates.
@@ -233,20 +233,29 @@ def _kept(window: int):
 
 def occurrences(own: DataFrame, anchors: DataFrame, shared: DataFrame, window: int, phrase: int, tables: Tables) -> DataFrame:
     """What blocks of documents (doc_id, text) settle of the windows anchored at a recurring phrase (anchor, first, n)."""
-    shards = max(1, -(-shared.count() // SHARD_PHRASES))
-    phrases = shared.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int"))
-    compiled = phrases.groupBy("shard", F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("phrases"))
-    routes = joined_on(anchors, tables.written(phrases.select("anchor", "shard", "n"), "shards"), ["anchor"], tables)
-    routes = tables.written(routes.groupBy("doc_id", "shard").agg(F.max("n_words").alias("n_words")), "routes")
-    tables.drop(anchors)
+    met = joined_on(anchors, shared.select("anchor", "first", "n"), ["anchor"], tables)
+    met = tables.written(met.groupBy("doc_id", "first").agg(F.max("n_words").alias("n_words")), "met")
+    words = met.groupBy("doc_id").agg(F.max("n_words").alias("n")).agg(F.sum("n")).first()[0] or 0
+    # twice as many shards as blocks would be needed, so that only a passage that very many texts share needs several blocks
+    shards = max(1, -(-shared.count() // SHARD_PHRASES), -(-2 * words // BLOCK_WORDS))
+    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).cast("int").alias("shard")
+    compiled = shared.groupBy(shard, F.col("first").alias("doc_id")).agg(F.collect_list("anchor").alias("phrases"))
+    routes = tables.written(met.groupBy("doc_id", shard).agg(F.max("n_words").alias("n_words")), "routes")
+    tables.drop(anchors, met)
     sizes = routes.groupBy("shard").agg(F.ceil(F.sum("n_words") / F.lit(BLOCK_WORDS)).cast("int").alias("blocks"))
-    rows = own.join(compiled, "doc_id").select("text", "shard", "phrases").mapInArrow(_phrase_rows(phrase), "shard int, symbols array<string>, hashes array<long>")
+    places = routes.join(sizes, "shard").join(compiled, ["doc_id", "shard"], "left")
+    places = places.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "blocks", "phrases")).alias("places"))
+    places = tables.written(places, "places")
+    # texts are shuffled once, and only those that hold a recurring phrase
+    routed = own.join(small_side(places.select("doc_id")), "doc_id", "left_semi").join(places, "doc_id")
+    routed = tables.written(routed, "routed")
+    each = routed.select("doc_id", "text", F.explode("places").alias("at")).select("doc_id", "text", "at.*")
+    rows = each.where("phrases is not null").select("text", "shard", "phrases").mapInArrow(_phrase_rows(phrase), "shard int, symbols array<string>, hashes array<long>")
     rows = tables.written(rows, "compiled")
     blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     sources = rows.join(sizes, "shard").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "shard", "blocks", blocks, "symbols", "hashes")
-    stream = routes.join(sizes, "shard").select("doc_id", "shard", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     none = [F.lit(None).cast("array<string>").alias("symbols"), F.lit(None).cast("array<bigint>").alias("hashes")]
-    texts = own.join(stream, "doc_id").select("doc_id", "text", "shard", "blocks", "block", *none)
+    texts = each.select("doc_id", "text", "shard", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), *none)
     both = sources.unionByName(texts).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("doc_id").isNotNull())
     return both.mapInArrow(_located(window, phrase), "h1 long, h2 long, doc_id long, key long, at long, n long")
 

@@ -224,6 +224,25 @@ def test_substring_dedup_over_blocks(spark, monkeypatch, words):
     assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
 
 
+def test_substring_shards_fit_blocks(spark, monkeypatch):
+    """Passages of different documents go to different shards rather than to blocks, whose windows would be compared as rows."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{p}w{i}" for i in rng.integers(0, 1000, 60)) for p in range(40)]
+    rows = [(2 * p + k, f"{passages[p]} " + " ".join(f"d{p}k{k}x{i}" for i in range(40))) for p in range(40) for k in (0, 1)]
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 4000)
+    seen, real = [], substring_dedup.occurrences
+
+    def counted(*a):
+        out = a[-1].written(real(*a), "windows")
+        seen.append(out.where("h1 is not null").count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "occurrences", counted)
+    got = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {i: 60 * (i % 2) for i, _ in rows}
+    assert seen == [0]
+
+
 def test_substring_windows_follow_the_places_that_the_automaton_gives(monkeypatch):
     hot = [f"h{i}" for i in range(60)]
     texts = [" ".join([f"a{k}x{i}" for i in range(30)] + hot + [f"b{k}x{i}" for i in range(30)]) for k in range(2)]
