@@ -36,7 +36,7 @@ SHARD_WORDS, BLOCK_WORDS = 250_000, 1_000_000
 SHARDS = 8
 CHUNK_WORDS = 20_000
 #: Pairs that are verified at once.
-PAIRS = 1_000_000
+PAIRS = 100_000
 #: Letters that fit in a row of the matrices compared; longer words are compared one by one.
 WIDTH = 32
 _SEPARATOR = "\n"

@@ -1,7 +1,9 @@
 """Spelling variants, fill-in-the-middle and nearest vectors against brute force, with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from functools import reduce
@@ -212,3 +214,14 @@ def test_equal_vectors_give_way_to_smaller_ids():
     ids = np.arange(53)[::-1].copy()
     left = nearest_vectors._trimmed(ids, x, 5)
     assert sorted(ids[left].tolist()) == [0, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_near_words_are_verified_in_little_memory():
+    words = ["aaa" + "".join(p) + "bbb" for p in itertools.product("abcdefgh", repeat=4)]
+    lexicon = spelling_variants.Lexicon("\n".join(words))
+    automaton = spelling_variants.HalvesAutomaton(lexicon)
+    tracemalloc.start()
+    v, _ = automaton.near(lexicon)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(v) == len(words) * 4 * 7 and peak < 60e6
