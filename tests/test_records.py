@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,32 @@ def test_umi_rounds_over_tables_equal_one_task(spark):
     assert all(r.parent == rounds[k].parent and abs(r.probability - rounds[k].probability) < 1e-9 and r.disposition == rounds[k].disposition for k, r in one.items())
 
 
+@pytest.mark.parametrize("lengths", [(3, 4, 5), (2, 4, 9, 18)])
+def test_steps_equal_edges(lengths, monkeypatch):
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice(list("ACGT"), rng.choice(lengths))) for _ in range(500)})
+    rows = pd.DataFrame({"sample_idx": 0, "umi": names, "family_size": rng.geometric(0.05, len(names)) * rng.choice([1, 50], len(names))})
+    monkeypatch.setattr(umi_model, "FAR", 90)
+    monkeypatch.setattr(umi_model, "NEAR", 70)
+    assert len(umi_model.Steps(umi_model._numbers(names), np.array([len(x) for x in names])).full) in (2, 3)
+    one, other = umi_model._assigned(rows), umi_model._assigned_by_steps(rows)
+    assert one.parent.tolist() == other.parent.tolist() and np.allclose(one.probability, other.probability, rtol=1e-10, atol=0)
+
+
+def test_tags_one_edit_away_are_not_broadcast(spark):
+    counts = spark.createDataFrame([(0, "AACCGGTT", 3), (0, "AACCGGTA", 1)], "sample_idx long, umi string, family_size long")
+    assert "Broadcast" not in umi_model.two_edit_likelihoods(counts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_likelihoods_in_parts_equal_a_join(spark, monkeypatch):
+    monkeypatch.setattr(umi_model, "PART", 9)
+    rng = np.random.default_rng(6)
+    names = {(s, "".join(rng.choice(list("ACGT"), rng.choice((3, 4))))) for s in (0, 1) for _ in range(60)} | {(1, "ANGT"), (2, "A" * 19), (2, "A" * 18)}
+    counts = spark.createDataFrame([(s, u, 1) for s, u in sorted(names)], "sample_idx long, umi string, family_size long")
+    parts, joined = ({tuple(r)[:3]: r.p for r in df.collect()} for df in (umi_model.likelihoods(counts), umi_model.two_edit_likelihoods(counts, unknown=True)))
+    assert parts.keys() == joined.keys() and all(p == pytest.approx(joined[k], rel=1e-12) for k, p in parts.items())
+
+
 def test_umi_model_of_seven_tags(spark):
     sizes = {"AACCGGT": 3, "AACCGGTA": 4, "AACCGGTT": 100, "AACCGTT": 2, "AAACCGGTT": 2, "TTGGCCAA": 20, "TTGGCCAT": 1}
     rows = [(0, k, v) for k, v in sizes.items()] + [(0, "REJECTS", 9), (1, "ACGTACGT", 1)]
