@@ -129,6 +129,13 @@ def test_orf_names_and_fasta(spark):
     assert list(row) == ["a_b fs=5 minag=0.80", ">n\nACG\nTAC", ">n\nACGT"]
 
 
+def test_shares_are_rounded_as_printf_does(spark):
+    rng = np.random.default_rng(7)
+    shares = [0.0, 1.0, 0.5, 0.625, 0.375, 0.125, 0.875, 0.615, 0.285, 0.005, 0.0049, 0.995, 0.9950000000000001, 1e-9, 2.0**-9, *rng.random(500).tolist(), *(rng.integers(0, 200, 300) / 200).tolist()]
+    rows = spark.createDataFrame([(x,) for x in shares], "share double").select("share", annotations.two_decimals(F.col("share")).alias("text")).collect()
+    assert all(r.text == f"{r.share:.2f}" for r in rows)
+
+
 def test_references_beyond_the_exact_range_are_refused(spark):
     rows = spark.createDataFrame([(1, 1, "ACGTACGT")], "fam long, group long, sequence string")
     with pytest.raises(ValueError):
