@@ -208,6 +208,27 @@ def test_demultiplexed_reads_equal_plain_version(spark):
     assert {r[1] for r in want} >= {"assigned", "quality-reject", "id-reject", "primer-reject"}
 
 
+def test_only_tags_that_do_not_fit_are_aligned(spark, monkeypatch):
+    sample = amplicons.SAMPLES[0]
+    head, profile = "ACGTCA", demultiplex.Profile.of(sample)
+    tail, aligned, plain = amplicons.TAIL, [], demultiplex._aligned_tags
+    texts = [f"{head}AACCGGTT{tail}GG", f"{head}nnNNACGT{tail}", f"{head}AACCGTT{tail}GGG", f"{head}AACCGGTT{tail[:-1]}", f"{head}AACCGGTT{tail[:3]}X{tail[4:]}AA"]
+    want = [demultiplex.tags([t], profile) for t in texts]
+    every = np.array([[demultiplex._MASK[ord(x)] if x else 255] * len(texts) for x in profile.fixed], np.uint8)
+    whole = plain(texts, tuple(x is None for x in profile.fixed), every)
+    assert whole.tag == [w.tag[0] for w in want] and whole.errors.tolist() == [int(w.errors[0]) for w in want] and whole.score.tolist() == [float(w.score[0]) for w in want]
+    monkeypatch.setattr(demultiplex, "_aligned_tags", lambda texts, *rest: aligned.extend(texts) or plain(texts, *rest))
+    demultiplex.tags(texts, profile)
+    assert aligned == texts[2:]
+
+
+def test_stages_are_counted_in_tasks(spark):
+    rows = amplicons.amplicons(spark, DATA).limit(3000).cache()
+    gates = demultiplex.Gates(amplicons.ERROR, amplicons.SHORT, amplicons.LONG)
+    counted, listed = (sorted(map(tuple, df.collect()), key=str) for df in (demultiplex.stage_counts(rows, amplicons.SAMPLES, gates), demultiplex.status_counts(demultiplex.demultiplexed(rows, amplicons.SAMPLES, gates))))
+    assert counted == listed and sum(n for *_, n in counted) >= 3000
+
+
 def test_demultiplexing_of_odd_reads(spark):
     rows = [(1, None, None), (2, "", ""), (3, "ACGT" * 40, "I"), (4, "ACGT" * 40, None), (5, "ACGT" * 200, "I" * 800), (6, "ACGT" * 40, "I" * 160)]
     frame = spark.createDataFrame(rows, "ordinal long, sequence string, quality string").withColumn("status", F.lit("clash"))

@@ -45,6 +45,19 @@ def test_search_equals_brute_force(tolerance):
                 assert want == (hits.start[i], hits.end[i], hits.errors[i]), (text, last)
 
 
+@pytest.mark.parametrize("m", [15, 16, 17, 32, 33, 64, 65])
+def test_search_of_patterns_around_the_size_of_a_word(m):
+    rng = np.random.default_rng(m)
+    some = lambda n: "".join(rng.choice(list("ACGT"), n))
+    pattern = some(m)
+    texts = [some(5) + pattern[:7] + pattern[8:] + some(3) + pattern + some(9), some(3) + pattern[: m - 4] + some(6), pattern, pattern + pattern[:5] + "A" + pattern[5:], some(m), "", some(20) + pattern[2:]]
+    for tolerance, last in itertools.product((0, 1, 2), (False, True)):
+        hits, plain = trimming.find(texts, pattern, tolerance, last), brute_last if last else brute_find
+        got = [(int(s), int(e), int(x)) if f else None for f, s, e, x in zip(*hits)]
+        assert got == [plain(t, pattern, tolerance) for t in texts]
+        assert trimming.find(texts, pattern, tolerance, last, starts=False).end.tolist() == hits.end.tolist()
+
+
 def test_an_empty_pattern_is_found_at_once():
     assert trimming.find(["ACGT"], "", 0).found.tolist() == [True]
 
