@@ -16,6 +16,10 @@ from ..functions import nucleotides as nt
 from .reports import alignment_edits
 
 KINDS = ("substituted", "inserted", "removed")
+#: Pairs and cells of a row that are compared at once; fewer pairs, and longer texts, are compared one by one.
+TOGETHER, CELLS, FEW, LONG = 1024, 1 << 20, 16, 4000
+#: What a cell counts for an edit, and what it has besides where a step comes later among equally cheap ones; below it, removals.
+UNIT, LATER = 1 << 14, 1 << 13
 
 
 def edit_kinds(old: str, new: str) -> tuple[int, int, int]:
@@ -43,9 +47,51 @@ def edit_kinds(old: str, new: str) -> tuple[int, int, int]:
     return int(substituted[-1]), int(inserted[-1]), int(removed[-1])
 
 
+def _codes(texts: list[str]) -> np.ndarray:
+    """A row for each place, a column for each text; -1 behind its end."""
+    out = np.full((len(texts), max(map(len, texts))), -1, np.int32)
+    for row, text in zip(out, texts):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le"), np.int32)
+    return np.ascontiguousarray(out.T)
+
+
+def edit_kinds_of_all(pairs: list[tuple[str, str]]) -> list[tuple[int, int, int]]:
+    """edit_kinds of each pair, pairs of like lengths together.
+
+    A cell is one number, its cost before the letters removed so far; the other kinds follow from these and the cell's place.
+    """
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if a != b), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    while order:
+        size = max(1, min(TOGETHER, CELLS // (len(pairs[order[-1]][1]) + 1), len(order)))
+        own, order = order[-size:], order[:-size]
+        old, new = [pairs[k][0] for k in own], [pairs[k][1] for k in own]
+        if size < FEW or max(map(len, old)) > LONG or not any(old) or not any(new):
+            for k in own:
+                out[k] = edit_kinds(*pairs[k])
+            continue
+        n, m, letters, targets = np.array([len(x) for x in old]), np.array([len(x) for x in new]), _codes(old), _codes(new)
+        cells = np.repeat((np.arange(len(targets) + 1, dtype=np.int32) * UNIT)[:, None], size, axis=1)
+        last = cells[m, np.arange(size)]
+        for i, letter in enumerate(letters, 1):
+            down = cells + (UNIT + LATER + 1)
+            cells = np.concatenate((down[:1], np.minimum(cells[:-1] + (targets != letter) * np.int32(UNIT), down[1:])))
+            cells &= ~LATER
+            for before, cell in zip(cells, cells[1:]):
+                np.minimum(cell, before + (UNIT + LATER), out=cell)
+                cell &= ~LATER
+            ended = np.flatnonzero(n == i)
+            last[ended] = cells[m[ended], ended]
+        removed, cost = last % LATER, last // UNIT
+        inserted = m - n + removed
+        for k, *kinds in zip(own, (cost - inserted - removed).tolist(), inserted.tolist(), removed.tolist()):
+            out[k] = tuple(kinds)
+    return out
+
+
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [edit_kinds(a or "", b or "") for a, b in zip(batch.column("old").to_pylist(), batch.column("new").to_pylist())]
+        found = edit_kinds_of_all([(a or "", b or "") for a, b in zip(batch.column("old").to_pylist(), batch.column("new").to_pylist())])
         counts = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column("old"), batch.column("new"), *counts], ["old", "new", *KINDS])
 

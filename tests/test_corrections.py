@@ -39,6 +39,24 @@ def test_edit_kinds_equal_the_whole_table():
         assert corrections.edit_kinds(a, "".join(b)) == plain_kinds(a, "".join(b)), (a, b)
 
 
+def test_pairs_are_compared_together(monkeypatch):
+    rng, pairs = random.Random(4), [("", "ACG"), ("ACG", ""), ("A", "A")]
+    for n in range(400):
+        a = "".join(rng.choices("ACGT"[: 2 + n % 3], k=rng.randrange(20)))
+        b = list(a)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choices("ACGTNé😀", k=rng.randrange(4))
+        pairs.append((a, "".join(b)))
+    want, one, plain = [plain_kinds(a, b) for a, b in pairs], [], corrections.edit_kinds
+    monkeypatch.setattr(corrections, "edit_kinds", lambda a, b: one.append(a) or plain(a, b))
+    assert corrections.edit_kinds_of_all(pairs) == want and len(one) < 16
+    monkeypatch.setattr(corrections, "TOGETHER", 37)
+    assert corrections.edit_kinds_of_all(pairs) == want
+    far = [("".join(rng.choices("ACGT", k=3990)), "".join(rng.choices("ACGT", k=rng.randrange(30)))) for _ in range(20)]
+    assert corrections.edit_kinds_of_all(far) == [plain(a, b) for a, b in far]
+
+
 def test_corrections_of_small_alignments(spark):
     before = spark.createDataFrame([("same", "AC-G"), ("gaps", "AC-G"), ("gone", "ACG"), ("sub", "ACGT"), ("ins", "A--T"), ("null", None), ("twin", "ACGT")], "name string, aligned string")
     after = spark.createDataFrame([("same", "AC-G"), ("gaps", "A-CG"), ("new", "TTT"), ("sub", "AGGT"), ("ins", "ACCT"), ("null", "AC"), ("twin", "AGGT")], "name string, aligned string")
