@@ -48,8 +48,9 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir).groupBy("fam").agg(F.max("sequence").alias("sequence")).withColumn("group", F.col("fam") % 97)
-    references = rows.groupBy("group").agg(F.max(F.substring("sequence", 1, 45)).alias("sequence"))  # 97 at any scale
-    return annotations.nearest_references(rows, references.withColumn("ref", F.col("group")), THRESHOLD)
+    # The first letters of a maximum are the maximum of the first letters, so references come from the reads; 97 at any scale.
+    references = reads(spark, sf_dir).groupBy((F.col("fam") % 97).alias("group")).agg(F.max(F.substring("sequence", 1, 45)).alias("sequence"))
+    return annotations.nearest_references(rows, references.withColumn("ref", F.col("group")), THRESHOLD, different=True)
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,16 @@ def test_references_beyond_the_exact_range_are_refused(spark):
     rows = spark.createDataFrame([(1, 1, "ACGTACGT")], "fam long, group long, sequence string")
     with pytest.raises(ValueError):
         annotations.nearest_references(rows, rows.withColumnRenamed("fam", "ref"), 0.5)
+
+
+def test_references_in_tasks_equal_the_join(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("ACGT"), n, p=(0.6, 0.2, 0.1, 0.1)))
+    odd = [("", 0), (None, 1), ("ACG", 2), ("AAAAAA", None), ("ac-gu" * 4, 3), ("NNé😀NNACGTAA", 1), ("A" * 300, 2), ("".join(map(chr, range(200, 1900))), 0), ("CCCCCCGGGGGG", 77)]
+    texts = [*odd, *((some(rng.integers(4, 40)), int(rng.integers(0, 5))) for _ in range(60))]
+    records = spark.createDataFrame([(k, g, t) for k, (t, g) in enumerate(texts)], "fam long, group long, sequence string")
+    own = [(f"r{k}", int(rng.integers(0, 5)), some(rng.integers(5, 30))) for k in range(12)] + [("none", None, "AAAAAAAA"), ("twin", 0, "AAAAAAAA"), ("same", 1, "AAAAAAAA"), ("empty", 1, None)]
+    references = spark.createDataFrame(own, "ref string, group long, sequence string")
+    joined, plan = annotations.nearest_references(records, references, 0.1), annotations.nearest_references(records, references, 0.1, different=True)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, plan.collect())) == sorted(map(tuple, joined.collect())) and plan.schema == joined.schema
